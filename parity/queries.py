@@ -236,3 +236,228 @@ def s05(spark, d):
 select id, session_id, member_id, rating_score, comment, datetime_created from reviews"""))
 def s06(spark, d):
     return R.review_list(tables(spark, d))
+
+
+# ------------------------------------------------------------------ rollups
+
+from rosterlake.operators import rollups as A  # noqa: E402
+
+_ACCOUNT_CTE = """
+acct AS (select 'customer' as role, id from users union all
+         select 'trainer', id from trainer union all
+         select 'admin', id from admin)"""
+
+
+def _stats_sql(src: str, key: str) -> str:
+    return f"""
+select {key} as stat_key, grouping({key}) = 1 as is_total, count(id) as stat_count
+from {src} group by grouping sets (({key}), ())"""
+
+
+@register("a01_user_stats", with_adapter(_ACCOUNT_CTE, _stats_sql("acct", "role")))
+def a01(spark, d):
+    return A.user_stats(tables(spark, d).account())
+
+
+@register("a02_booking_stats", with_adapter("", _stats_sql("booking", "status")))
+def a02(spark, d):
+    return A.booking_stats(tables(spark, d).booking)
+
+
+@register("a03_session_stats", with_adapter("", """
+select count(id) as total_sessions, status from session group by status"""))
+def a03(spark, d):
+    return A.session_stats(tables(spark, d).session)
+
+
+@register("a04_stats_document_rows", with_adapter("", """
+select (select count(id) from booking) as total, status as stat_key, count(id) as stat_count
+from booking group by status"""))
+def a04(spark, d):
+    return A.stats_document_rows(A.stats_document(A.booking_stats(tables(spark, d).booking)))
+
+
+@register("a04_stats_document", None)  # nested form; rows-only check
+def a04_nested(spark, d):
+    return A.stats_document(A.user_stats(tables(spark, d).account()))
+
+
+# ------------------------------------------------------------------ lookups
+
+from rosterlake.operators import lookup as LK  # noqa: E402
+
+_USER_COLS = "u.id, u.nama, u.email, u.propinsi, u.kota, u.created_at"
+
+
+@register("s07_user_by_id_found", with_adapter("", f"""
+select u.id as lookup_key, {_USER_COLS} from users u
+where u.id in (select actor_id from booking_request)"""))
+def s07_found(spark, d):
+    f = fx(spark, d)
+    return LK.user_by_id(f.tables, f.booking_request.select("actor_id")).found
+
+
+@register("s07_user_by_id_missing", with_adapter("", """
+select distinct actor_id as lookup_key from booking_request r
+where actor_id is not null and not exists (select 1 from users u where u.id = r.actor_id)"""))
+def s07_missing(spark, d):
+    f = fx(spark, d)
+    return LK.user_by_id(f.tables, f.booking_request.select("actor_id")).missing
+
+
+_NAME_KEYS = """
+k AS (select distinct lower(rtrim(x)) as lookup_key
+      from (select upper(nama) as x from trainer union all select nama from users) q),
+hit AS (select k.lookup_key, t.id, t.nama, t.email, t.spesialisasi, t.propinsi, t.kota,
+               row_number() over (partition by k.lookup_key order by t.id) as rn
+        from k join trainer t on lower(rtrim(t.nama)) = k.lookup_key)"""
+
+
+def _name_keys(t):
+    return t.trainer.select(F.upper("nama").alias("x")).unionByName(t.users.select(F.col("nama").alias("x")))
+
+
+@register("s07_trainer_by_name_found", with_adapter(_NAME_KEYS, """
+select lookup_key, id, nama, email, spesialisasi, propinsi, kota from hit where rn = 1"""))
+def s07_name_found(spark, d):
+    t = tables(spark, d)
+    return LK.trainer_by_name(t, _name_keys(t)).found
+
+
+@register("s07_trainer_by_name_missing", with_adapter(_NAME_KEYS, """
+select lookup_key from k where lookup_key not in (select lookup_key from hit)"""))
+def s07_name_missing(spark, d):
+    t = tables(spark, d)
+    return LK.trainer_by_name(t, _name_keys(t)).missing
+
+
+_EMAIL_KEYS = """
+k AS (select distinct lower(rtrim(x)) as lookup_key
+      from (select upper(email) as x from users union all select email from trainer
+            union all select email from admin) q),
+hit AS (select k.lookup_key, u.id, u.nama, u.email,
+               row_number() over (partition by k.lookup_key order by u.id) as rn
+        from k join users u on lower(rtrim(u.email)) = k.lookup_key)"""
+
+
+def _email_keys(t):
+    return (t.users.select(F.upper("email").alias("x")).unionByName(t.trainer.select(F.col("email").alias("x")))
+            .unionByName(t.admin.select(F.col("email").alias("x"))))
+
+
+@register("s07_user_by_email_found", with_adapter(_EMAIL_KEYS, "select lookup_key, id, nama, email from hit where rn = 1"))
+def s07_email_found(spark, d):
+    t = tables(spark, d)
+    return LK.user_by_email(t, _email_keys(t)).found
+
+
+@register("s07_user_by_email_missing", with_adapter(_EMAIL_KEYS, """
+select lookup_key from k where lookup_key not in (select lookup_key from hit)"""))
+def s07_email_missing(spark, d):
+    t = tables(spark, d)
+    return LK.user_by_email(t, _email_keys(t)).missing
+
+
+_PRINCIPALS = """
+pr AS (select distinct role, id from (
+         select 'customer' as role, actor_id as id from booking_request union all
+         select 'trainer', trainer_id from session union all
+         select 'admin', member_id from progress) q),
+acct_full AS (select 'customer' as rel, id, nama, email, propinsi, kota from users union all
+              select 'trainer', id, nama, email, propinsi, kota from trainer union all
+              select 'admin', id, nama, email, cast(null as varchar), cast(null as varchar) from admin),
+prr AS (select role, id, case when role = 'trainer' then 'trainer' when role = 'admin' then 'admin'
+                              else 'customer' end as rel from pr)"""
+
+
+def _principals(f):
+    t = f.tables
+    return (f.booking_request.select(F.lit("customer").alias("role"), F.col("actor_id").alias("id"))
+            .unionByName(t.session.select(F.lit("trainer").alias("role"), F.col("trainer_id").alias("id")))
+            .unionByName(t.progress.select(F.lit("admin").alias("role"), F.col("member_id").alias("id"))))
+
+
+@register("s08_profile_found", with_adapter(_PRINCIPALS, """
+select a.id, a.nama, a.email, a.propinsi, a.kota, p.role
+from prr p join acct_full a on a.rel = p.rel and a.id = p.id"""))
+def s08_found(spark, d):
+    f = fx(spark, d)
+    return LK.profile(_principals(f), f.tables).found
+
+
+@register("s08_profile_missing", with_adapter(_PRINCIPALS, """
+select p.role, p.id from prr p
+where not exists (select 1 from acct_full a where a.rel = p.rel and a.id = p.id)"""))
+def s08_missing(spark, d):
+    f = fx(spark, d)
+    return LK.profile(_principals(f), f.tables).missing
+
+
+@register("s09_account_directory", with_adapter("""
+acc AS (select lower(rtrim(email)) as email_key, 0 as rnk, id, 'customer' as role, nama, email from users
+        union all select lower(rtrim(email)), 1, id, 'trainer', nama, email from trainer
+        union all select lower(rtrim(email)), 2, id, 'admin', nama, email from admin),
+ranked AS (select *, row_number() over (partition by email_key order by rnk, id) as rn from acc)""", """
+select email_key, role, id, nama, email from ranked where rn = 1"""))
+def s09(spark, d):
+    return LK.account_directory(tables(spark, d))
+
+
+# ------------------------------------------------------------------ search and paging
+
+from rosterlake.operators import search as P  # noqa: E402
+
+_P1 = dict(nama="0_1", email="example", sort="nama", order="DESC", page=2, limit=15)
+_P1_WHERE = "where nama ilike '%0_1%' and email ilike '%example%'"
+_P2 = dict(nama="r#%0", email="ignored-term", page=2, limit=7)
+
+
+@register("p01_search_users", with_adapter("", f"""
+select id, nama, email, propinsi, kota, created_at from users {_P1_WHERE}
+order by lower(rtrim(nama)) desc nulls last, id asc limit 15 offset 15"""))
+def p01(spark, d):
+    return P.search_users(tables(spark, d).users, **_P1).rows
+
+
+@register("p02_search_trainers", with_adapter("", """
+select id, nama, email, spesialisasi as specialization, propinsi, kota from trainer
+where nama ilike '%r#%0%' order by id limit 7 offset 7"""))
+def p02(spark, d):
+    return P.search_trainers(tables(spark, d).trainer, **_P2).rows
+
+
+@register("p03_search_total_users", with_adapter("", f"select count(*) as total from users {_P1_WHERE}"))
+def p03_users(spark, d):
+    return P.search_users(tables(spark, d).users, **_P1).total
+
+
+@register("p03_search_total_trainers", with_adapter("", "select count(*) as total from trainer where nama ilike '%r#%0%'"))
+def p03_trainers(spark, d):
+    return P.search_trainers(tables(spark, d).trainer, **_P2).total
+
+
+@register("p04_paginate_users", with_adapter("", f"""
+select id, nama, email, propinsi, kota, created_at, row_no, (row_no - 1) // 15 + 1 as page_no
+from (select *, row_number() over (order by lower(rtrim(nama)) desc nulls last, id) as row_no
+      from users {_P1_WHERE}) q"""))
+def p04(spark, d):
+    users = tables(spark, d).users.select(*P.USER_COLUMNS)
+    filtered = P.matching(users, nama=_P1["nama"], email=_P1["email"])
+    key = P.sort_key(filtered, "nama")
+    return P.paginate(filtered, [key.desc_nulls_last(), F.col("id").asc()], limit=15)
+
+
+# ------------------------------------------------------------------ M1 ids
+
+from rosterlake.operators import ids as ID  # noqa: E402
+
+
+@register("m01_assign_ids", with_adapter("", """
+select request_id, request_ts,
+       (select max(id) from existing_booking) + row_number() over (order by request_ts, request_id) as id
+from booking_request"""))
+def m01(spark, d):
+    f = fx(spark, d)
+    top = ID.max_id(f.existing_booking)
+    req = f.booking_request.select("request_id", "request_ts")
+    return ID.assign_ids(req, top, [F.col("request_ts").asc(), F.col("request_id").asc()])
