@@ -461,3 +461,78 @@ def m01(spark, d):
     top = ID.max_id(f.existing_booking)
     req = f.booking_request.select("request_id", "request_ts")
     return ID.assign_ids(req, top, [F.col("request_ts").asc(), F.col("request_id").asc()])
+
+
+# ------------------------------------------------------------------ audits
+
+from rosterlake.operators import audit as Q  # noqa: E402
+
+
+def _v(x: str) -> str:
+    return f"coalesce(cast({x} as varchar), 'NULL')"
+
+
+def _q_sql(rule: str, relation: str, key: str, detail: str, src: str) -> str:
+    return f"select '{rule}' as rule, '{relation}' as relation, {key} as \"key\", {detail} as detail {src}"
+
+
+_Q_PARTS = {
+    "primary_key": [_q_sql("primary_key", r, "cast(id as varchar)", "'count=' || cast(count(*) as varchar)",
+                           f"from {r} group by id having count(*) > 1") for r in Q.PK_RELATIONS],
+    "unique_key": [
+        _q_sql("unique_key", "booking", f"concat_ws(',', {_v('session_id')}, {_v('member_id')})",
+               "'count=' || cast(count(*) as varchar)", "from booking group by session_id, member_id having count(*) > 1"),
+        _q_sql("unique_key", "users", "lower(rtrim(email))", "'count=' || cast(count(*) as varchar)",
+               "from users group by lower(rtrim(email)) having count(*) > 1")],
+    "foreign_key": [
+        _q_sql("foreign_key", child, "cast(id as varchar)", f"'{col}=' || {_v(col)}",
+               f"from {child} c where {col} is not null and not exists (select 1 from {parent} p where p.id = c.{col})")
+        for child, col, parent in Q.FOREIGN_KEYS],
+    "domain": [
+        _q_sql("domain", "booking", "cast(id as varchar)", "'status=' || status",
+               "from booking where status not in ('Pending', 'Confirmed', 'Cancel')"),
+        _q_sql("domain", "session", "cast(id as varchar)", "'status=' || status",
+               "from session where status not in ('scheduled', 'ongoing', 'completed', 'cancelled')")],
+    "rating_range": [_q_sql("rating_range", "reviews", "cast(id as varchar)", f"'rating_score=' || {_v('rating_score')}",
+                            "from reviews where not (rating_score between 1 and 5)")],
+    "not_null": [_q_sql("not_null", rel, "cast(id as varchar)", f"'{c}'", f"from {rel} where {c} is null")
+                 for rel, cols in Q.NOT_NULL.items() for c in cols],
+    "varchar_length": [_q_sql("varchar_length", rel, "cast(id as varchar)", f"'{c}'", f"from {rel} where length({c}) > {n}")
+                       for rel, lim in Q.VARCHAR_LIMITS.items() for c, n in lim.items()],
+    "duplicate_review": [_q_sql("duplicate_review", "reviews", f"concat_ws(',', {_v('session_id')}, {_v('member_id')})",
+                                "'count=' || cast(count(*) as varchar)",
+                                "from reviews group by session_id, member_id having count(*) > 1")],
+    "unconfirmed_reference": [
+        _q_sql("unconfirmed_reference", "reviews", "cast(id as varchar)",
+               f"'session_id=' || {_v('session_id')} || ',member_id=' || {_v('member_id')}",
+               "from reviews r where not exists (select 1 from booking b where b.status = 'Confirmed' "
+               "and b.session_id = r.session_id and b.member_id = r.member_id)"),
+        _q_sql("unconfirmed_reference", "progress", "cast(id as varchar)", f"'booking_id=' || {_v('booking_id')}",
+               "from progress p where booking_id is not null and not exists (select 1 from booking b "
+               "where b.status = 'Confirmed' and b.id = p.booking_id and b.member_id = p.member_id)")],
+    "member_name_drift": [_q_sql("member_name_drift", "booking", "cast(b.id as varchar)",
+                                 "'stored=' || b.member_name || ',current=' || u.nama",
+                                 "from booking b join users u on b.member_id = u.id "
+                                 "where b.member_name is not null and b.member_name != u.nama")],
+}
+
+
+def _audit_query(rule: str, idx: int):
+    fn = Q.AUDITS[rule]
+
+    def run(spark, d):
+        return fn(tables(spark, d))
+    run.__name__ = f"q{idx:02d}_{rule}"
+    return run
+
+
+for _i, _rule in enumerate(Q.RULES, start=1):
+    register(f"q{_i:02d}_{_rule}", with_adapter("", "\nunion all\n".join(_Q_PARTS[_rule])))(_audit_query(_rule, _i))
+
+
+@register("q00_audit_summary", with_adapter(
+    "v AS (" + "\nunion all\n".join(p for r in Q.RULES for p in _Q_PARTS[r]) + "),\n"
+    "rules AS (select * from (values " + ", ".join(f"('{r}')" for r in Q.RULES) + ") t(rule))",
+    "select r.rule, count(v.rule) as n from rules r left join v on v.rule = r.rule group by r.rule"))
+def q00(spark, d):
+    return Q.audit_summary(Q.audit_all(tables(spark, d)))
