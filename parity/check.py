@@ -81,7 +81,8 @@ def compare(spark, con, sf_dir, name, fn, sql) -> tuple[bool, str]:
 def main(argv: list[str]) -> int:
     import os
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    from parity.queries import REGISTRY
+    from parity.registry import load_all
+    REGISTRY = load_all()
     from rosterlake.plans.session import build_session
 
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
