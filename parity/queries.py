@@ -512,3 +512,56 @@ for _i, _rule in enumerate(Q.RULES, start=1):
     "select r.rule, count(v.rule) as n from rules r left join v on v.rule = r.rule group by r.rule"))
 def q00(spark, d):
     return Q.audit_summary(Q.audit_all(tables(spark, d)))
+
+
+# ------------------------------------------------------------------ visibility
+
+from rosterlake.operators import access as V  # noqa: E402
+
+_RES_VALUES = ", ".join(f"('{r}', '{a}', '{t}', '{c}')" for r, (a, t, c, _) in V.RULES.items())
+_ACCESS_CTES = _PRINCIPALS + f""",
+res AS (select * from (values {_RES_VALUES}) t(resource, a, tr, c))"""
+
+
+@register("v01_grants", with_adapter(_ACCESS_CTES, """
+select p.role, p.id, r.resource,
+       case p.role when 'admin' then r.a when 'trainer' then r.tr when 'customer' then r.c else 'none' end as scope
+from pr p cross join res r"""))
+def v01(spark, d):
+    return V.grants(_principals(fx(spark, d)).distinct())
+
+
+@register("v03_visible_booking_history", with_adapter(_ACCESS_CTES, """
+select p.role as viewer_role, p.id as viewer_id, h.*
+from pr p join (""" + _J1_SELECT + """) h on h.customer_id = p.id
+where p.role = 'customer'"""))
+def v03(spark, d):
+    f = fx(spark, d)
+    return V.visible_rows(R.customer_booking_history(f.tables, ordered=False), _principals(f),
+                          "customer_booking_history")
+
+
+@register("v04_visible_trainer_schedule", with_adapter(_ACCESS_CTES, f"""
+select p.role as viewer_role, p.id as viewer_id, h.*
+from pr p join (
+  select t.id as trainer_id, t.nama as trainer_name, s.id as session_id, s.title, s.start_time,
+         s.end_time, count(b.id) as confirmed_customers
+  from trainer t join session s on t.id = s.trainer_id
+  left join booking b on b.session_id = s.id and b.status = 'Confirmed'
+  where s.start_time > {AS_OF_SQL}
+  group by t.id, t.nama, s.id, s.title, s.start_time, s.end_time) h on h.trainer_id = p.id
+where p.role = 'trainer'"""))
+def v04(spark, d):
+    f = fx(spark, d)
+    return V.visible_rows(R.trainer_schedule(f.tables, AS_OF_COL(), ordered=False), _principals(f),
+                          "trainer_schedule")
+
+
+@register("v06_bare_id_exposure", with_adapter(_ACCESS_CTES, """
+select p.role as viewer_role, p.id as viewer_id, h.*
+from pr p join (""" + _J4_SELECT + """) h on h.member_id = p.id
+where p.role not in ('admin', 'customer')"""))
+def v06(spark, d):
+    f = fx(spark, d)
+    return V.bare_id_exposure(R.member_progress_summary(f.tables, ordered=False), _principals(f),
+                              "member_progress_summary_for")
