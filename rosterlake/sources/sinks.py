@@ -64,3 +64,62 @@ def read_published(spark: SparkSession, root: str) -> Tables:
     if version is None:
         raise FileNotFoundError(f"no committed version under {root}")
     return load_tables(spark, f"{root}/v={version}")
+
+
+# ------------------------------------------------------------ batch log
+# Relations stored as ``root/<relation>/batch=<n>`` partitions plus a log
+# ``root/_log`` of (batch, relation, kind). ``kind`` is ``replace`` (the
+# relation's rows restart at this batch) or ``append`` (rows add to it). The
+# log rows of a batch are written in one Spark job after its data, so a batch
+# is visible entirely or not at all; rewriting a batch that is already logged
+# is skipped, so replaying a streaming epoch is harmless.
+
+LOG_SCHEMA = "batch long, relation string, kind string"
+
+
+def _log(spark: SparkSession, root: str):
+    try:
+        return [tuple(r) for r in spark.read.parquet(f"{root}/_log").collect()]
+    except Exception:  # nothing logged yet
+        return []
+
+
+def logged_batches(spark: SparkSession, root: str) -> set[int]:
+    return {b for b, _, _ in _log(spark, root)}
+
+
+def commit_batch(spark: SparkSession, root: str, batch: int, appends: dict[str, DataFrame] | None = None,
+                 replaces: dict[str, DataFrame] | None = None) -> bool:
+    """Write and log one batch; False if the batch was logged before."""
+    if batch in logged_batches(spark, root):
+        return False
+    entries = []
+    for kind, frames in (("append", appends or {}), ("replace", replaces or {})):
+        for rel, df in frames.items():
+            df = conform(df, SCHEMAS[rel]) if rel in SCHEMAS else df
+            df.sortWithinPartitions(*CLUSTER.get(rel, [])).write.mode("overwrite").parquet(
+                f"{root}/{rel}/batch={batch}")
+            entries.append((batch, rel, kind))
+    spark.createDataFrame(entries, LOG_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/_log")
+    return True
+
+
+def init_store(spark: SparkSession, root: str, tables: Tables) -> None:
+    commit_batch(spark, root, 0, replaces=dict(tables.items()))
+
+
+def read_store(spark: SparkSession, root: str) -> Tables:
+    """Every relation as of the last logged batch: the partitions from its
+    last ``replace`` on; partition pruning skips older batches."""
+    log = _log(spark, root)
+    frames = {}
+    for rel, schema in SCHEMAS.items():
+        mine = [(b, k) for b, r, k in log if r == rel]
+        start = max((b for b, k in mine if k == "replace"), default=None)
+        if start is None:
+            frames[rel] = spark.createDataFrame([], schema)
+            continue
+        batches = sorted(b for b, _ in mine if b >= start)
+        df = spark.read.parquet(f"{root}/{rel}").filter(F.col("batch").isin(batches))
+        frames[rel] = conform(df, schema)
+    return Tables(**frames)
