@@ -565,3 +565,25 @@ def v06(spark, d):
     f = fx(spark, d)
     return V.bare_id_exposure(R.member_progress_summary(f.tables, ordered=False), _principals(f),
                               "member_progress_summary_for")
+
+
+# ------------------------------------------------------------------ v1 loader
+
+from rosterlake.sources.schema import split_accounts  # noqa: E402
+
+
+def _v1_user(t):
+    """A v1 ``user`` frame (one table with ``role``) built from the tagged union."""
+    return t.account().withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
+
+
+@register("s02_split_accounts_trainer", with_adapter("", """
+select id, nama, email, spesialisasi, propinsi, kota from (
+  select id, nama, email, cast(null as varchar) as spesialisasi, propinsi, kota from trainer) q"""))
+def s02_trainer(spark, d):
+    return split_accounts(_v1_user(tables(spark, d)))["trainer"]
+
+
+@register("s02_split_accounts_admin", with_adapter("", "select id, nama, email from admin"))
+def s02_admin(spark, d):
+    return split_accounts(_v1_user(tables(spark, d)))["admin"]

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import first_failing, in_domain, js_or, norm_key, rating_value, truthy
 from ..sources.schema import (ADMIN, BOOKING, BOOKING_STATUSES, PROGRESS, REVIEWS, SESSION, SESSION_STATUSES,
                               TRAINER, USERS, Tables, conform)
+from ..plans.session import materialize
 from .ids import assign_ids, max_id
 
 C = F.col
@@ -79,20 +80,25 @@ def _flag(df: DataFrame, other: DataFrame, pairs: Sequence[tuple[str, str]], nam
 
 def _first_wins(j: DataFrame, base: str, eligible: Column, keys: Sequence[str], prefix: str = "w") -> DataFrame:
     """Attach the earliest eligible request per ``keys`` as ``{prefix}_ts``,
-    ``{prefix}_id`` and ``{prefix}_row`` (a struct of the eligible row)."""
-    win = (j.filter(eligible)
-           .groupBy(*[C(k).alias(f"__{prefix}_{k}") for k in keys])
-           .agg(F.min(F.struct(C(TS).alias("__ts"), C(RID).alias("__rid"),
-                               *[C(c) for c in j.columns if c not in (TS, RID)])).alias(f"{prefix}_row")))
-    cond = None
-    for k in keys:
-        c = C(k) == C(f"__{prefix}_{k}")
-        cond = c if cond is None else cond & c
-    return (j.join(win, cond, "left").drop(*[f"__{prefix}_{k}" for k in keys])
+    ``{prefix}_id`` and ``{prefix}_row`` (a struct of the eligible row).
+
+    ``j`` feeds two branches (the aggregate and the join back); the
+    optimizer prunes and pushes filters differently into each, so their
+    shuffles cannot be reused and the validation joins would run twice. It
+    is therefore written once (``materialize``) and both branches scan it.
+    The winner is a ``min`` (partial aggregation splits a hot key across
+    map tasks) and AQE's skew join splits a hot key on the join back; a
+    window per key would put a hot key's requests in one task."""
+    j = materialize(j, "validated")
+    row = F.struct(C(TS).alias("__ts"), C(RID).alias("__rid"), *[C(c) for c in j.columns if c not in (TS, RID)])
+    win = j.groupBy(*keys).agg(F.min(F.when(eligible, row)).alias(f"{prefix}_row"))
+    return (j.join(win, list(keys), "left")
             .withColumn(f"{prefix}_ts", C(f"{prefix}_row.__ts")).withColumn(f"{prefix}_id", C(f"{prefix}_row.__rid")))
 
 
 def _split(j: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
+    """Accepted and rejected requests (the accepted side of an insert is cut
+    by the id assignment's checkpoint)."""
     j = j.withColumn("reason", reason)
     return j.filter(C("reason").isNull()).drop("reason"), j.filter(C("reason").isNotNull()).select(RID, "reason")
 

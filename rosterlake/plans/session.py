@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every operator assumes; ``build_session`` applies them and
@@ -56,6 +58,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (written to the shared checkpoint folder), so a
     lost executor re-reads the frame instead of recomputing a long plan and
-    so every later pass sees the same rows and partitioning."""
+    every later pass sees the same rows in the same partitions and order.
+    The frame is persisted while the checkpoint is written, so the input is
+    computed once rather than once for the action and once for the write."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
+
+
+def materialize(df: DataFrame, label: str = "frame") -> DataFrame:
+    """Write ``df`` once as a parquet table under the shared checkpoint
+    folder and read it back: every later use scans the table instead of
+    re-running the plan, and a lost executor re-reads files, not lineage."""
+    root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{root}/rosterlake-tables/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
