@@ -587,3 +587,50 @@ def s02_trainer(spark, d):
 @register("s02_split_accounts_admin", with_adapter("", "select id, nama, email from admin"))
 def s02_admin(spark, d):
     return split_accounts(_v1_user(tables(spark, d)))["admin"]
+
+
+# ------------------------------------------------------------------ more keyed lookups
+
+from rosterlake.sources import fixture_requests as RQ  # noqa: E402
+
+from .requests_sql import REQUEST_CTES  # noqa: E402
+
+
+@register("s07_session_by_id_found", with_adapter("", """
+select s.id as lookup_key, s.id, s.title, s.deskripsi, s.trainer_id, s.start_time, s.end_time, s.price, s.status
+from session s where s.id in (select session_id from booking_request)"""))
+def s07_session_found(spark, d):
+    f = fx(spark, d)
+    return LK.session_by_id(f.tables, f.booking_request.select("session_id")).found
+
+
+@register("s07_booking_by_id_found", with_adapter(REQUEST_CTES["status_req"], """
+select b.id as lookup_key, b.id, b.session_id, b.member_id, b.status, b.datetime_created
+from booking b where b.id in (select booking_id from status_req)"""))
+def s07_booking_found(spark, d):
+    t = tables(spark, d)
+    return LK.booking_by_id(t, RQ.status_change_requests(t).select("booking_id")).found
+
+
+@register("s07_booking_by_id_missing", with_adapter(REQUEST_CTES["status_req"], """
+select distinct booking_id as lookup_key from status_req r
+where booking_id is not null and not exists (select 1 from booking b where b.id = r.booking_id)"""))
+def s07_booking_missing(spark, d):
+    t = tables(spark, d)
+    return LK.booking_by_id(t, RQ.status_change_requests(t).select("booking_id")).missing
+
+
+@register("s07_trainer_by_id_found", with_adapter(REQUEST_CTES["session_req"], """
+select t.id as lookup_key, t.id, t.nama, t.email, t.spesialisasi as specialization, t.propinsi, t.kota
+from trainer t where t.id in (select trainer_id from session_req)"""))
+def s07_trainer_found(spark, d):
+    t = tables(spark, d)
+    return LK.trainer_by_id(t, RQ.session_requests(t).select("trainer_id")).found
+
+
+@register("s07_trainer_by_id_missing", with_adapter(REQUEST_CTES["session_req"], """
+select distinct trainer_id as lookup_key from session_req r
+where trainer_id is not null and not exists (select 1 from trainer t where t.id = r.trainer_id)"""))
+def s07_trainer_missing(spark, d):
+    t = tables(spark, d)
+    return LK.trainer_by_id(t, RQ.session_requests(t).select("trainer_id")).missing
