@@ -68,44 +68,48 @@ def read_published(spark: SparkSession, root: str) -> Tables:
 
 # ------------------------------------------------------------ batch log
 # Relations stored as ``root/<relation>/batch=<n>`` partitions plus a log
-# ``root/_log`` of (batch, relation, kind). ``kind`` is ``replace`` (the
-# relation's rows restart at this batch) or ``append`` (rows add to it). The
-# log rows of a batch are written in one Spark job after its data, so a batch
-# is visible entirely or not at all; rewriting a batch that is already logged
-# is skipped, so replaying a streaming epoch is harmless.
+# ``root/_log`` of (batch, relation, kind, source, epoch). ``kind`` is
+# ``replace`` (the relation's rows restart at this batch) or ``append`` (rows
+# add to it). The log rows of a batch are written in one Spark job after its
+# data, so a batch is visible entirely or not at all. ``(source, epoch)``
+# identifies the writer's unit of work (a streaming query and its epoch): a
+# unit already logged is skipped, so replaying an epoch is harmless. One
+# writer per store at a time.
 
-LOG_SCHEMA = "batch long, relation string, kind string"
+LOG_SCHEMA = "batch long, relation string, kind string, source string, epoch long"
 
 
-def _log(spark: SparkSession, root: str):
+def _log(spark: SparkSession, root: str) -> list[tuple]:
     try:
         return [tuple(r) for r in spark.read.parquet(f"{root}/_log").collect()]
     except Exception:  # nothing logged yet
         return []
 
 
-def logged_batches(spark: SparkSession, root: str) -> set[int]:
-    return {b for b, _, _ in _log(spark, root)}
-
-
-def commit_batch(spark: SparkSession, root: str, batch: int, appends: dict[str, DataFrame] | None = None,
-                 replaces: dict[str, DataFrame] | None = None) -> bool:
-    """Write and log one batch; False if the batch was logged before."""
-    if batch in logged_batches(spark, root):
-        return False
+def commit_batch(spark: SparkSession, root: str, appends: dict[str, DataFrame] | None = None,
+                 replaces: dict[str, DataFrame] | None = None, source: str = "batch",
+                 epoch: int = 0) -> int | None:
+    """Write and log one unit of work as the next batch; returns its batch
+    number, or None if ``(source, epoch)`` was logged before."""
+    log = _log(spark, root)
+    if any(src == source and ep == epoch for _, _, _, src, ep in log):
+        return None
+    batch = max((b for b, *_ in log), default=-1) + 1
     entries = []
     for kind, frames in (("append", appends or {}), ("replace", replaces or {})):
         for rel, df in frames.items():
             df = conform(df, SCHEMAS[rel]) if rel in SCHEMAS else df
             df.sortWithinPartitions(*CLUSTER.get(rel, [])).write.mode("overwrite").parquet(
                 f"{root}/{rel}/batch={batch}")
-            entries.append((batch, rel, kind))
+            entries.append((batch, rel, kind, source, epoch))
+    if not entries:
+        entries.append((batch, "_none", "append", source, epoch))
     spark.createDataFrame(entries, LOG_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/_log")
-    return True
+    return batch
 
 
 def init_store(spark: SparkSession, root: str, tables: Tables) -> None:
-    commit_batch(spark, root, 0, replaces=dict(tables.items()))
+    commit_batch(spark, root, replaces=dict(tables.items()), source="init", epoch=0)
 
 
 def read_store(spark: SparkSession, root: str) -> Tables:
@@ -114,7 +118,7 @@ def read_store(spark: SparkSession, root: str) -> Tables:
     log = _log(spark, root)
     frames = {}
     for rel, schema in SCHEMAS.items():
-        mine = [(b, k) for b, r, k in log if r == rel]
+        mine = [(b, k) for b, r, k, _, _ in log if r == rel]
         start = max((b for b, k in mine if k == "replace"), default=None)
         if start is None:
             frames[rel] = spark.createDataFrame([], schema)
