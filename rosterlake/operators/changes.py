@@ -24,7 +24,7 @@ id (customer 5 and trainer 5 are different principals).
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,11 +46,22 @@ STAFF = ("trainer", "admin")
 INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
 
 
-@dataclass(frozen=True)
 class Change:
-    accepted: DataFrame
-    rejected: DataFrame
-    states: dict[str, DataFrame] = field(default_factory=dict)
+    """Result of a change operator. ``accepted`` and ``states`` may be given
+    as zero-argument callables: inserts assign ids (a range-partitioned
+    checkpoint plus a count job), and a caller that reads only ``rejected``
+    should not pay for them. Each is computed once, on first access."""
+
+    def __init__(self, accepted, rejected: DataFrame, states=None):
+        self._accepted, self.rejected, self._states = accepted, rejected, states if states is not None else {}
+
+    @cached_property
+    def accepted(self) -> DataFrame:
+        return self._accepted() if callable(self._accepted) else self._accepted
+
+    @cached_property
+    def states(self) -> dict[str, DataFrame]:
+        return self._states() if callable(self._states) else self._states
 
 
 # ------------------------------------------------------------------ helpers
@@ -121,6 +132,19 @@ def _insert(accepted: DataFrame, state: DataFrame, schema, **cols: Column) -> tu
     return with_ids, new_state
 
 
+def _insert_change(accepted: DataFrame, rejected: DataFrame, state: DataFrame, relation: str, schema,
+                   **cols: Column) -> Change:
+    """A Change whose accepted rows and new state are built (ids assigned)
+    only when first read."""
+    memo: dict = {}
+
+    def build():
+        if "v" not in memo:
+            memo["v"] = _insert(accepted, state, schema, **cols)
+        return memo["v"]
+    return Change(lambda: build()[0], rejected, lambda: {relation: build()[1]})
+
+
 def _present(f: str) -> Column:
     return F.coalesce(F.array_contains(C("present"), f), F.lit(False))
 
@@ -216,9 +240,9 @@ def admit_bookings(requests: DataFrame, t: Tables) -> Change:
                  F.when(C("w_row.status") != "Cancel", F.lit("already_booked")).otherwise(F.lit("unique_key_conflict")))
     reason = F.coalesce(C("base"), dup, F.when(~C("ok"), F.lit("invalid_status")))
     accepted, rejected = _split(j, reason)
-    rows, state = _insert(accepted, t.booking, BOOKING, session_id=C("session_id"), member_id=C("actor_id"),
-                          status=C("status"), datetime_created=C(TS), member_name=C("u_nama"))
-    return Change(rows, rejected, {"booking": state})
+    return _insert_change(accepted, rejected, t.booking, "booking", BOOKING, session_id=C("session_id"),
+                          member_id=C("actor_id"), status=C("status"), datetime_created=C(TS),
+                          member_name=C("u_nama"))
 
 
 # ------------------------------------------------------------------ M9
@@ -271,10 +295,9 @@ def admit_reviews(requests: DataFrame, t: Tables) -> Change:
     reason = F.coalesce(C("base"), F.when(C("w_ts").isNotNull() & _after(C("w_ts"), C("w_id")),
                                           F.lit("already_reviewed")))
     accepted, rejected = _split(j, reason)
-    rows, state = _insert(accepted, t.reviews, REVIEWS, session_id=C("session_id"), member_id=C("actor_id"),
-                          rating_score=rating_value(r), comment=F.nullif(C("comment"), F.lit("")),
-                          datetime_created=C(TS))
-    return Change(rows, rejected, {"reviews": state})
+    return _insert_change(accepted, rejected, t.reviews, "reviews", REVIEWS, session_id=C("session_id"),
+                          member_id=C("actor_id"), rating_score=rating_value(r),
+                          comment=F.nullif(C("comment"), F.lit("")), datetime_created=C(TS))
 
 
 # ------------------------------------------------------------------ M10
@@ -293,11 +316,10 @@ def admit_progress(requests: DataFrame, t: Tables) -> Change:
         ("invalid_duration", ~F.coalesce(C("duration").rlike(INTEGER_TEXT), F.lit(False))),
     ])
     accepted, rejected = _split(j, reason)
-    rows, state = _insert(accepted, t.progress, PROGRESS, member_id=C("actor_id"),
+    return _insert_change(accepted, rejected, t.progress, "progress", PROGRESS, member_id=C("actor_id"),
                           booking_id=F.when(truthy("booking_id", numeric=True), C("booking_id")),
-                          activity=C("activity"), duration=F.trim(C("duration")).try_cast("int"), note=C("note"),
-                          jam_nyatat=C(TS))
-    return Change(rows, rejected, {"progress": state})
+                          activity=C("activity"), duration=F.trim(C("duration")).try_cast("int"),
+                          note=C("note"), jam_nyatat=C(TS))
 
 
 # ------------------------------------------------------------------ M5
@@ -314,10 +336,9 @@ def admit_sessions(requests: DataFrame, t: Tables) -> Change:
         ("invalid_status", ~in_domain("status", SESSION_STATUSES)),
     ])
     accepted, rejected = _split(j, reason)
-    rows, state = _insert(accepted, t.session, SESSION, title=C("title"), deskripsi=C("deskripsi"),
-                          trainer_id=C("trainer_id"), start_time=C("start_time"), end_time=C("end_time"),
-                          price=C("price"), status=C("status"))
-    return Change(rows, rejected, {"session": state})
+    return _insert_change(accepted, rejected, t.session, "session", SESSION, title=C("title"),
+                          deskripsi=C("deskripsi"), trainer_id=C("trainer_id"), start_time=C("start_time"),
+                          end_time=C("end_time"), price=C("price"), status=C("status"))
 
 
 # ------------------------------------------------------------------ patches M6, M11, M14
@@ -488,7 +509,7 @@ def merge_user_profiles(requests: DataFrame, t: Tables) -> Change:
     customer's final email refuses that row's merges (UNIQUE email)."""
     allowed = _is_admin() | _is_owner("customer", "id")
     ch = _merge(requests, t.users, ("nama", "email", "propinsi", "kota"), allowed, unique_email=True)
-    return Change(ch.accepted, ch.rejected, {"users": ch.states["state"]})
+    return Change(lambda: ch.accepted, ch.rejected, lambda: {"users": ch.states["state"]})
 
 
 def merge_trainer_profiles(requests: DataFrame, t: Tables) -> Change:
@@ -497,7 +518,7 @@ def merge_trainer_profiles(requests: DataFrame, t: Tables) -> Change:
     allowed = _is_admin() | _is_owner("trainer", "id")
     ch = _merge(requests, t.trainer, ("nama", "email", "spesialisasi", "propinsi", "kota"), allowed,
                 unique_email=False)
-    return Change(ch.accepted, ch.rejected, {"trainer": ch.states["state"]})
+    return Change(lambda: ch.accepted, ch.rejected, lambda: {"trainer": ch.states["state"]})
 
 
 # ------------------------------------------------------------------ registrations M2-M4
@@ -518,8 +539,7 @@ def _register(requests: DataFrame, state: DataFrame, schema, extra_checks: list,
     else:
         reason = C("base")
     accepted, rejected = _split(j, reason)
-    rows, new_state = _insert(accepted, state, schema, **cols)
-    return Change(rows, rejected, {"state": new_state})
+    return _insert_change(accepted, rejected, state, "state", schema, **cols)
 
 
 def register_customers(requests: DataFrame, t: Tables) -> Change:
@@ -529,7 +549,7 @@ def register_customers(requests: DataFrame, t: Tables) -> Change:
     ch = _register(requests, t.users, USERS, [], True,
                    dict(nama=C("nama"), email=C("email"), propinsi=js_or("propinsi", F.lit("")),
                         kota=js_or("kota", F.lit("")), created_at=C(TS)))
-    return Change(ch.accepted, ch.rejected, {"users": ch.states["state"]})
+    return Change(lambda: ch.accepted, ch.rejected, lambda: {"users": ch.states["state"]})
 
 
 def register_trainers(requests: DataFrame, t: Tables, unique_email: bool = True) -> Change:
@@ -538,11 +558,11 @@ def register_trainers(requests: DataFrame, t: Tables, unique_email: bool = True)
     ch = _register(requests, t.trainer, TRAINER, [], unique_email,
                    dict(nama=C("nama"), email=C("email"), spesialisasi=js_or("spesialisasi", F.lit("")),
                         propinsi=js_or("propinsi", F.lit("")), kota=js_or("kota", F.lit(""))))
-    return Change(ch.accepted, ch.rejected, {"trainer": ch.states["state"]})
+    return Change(lambda: ch.accepted, ch.rejected, lambda: {"trainer": ch.states["state"]})
 
 
 def register_admins(requests: DataFrame, t: Tables, unique_email: bool = True) -> Change:
     """M4: admin actor only -> nama, email, password -> insert."""
     ch = _register(requests, t.admin, ADMIN, [("forbidden", ~_is_admin())], unique_email,
                    dict(nama=C("nama"), email=C("email")))
-    return Change(ch.accepted, ch.rejected, {"admin": ch.states["state"]})
+    return Change(lambda: ch.accepted, ch.rejected, lambda: {"admin": ch.states["state"]})
