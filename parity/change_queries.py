@@ -484,3 +484,37 @@ select request_id, {_ids('trainer')} as id, nama, email,
 from fin where reason is null""")
 _triple("m04_register_admins", _m04, _reg_sql("admin_reg", "admin", "not coalesce(r.actor_role = 'admin', false)"),
         _REJ, f"select request_id, {_ids('admin')} as id, nama, email from fin where reason is null")
+
+# ------------------------------------------------------------------ Q10 on changed state
+
+import re  # noqa: E402
+
+from rosterlake.operators import audit as Q  # noqa: E402
+
+
+def _q10_after(spark, d):
+    """Q10 after admission (M8 copies the member's name into the booking) and
+    profile merges (M16 renames members): stored names that went stale."""
+    f = fx(spark, d)
+    t = f.tables
+    admitted = M.admit_bookings(f.booking_request, t.with_(booking=f.existing_booking)).states["booking"]
+    merged = M.merge_user_profiles(RQ.user_merges(t), t).states["users"]
+    return Q.member_name_drift(t.with_(booking=admitted, users=merged))
+
+
+_M16_CTES = [re.sub(r"\bfin\b", "mfin", c) for c in _merge_sql(
+    "user_merge", "users", ["id", "nama", "email", "propinsi", "kota", "created_at"],
+    ["nama", "email", "propinsi", "kota"],
+    "coalesce(r.actor_role = 'admin', false) or "
+    "coalesce(r.actor_role = 'customer' and r.actor_id is not distinct from r.id, false)", True)]
+register("q10_member_name_drift_after_changes", _sql(_M08 + _M16_CTES + [f"""
+acc8 AS (select {_ids('existing_booking')} as id, session_id, actor_id as member_id, u_nama as member_name
+         from fin where reason is null)""", """
+bstate AS (select id, member_id, member_name from existing_booking
+           union all select id, member_id, member_name from acc8)""", """
+ustate AS (select id, nama from merged where id not in (select id from clash)
+           union all select id, nama from users where id in (select id from clash))"""], """
+select 'member_name_drift' as rule, 'booking' as relation, cast(b.id as varchar) as "key",
+       'stored=' || b.member_name || ',current=' || u.nama as detail
+from bstate b join ustate u on b.member_id = u.id
+where b.member_name is not null and b.member_name != u.nama"""))(_q10_after)
