@@ -75,10 +75,27 @@ def _after(ts: Column, rid: Column) -> Column:
     return (C(TS) > ts) | ((C(TS) == ts) & (C(RID) > rid))
 
 
-def _flag(df: DataFrame, other: DataFrame, pairs: Sequence[tuple[str, str]], name: str) -> DataFrame:
+def _reduce(big: DataFrame, small: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Semi-join reduction: the rows of ``big`` whose columns (right of each
+    pair) equal those of some row of ``small`` (left of each pair). ``small``
+    (the requests) is the build side of the semi join, so AQE broadcasts it
+    when the batch is small and the state is filtered map-side, unshuffled;
+    a batch as large as the state costs one shuffle join instead."""
+    keys = small.select(*[C(s_).alias(f"__red{i}") for i, (s_, _) in enumerate(pairs)])
+    cond = None
+    for i, (_, b) in enumerate(pairs):
+        c = C(b) == C(f"__red{i}")
+        cond = c if cond is None else cond & c
+    return big.join(keys, cond, "left_semi")
+
+
+def _flag(df: DataFrame, other: DataFrame, pairs: Sequence[tuple[str, str]], name: str,
+          by: DataFrame | None = None) -> DataFrame:
     """Left-join a boolean ``name``: does ``other`` hold a row whose columns
-    equal ``df``'s on every pair? ``other`` is reduced to distinct keys first,
-    so the join never fans out."""
+    equal ``df``'s on every pair? ``other`` is first reduced to the keys the
+    requests (``by``, default ``df``) ask about, then to distinct keys, so
+    the state is never aggregated whole and the join never fans out."""
+    other = _reduce(other, df if by is None else by, pairs)
     keys = other.select(*[C(o).alias(f"__{name}_{i}") for i, (_, o) in enumerate(pairs)]).distinct()
     keys = keys.withColumn(name, F.lit(True))
     cond = None
@@ -184,7 +201,7 @@ def _deletes(requests: DataFrame, target: DataFrame, checks, not_found: str = "n
     existence check. Requests after the first accepted delete of an id see
     the row gone and get ``not_found`` (unless an ``early`` check, one that
     precedes the existence check, already rejects them)."""
-    t = target.withColumnRenamed("id", "t_id")
+    t = _reduce(target, requests, [("id", "id")]).withColumnRenamed("id", "t_id")
     j = requests.join(t, C("id") == C("t_id"), "left")
     pre = [(r, c) for r, c in checks(j) if r in early]
     post = [(r, c) for r, c in checks(j) if r not in early]
@@ -214,13 +231,16 @@ def admit_bookings(requests: DataFrame, t: Tables) -> Change:
     the winner's status is Cancel. A missing (NULL) status means the default
     'Pending'."""
     req = requests.withColumn("status", F.coalesce(C("status"), F.lit("Pending")))
-    users = t.users.select(C("id").alias("u_id"), C("nama").alias("u_nama"))
-    avail = (t.session.filter(~C("status").isin("cancelled", "completed"))
-             .join(t.trainer.select(C("id").alias("tr_id")), C("trainer_id") == C("tr_id"), "left_semi")
+    # Every state relation is first reduced to the keys the batch asks about.
+    users = _reduce(t.users, req, [("actor_id", "id")]).select(C("id").alias("u_id"), C("nama").alias("u_nama"))
+    asked = _reduce(t.session.filter(~C("status").isin("cancelled", "completed")), req, [("session_id", "id")])
+    trainers = _reduce(t.trainer, asked, [("trainer_id", "id")]).select(C("id").alias("tr_id"))
+    avail = (asked.join(trainers, C("trainer_id") == C("tr_id"), "left_semi")
              .select(C("id").alias("s_id"), C("start_time").alias("s_start")))
     # One row per (session, member) of the state; the state may already hold
     # duplicates, which must not fan requests out.
-    pairs = (t.booking.groupBy(C("session_id").alias("e_sid"), C("member_id").alias("e_mid"))
+    pairs = (_reduce(t.booking, req, [("session_id", "session_id"), ("actor_id", "member_id")])
+             .groupBy(C("session_id").alias("e_sid"), C("member_id").alias("e_mid"))
              .agg(F.bool_or(F.coalesce(C("status") != "Cancel", F.lit(False))).alias("live")))
     j = (req.join(users, C("actor_id") == C("u_id"), "left")
          .join(avail, C("session_id") == C("s_id"), "left")
@@ -253,9 +273,10 @@ def change_booking_status(requests: DataFrame, t: Tables) -> Change:
     (or any other role): allowed. Authorisation never reads the current
     status, so requests are independent; the last accepted one per booking
     (by ``(request_ts, request_id)``) sets the status."""
-    b = t.booking.join(t.session.select(C("id").alias("s_id"), C("trainer_id").alias("s_trainer")),
-                       C("session_id") == C("s_id")).select(C("id").alias("b_id"), C("member_id").alias("b_member"),
-                                                            "s_trainer")
+    asked = _reduce(t.booking, requests, [("booking_id", "id")])
+    b = asked.join(t.session.select(C("id").alias("s_id"), C("trainer_id").alias("s_trainer")),
+                   C("session_id") == C("s_id")).select(C("id").alias("b_id"), C("member_id").alias("b_member"),
+                                                        "s_trainer")
     j = requests.join(b, C("booking_id") == C("b_id"), "left")
     reason = first_failing([
         ("invalid_status", ~in_domain("status", BOOKING_STATUSES)),
@@ -282,7 +303,7 @@ def admit_reviews(requests: DataFrame, t: Tables) -> Change:
     later ones get already_reviewed. The session need not be over."""
     conf = t.booking.filter(C("status") == "Confirmed")
     j = _flag(requests, conf, [("session_id", "session_id"), ("actor_id", "member_id")], "has_conf")
-    j = _flag(j, t.reviews, [("session_id", "session_id"), ("actor_id", "member_id")], "has_review")
+    j = _flag(j, t.reviews, [("session_id", "session_id"), ("actor_id", "member_id")], "has_review", by=requests)
     r = C("rating_score")
     base = first_failing([
         ("not_customer", F.coalesce(C("actor_role") != "customer", F.lit(True))),
@@ -351,7 +372,7 @@ def patch_sessions(requests: DataFrame, t: Tables) -> Change:
     validated alone against the pre-batch state; accepted patches apply
     last-write-per-field and set ``updated_at`` where a value changed."""
     j = _flag(requests, t.trainer, [("trainer_id", "id")], "trainer_ok")
-    j = _flag(j, t.session, [("id", "id")], "exists")
+    j = _flag(j, t.session, [("id", "id")], "exists", by=requests)
     named = F.exists(C("present"), lambda x: x.isin(*SESSION_PATCH_FIELDS))
     reason = first_failing([
         ("forbidden", ~F.coalesce(C("actor_role").isin(*STAFF), F.lit(False))),
@@ -369,7 +390,7 @@ def patch_progress(requests: DataFrame, t: Tables) -> Change:
     """M11 (unrouted in the reference): row exists -> owner (customer with
     that member id) or admin -> any of activity, duration, note named ->
     a named duration must be an integer."""
-    own = t.progress.select(C("id").alias("p_id"), C("member_id").alias("p_member"))
+    own = _reduce(t.progress, requests, [("id", "id")]).select(C("id").alias("p_id"), C("member_id").alias("p_member"))
     j = requests.join(own, C("id") == C("p_id"), "left")
     named = F.exists(C("present"), lambda x: x.isin(*PROGRESS_PATCH_FIELDS))
     reason = first_failing([
@@ -388,7 +409,7 @@ def patch_reviews(requests: DataFrame, t: Tables) -> Change:
     """M14 (unrouted in the reference): a named rating outside 1..5 (a named
     NULL counts as 0 in the JS comparison) -> row exists -> author or admin
     -> rating_score or comment named. Ratings are rounded on store."""
-    own = t.reviews.select(C("id").alias("r_id"), C("member_id").alias("r_member"))
+    own = _reduce(t.reviews, requests, [("id", "id")]).select(C("id").alias("r_id"), C("member_id").alias("r_member"))
     j = requests.join(own, C("id") == C("r_id"), "left")
     r = C("rating_score")
     named = F.exists(C("present"), lambda x: x.isin(*REVIEW_PATCH_FIELDS))
@@ -411,11 +432,12 @@ def delete_sessions(requests: DataFrame, t: Tables) -> Change:
     owning trainer -> not referenced by a review, nor by progress through one
     of its bookings (no cascade on those keys, so the transaction rolls
     back) -> delete its bookings, then the session, atomically."""
-    referenced = (t.reviews.select(C("session_id").alias("ref_sid"))
-                  .unionByName(t.progress.filter(C("booking_id").isNotNull())
-                               .join(t.booking.select(C("id").alias("bk"), "session_id"), C("booking_id") == C("bk"))
-                               .select(C("session_id").alias("ref_sid"))))
-    target = _flag(t.session.select("id", "trainer_id"), referenced, [("id", "ref_sid")], "referenced")
+    base = _reduce(t.session.select("id", "trainer_id"), requests, [("id", "id")])
+    bookings = _reduce(t.booking.select(C("id").alias("bk"), "session_id"), base, [("id", "session_id")])
+    via_progress = (_reduce(t.progress.filter(C("booking_id").isNotNull()), bookings, [("bk", "booking_id")])
+                    .join(bookings, C("booking_id") == C("bk")).select(C("session_id").alias("ref_sid")))
+    referenced = t.reviews.select(C("session_id").alias("ref_sid")).unionByName(via_progress)
+    target = _flag(base, referenced, [("id", "ref_sid")], "referenced")
 
     def checks(j):
         return [("forbidden", ~F.coalesce(C("actor_role").isin(*STAFF), F.lit(False))),
@@ -451,15 +473,17 @@ def delete_users(requests: DataFrame, t: Tables, mode: str = "restrict") -> Chan
     one of this user's bookings blocks it."""
     if mode not in ("restrict", "cascade"):
         raise ValueError(f"mode must be 'restrict' or 'cascade', not {mode!r}")
+    base = _reduce(t.users.select("id"), requests, [("id", "id")])
     if mode == "restrict":
         refs = (t.booking.select(C("member_id").alias("ref"))
                 .unionByName(t.progress.select(C("member_id").alias("ref")))
                 .unionByName(t.reviews.select(C("member_id").alias("ref"))))
     else:
-        refs = (t.progress.filter(C("booking_id").isNotNull())
-                .join(t.booking.select(C("id").alias("bk"), C("member_id").alias("owner")), C("booking_id") == C("bk"))
+        owned = _reduce(t.booking.select(C("id").alias("bk"), C("member_id").alias("owner")), base, [("id", "owner")])
+        refs = (_reduce(t.progress.filter(C("booking_id").isNotNull()), owned, [("bk", "booking_id")])
+                .join(owned, C("booking_id") == C("bk"))
                 .filter(C("owner") != C("member_id")).select(C("owner").alias("ref")))
-    target = _flag(t.users.select("id"), refs, [("id", "ref")], "referenced")
+    target = _flag(base, refs, [("id", "ref")], "referenced")
 
     def checks(j):
         return [("forbidden", ~_is_admin()), ("referenced", C("referenced"))]
@@ -488,8 +512,13 @@ def _merge(requests: DataFrame, state: DataFrame, fields: Sequence[str], allowed
         # A touched row whose final email equals another row's final email is
         # refused whole: its requests are rejected and the row keeps its
         # pre-batch values.
-        counts = merged.groupBy(norm_key("email").alias("__ek")).agg(F.count(F.lit(1)).alias("__n"))
-        clash = (merged.filter("__touched").join(counts, norm_key("email") == C("__ek"))
+        # Only emails that touched rows end with can collide: reduce the
+        # state to those before counting.
+        keyed = merged.withColumn("__ek", norm_key("email"))
+        touched = keyed.filter("__touched").select(C("__ek").alias("__tk"))
+        counts = (keyed.join(touched, C("__ek") == C("__tk"), "left_semi")
+                  .groupBy(C("__ek").alias("__ck")).agg(F.count(F.lit(1)).alias("__n")))
+        clash = (keyed.filter("__touched").join(counts, C("__ek") == C("__ck"))
                  .filter(C("__n") > 1).select(C("id").alias("__cid")))
         bad = accepted.join(clash, C("id") == C("__cid"), "left_semi")
         rejected = rejected.unionByName(bad.select(RID, F.lit("duplicate_email").alias("reason")))
