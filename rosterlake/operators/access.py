@@ -12,7 +12,8 @@ Rules are data: for every resource, the scope each role gets — ``all``,
 * ``visible_for(report, role, id, resource)`` is the single-principal form:
   one filter.
 
-Ownership compares ``(role, id)``: the reference compares bare ids, so
+The reference also defines a customer-only guard that no route uses (V7);
+it adds no rule. Ownership compares ``(role, id)``: the reference compares bare ids, so
 trainer 5 passes an own-row check meant for customer 5 (V6); that exposure
 is reported by ``bare_id_exposure`` instead of being reproduced.
 """
