@@ -13,9 +13,9 @@ Rules are data: for every resource, the scope each role gets — ``all``,
   one filter.
 
 The reference also defines a customer-only guard that no route uses (V7);
-it adds no rule. Ownership compares ``(role, id)``: the reference compares bare ids, so
-trainer 5 passes an own-row check meant for customer 5 (V6); that exposure
-is reported by ``bare_id_exposure`` instead of being reproduced.
+it adds no rule. Ownership compares ``(role, id)``: the reference compares
+bare ids, so trainer 5 passes an own-row check meant for customer 5 (V6);
+that exposure is reported by ``bare_id_exposure`` instead of reproduced.
 """
 
 from __future__ import annotations
@@ -60,7 +60,6 @@ RULES: dict[str, tuple[str, str, str, str | None]] = {
     "trainer_search": (ALL, ALL, ALL, None),
     "session_reviews": (ALL, ALL, ALL, None),
 }
-ROLE_INDEX = {"admin": 0, "trainer": 1, "customer": 2}
 
 
 def scope_of(role: Column, resource: str) -> Column:
