@@ -75,27 +75,43 @@ def _after(ts: Column, rid: Column) -> Column:
     return (C(TS) > ts) | ((C(TS) == ts) & (C(RID) > rid))
 
 
-def _reduce(big: DataFrame, small: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+# Largest request batch whose keys are broadcast to filter the state; one key
+# per request, at most two longs each, so the bound holds the broadcast to a
+# few tens of MB. Override with the session setting below.
+BROADCAST_REQUEST_ROWS = 1_000_000
+BROADCAST_REQUEST_ROWS_CONF = "rosterlake.change.broadcastRequestRows"
+
+
+def small_batch(requests: DataFrame) -> bool:
+    """Size check for the semi-join reduction: count the batch once."""
+    limit = int(requests.sparkSession.conf.get(BROADCAST_REQUEST_ROWS_CONF, str(BROADCAST_REQUEST_ROWS)))
+    return requests.count() <= limit
+
+
+def _reduce(big: DataFrame, small: DataFrame, pairs: Sequence[tuple[str, str]], enabled: bool) -> DataFrame:
     """Semi-join reduction: the rows of ``big`` whose columns (right of each
-    pair) equal those of some row of ``small`` (left of each pair). ``small``
-    (the requests) is the build side of the semi join, so AQE broadcasts it
-    when the batch is small and the state is filtered map-side, unshuffled;
-    a batch as large as the state costs one shuffle join instead."""
+    pair) equal those of some row of ``small`` (left of each pair). Only for
+    a batch that passed ``small_batch``: its keys (bounded by the batch's row
+    count) are broadcast and the state is filtered map-side without being
+    shuffled. A larger batch gets ``big`` whole, and the plan aggregates and
+    joins the state directly; a semi join there would add a shuffle."""
+    if not enabled:
+        return big
     keys = small.select(*[C(s_).alias(f"__red{i}") for i, (s_, _) in enumerate(pairs)])
     cond = None
     for i, (_, b) in enumerate(pairs):
         c = C(b) == C(f"__red{i}")
         cond = c if cond is None else cond & c
-    return big.join(keys, cond, "left_semi")
+    return big.join(F.broadcast(keys), cond, "left_semi")
 
 
 def _flag(df: DataFrame, other: DataFrame, pairs: Sequence[tuple[str, str]], name: str,
-          by: DataFrame | None = None) -> DataFrame:
+          by: DataFrame | None = None, reduce: bool = False) -> DataFrame:
     """Left-join a boolean ``name``: does ``other`` hold a row whose columns
     equal ``df``'s on every pair? ``other`` is first reduced to the keys the
     requests (``by``, default ``df``) ask about, then to distinct keys, so
     the state is never aggregated whole and the join never fans out."""
-    other = _reduce(other, df if by is None else by, pairs)
+    other = _reduce(other, df if by is None else by, pairs, reduce)
     keys = other.select(*[C(o).alias(f"__{name}_{i}") for i, (_, o) in enumerate(pairs)]).distinct()
     keys = keys.withColumn(name, F.lit(True))
     cond = None
@@ -196,12 +212,12 @@ def apply_patches(state: DataFrame, accepted: DataFrame, fields: Sequence[str],
 
 
 def _deletes(requests: DataFrame, target: DataFrame, checks, not_found: str = "not_found",
-             early: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+             early: Sequence[str] = (), small: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Shared delete flow. ``checks(j)`` gives the ordered checks after the
     existence check. Requests after the first accepted delete of an id see
     the row gone and get ``not_found`` (unless an ``early`` check, one that
     precedes the existence check, already rejects them)."""
-    t = _reduce(target, requests, [("id", "id")]).withColumnRenamed("id", "t_id")
+    t = _reduce(target, requests, [("id", "id")], small).withColumnRenamed("id", "t_id")
     j = requests.join(t, C("id") == C("t_id"), "left")
     pre = [(r, c) for r, c in checks(j) if r in early]
     post = [(r, c) for r, c in checks(j) if r not in early]
@@ -231,15 +247,18 @@ def admit_bookings(requests: DataFrame, t: Tables) -> Change:
     the winner's status is Cancel. A missing (NULL) status means the default
     'Pending'."""
     req = requests.withColumn("status", F.coalesce(C("status"), F.lit("Pending")))
+    small = small_batch(requests)
     # Every state relation is first reduced to the keys the batch asks about.
-    users = _reduce(t.users, req, [("actor_id", "id")]).select(C("id").alias("u_id"), C("nama").alias("u_nama"))
-    asked = _reduce(t.session.filter(~C("status").isin("cancelled", "completed")), req, [("session_id", "id")])
-    trainers = _reduce(t.trainer, asked, [("trainer_id", "id")]).select(C("id").alias("tr_id"))
+    users = _reduce(t.users, req, [("actor_id", "id")], small).select(C("id").alias("u_id"), C("nama").alias("u_nama"))
+    asked = _reduce(t.session.filter(~C("status").isin("cancelled", "completed")), req, [("session_id", "id")],
+                    small)
+    # at most one session per request, so the bound carries over
+    trainers = _reduce(t.trainer, asked, [("trainer_id", "id")], small).select(C("id").alias("tr_id"))
     avail = (asked.join(trainers, C("trainer_id") == C("tr_id"), "left_semi")
              .select(C("id").alias("s_id"), C("start_time").alias("s_start")))
     # One row per (session, member) of the state; the state may already hold
     # duplicates, which must not fan requests out.
-    pairs = (_reduce(t.booking, req, [("session_id", "session_id"), ("actor_id", "member_id")])
+    pairs = (_reduce(t.booking, req, [("session_id", "session_id"), ("actor_id", "member_id")], small)
              .groupBy(C("session_id").alias("e_sid"), C("member_id").alias("e_mid"))
              .agg(F.bool_or(F.coalesce(C("status") != "Cancel", F.lit(False))).alias("live")))
     j = (req.join(users, C("actor_id") == C("u_id"), "left")
@@ -273,7 +292,7 @@ def change_booking_status(requests: DataFrame, t: Tables) -> Change:
     (or any other role): allowed. Authorisation never reads the current
     status, so requests are independent; the last accepted one per booking
     (by ``(request_ts, request_id)``) sets the status."""
-    asked = _reduce(t.booking, requests, [("booking_id", "id")])
+    asked = _reduce(t.booking, requests, [("booking_id", "id")], small_batch(requests))
     b = asked.join(t.session.select(C("id").alias("s_id"), C("trainer_id").alias("s_trainer")),
                    C("session_id") == C("s_id")).select(C("id").alias("b_id"), C("member_id").alias("b_member"),
                                                         "s_trainer")
@@ -302,8 +321,10 @@ def admit_reviews(requests: DataFrame, t: Tables) -> Change:
     In a batch, the earliest passing request per (session, member) wins and
     later ones get already_reviewed. The session need not be over."""
     conf = t.booking.filter(C("status") == "Confirmed")
-    j = _flag(requests, conf, [("session_id", "session_id"), ("actor_id", "member_id")], "has_conf")
-    j = _flag(j, t.reviews, [("session_id", "session_id"), ("actor_id", "member_id")], "has_review", by=requests)
+    small = small_batch(requests)
+    j = _flag(requests, conf, [("session_id", "session_id"), ("actor_id", "member_id")], "has_conf", reduce=small)
+    j = _flag(j, t.reviews, [("session_id", "session_id"), ("actor_id", "member_id")], "has_review", by=requests,
+              reduce=small)
     r = C("rating_score")
     base = first_failing([
         ("not_customer", F.coalesce(C("actor_role") != "customer", F.lit(True))),
@@ -329,7 +350,8 @@ def admit_progress(requests: DataFrame, t: Tables) -> Change:
     an integer (the INT column refuses '30 mins') -> insert; a falsy
     booking_id (0, '') is stored as NULL."""
     own = t.booking.filter(C("status") == "Confirmed")
-    j = _flag(requests, own, [("booking_id", "id"), ("actor_id", "member_id")], "own_conf")
+    j = _flag(requests, own, [("booking_id", "id"), ("actor_id", "member_id")], "own_conf",
+              reduce=small_batch(requests))
     reason = first_failing([
         ("not_customer", F.coalesce(C("actor_role") != "customer", F.lit(True))),
         ("fields_required", ~truthy("activity") | ~truthy("duration") | ~truthy("note")),
@@ -349,7 +371,7 @@ def admit_sessions(requests: DataFrame, t: Tables) -> Change:
     """M5: actor is trainer or admin -> title, trainer_id, start_time truthy ->
     trainer exists -> status (default 'scheduled') in the enum -> insert."""
     req = requests.withColumn("status", F.coalesce(C("status"), F.lit("scheduled")))
-    j = _flag(req, t.trainer, [("trainer_id", "id")], "trainer_ok")
+    j = _flag(req, t.trainer, [("trainer_id", "id")], "trainer_ok", reduce=small_batch(requests))
     reason = first_failing([
         ("forbidden", ~F.coalesce(C("actor_role").isin(*STAFF), F.lit(False))),
         ("fields_required", ~truthy("title") | ~truthy("trainer_id", numeric=True) | C("start_time").isNull()),
@@ -371,8 +393,9 @@ def patch_sessions(requests: DataFrame, t: Tables) -> Change:
     no_fields -> session absent -> not_found. No owner check. Each patch is
     validated alone against the pre-batch state; accepted patches apply
     last-write-per-field and set ``updated_at`` where a value changed."""
-    j = _flag(requests, t.trainer, [("trainer_id", "id")], "trainer_ok")
-    j = _flag(j, t.session, [("id", "id")], "exists", by=requests)
+    small = small_batch(requests)
+    j = _flag(requests, t.trainer, [("trainer_id", "id")], "trainer_ok", reduce=small)
+    j = _flag(j, t.session, [("id", "id")], "exists", by=requests, reduce=small)
     named = F.exists(C("present"), lambda x: x.isin(*SESSION_PATCH_FIELDS))
     reason = first_failing([
         ("forbidden", ~F.coalesce(C("actor_role").isin(*STAFF), F.lit(False))),
@@ -390,7 +413,7 @@ def patch_progress(requests: DataFrame, t: Tables) -> Change:
     """M11 (unrouted in the reference): row exists -> owner (customer with
     that member id) or admin -> any of activity, duration, note named ->
     a named duration must be an integer."""
-    own = _reduce(t.progress, requests, [("id", "id")]).select(C("id").alias("p_id"), C("member_id").alias("p_member"))
+    own = _reduce(t.progress, requests, [("id", "id")], small_batch(requests)).select(C("id").alias("p_id"), C("member_id").alias("p_member"))
     j = requests.join(own, C("id") == C("p_id"), "left")
     named = F.exists(C("present"), lambda x: x.isin(*PROGRESS_PATCH_FIELDS))
     reason = first_failing([
@@ -409,7 +432,7 @@ def patch_reviews(requests: DataFrame, t: Tables) -> Change:
     """M14 (unrouted in the reference): a named rating outside 1..5 (a named
     NULL counts as 0 in the JS comparison) -> row exists -> author or admin
     -> rating_score or comment named. Ratings are rounded on store."""
-    own = _reduce(t.reviews, requests, [("id", "id")]).select(C("id").alias("r_id"), C("member_id").alias("r_member"))
+    own = _reduce(t.reviews, requests, [("id", "id")], small_batch(requests)).select(C("id").alias("r_id"), C("member_id").alias("r_member"))
     j = requests.join(own, C("id") == C("r_id"), "left")
     r = C("rating_score")
     named = F.exists(C("present"), lambda x: x.isin(*REVIEW_PATCH_FIELDS))
@@ -432,18 +455,21 @@ def delete_sessions(requests: DataFrame, t: Tables) -> Change:
     owning trainer -> not referenced by a review, nor by progress through one
     of its bookings (no cascade on those keys, so the transaction rolls
     back) -> delete its bookings, then the session, atomically."""
-    base = _reduce(t.session.select("id", "trainer_id"), requests, [("id", "id")])
-    bookings = _reduce(t.booking.select(C("id").alias("bk"), "session_id"), base, [("id", "session_id")])
-    via_progress = (_reduce(t.progress.filter(C("booking_id").isNotNull()), bookings, [("bk", "booking_id")])
+    small = small_batch(requests)
+    base = _reduce(t.session.select("id", "trainer_id"), requests, [("id", "id")], small)
+    # bookings of the asked sessions: not bounded by the batch (a session may
+    # hold many), so the progress side is a plain join and AQE picks the plan
+    bookings = _reduce(t.booking.select(C("id").alias("bk"), "session_id"), base, [("id", "session_id")], small)
+    via_progress = (t.progress.filter(C("booking_id").isNotNull())
                     .join(bookings, C("booking_id") == C("bk")).select(C("session_id").alias("ref_sid")))
     referenced = t.reviews.select(C("session_id").alias("ref_sid")).unionByName(via_progress)
-    target = _flag(base, referenced, [("id", "ref_sid")], "referenced")
+    target = _flag(base, referenced, [("id", "ref_sid")], "referenced", reduce=small)
 
     def checks(j):
         return [("forbidden", ~F.coalesce(C("actor_role").isin(*STAFF), F.lit(False))),
                 ("not_owner", ~_is_admin() & ~_is_owner("trainer", "trainer_id")),
                 ("referenced", C("referenced"))]
-    accepted, rejected, gone = _deletes(requests, target, checks, early=("forbidden",))
+    accepted, rejected, gone = _deletes(requests, target, checks, early=("forbidden",), small=small)
     session = t.session.join(gone, C("id") == C("del_id"), "left_anti")
     booking = t.booking.join(gone, C("session_id") == C("del_id"), "left_anti")
     return Change(accepted, rejected, {"session": session, "booking": booking})
@@ -453,7 +479,8 @@ def delete_progress(requests: DataFrame, t: Tables) -> Change:
     """Row exists -> owner (customer with that member id) or admin."""
     def checks(j):
         return [("forbidden", ~_is_admin() & ~_is_owner("customer", "member_id"))]
-    accepted, rejected, gone = _deletes(requests, t.progress.select("id", "member_id"), checks)
+    accepted, rejected, gone = _deletes(requests, t.progress.select("id", "member_id"), checks,
+                                        small=small_batch(requests))
     return Change(accepted, rejected, {"progress": t.progress.join(gone, C("id") == C("del_id"), "left_anti")})
 
 
@@ -461,7 +488,8 @@ def delete_reviews(requests: DataFrame, t: Tables) -> Change:
     """Row exists -> author or admin."""
     def checks(j):
         return [("forbidden", ~_is_admin() & ~_is_owner("customer", "member_id"))]
-    accepted, rejected, gone = _deletes(requests, t.reviews.select("id", "member_id"), checks)
+    accepted, rejected, gone = _deletes(requests, t.reviews.select("id", "member_id"), checks,
+                                        small=small_batch(requests))
     return Change(accepted, rejected, {"reviews": t.reviews.join(gone, C("id") == C("del_id"), "left_anti")})
 
 
@@ -473,21 +501,23 @@ def delete_users(requests: DataFrame, t: Tables, mode: str = "restrict") -> Chan
     one of this user's bookings blocks it."""
     if mode not in ("restrict", "cascade"):
         raise ValueError(f"mode must be 'restrict' or 'cascade', not {mode!r}")
-    base = _reduce(t.users.select("id"), requests, [("id", "id")])
+    small = small_batch(requests)
+    base = _reduce(t.users.select("id"), requests, [("id", "id")], small)
     if mode == "restrict":
         refs = (t.booking.select(C("member_id").alias("ref"))
                 .unionByName(t.progress.select(C("member_id").alias("ref")))
                 .unionByName(t.reviews.select(C("member_id").alias("ref"))))
     else:
-        owned = _reduce(t.booking.select(C("id").alias("bk"), C("member_id").alias("owner")), base, [("id", "owner")])
-        refs = (_reduce(t.progress.filter(C("booking_id").isNotNull()), owned, [("bk", "booking_id")])
+        owned = _reduce(t.booking.select(C("id").alias("bk"), C("member_id").alias("owner")), base,
+                        [("id", "owner")], small)
+        refs = (t.progress.filter(C("booking_id").isNotNull())
                 .join(owned, C("booking_id") == C("bk"))
                 .filter(C("owner") != C("member_id")).select(C("owner").alias("ref")))
-    target = _flag(base, refs, [("id", "ref")], "referenced")
+    target = _flag(base, refs, [("id", "ref")], "referenced", reduce=small)
 
     def checks(j):
         return [("forbidden", ~_is_admin()), ("referenced", C("referenced"))]
-    accepted, rejected, gone = _deletes(requests, target, checks, early=("forbidden",))
+    accepted, rejected, gone = _deletes(requests, target, checks, early=("forbidden",), small=small)
     states = {"users": t.users.join(gone, C("id") == C("del_id"), "left_anti")}
     if mode == "cascade":
         for rel in ("booking", "progress", "reviews"):
@@ -499,7 +529,7 @@ def delete_users(requests: DataFrame, t: Tables, mode: str = "restrict") -> Chan
 
 def _merge(requests: DataFrame, state: DataFrame, fields: Sequence[str], allowed: Column,
            unique_email: bool) -> Change:
-    j = _flag(requests, state, [("id", "id")], "exists")
+    j = _flag(requests, state, [("id", "id")], "exists", reduce=small_batch(requests))
     reason = first_failing([("forbidden", ~allowed), ("not_found", ~C("exists"))])
     accepted, rejected = _split(j, reason)
     order = F.struct(C(TS), C(RID))
@@ -558,7 +588,8 @@ def _register(requests: DataFrame, state: DataFrame, schema, extra_checks: list,
               ("fields_required", ~truthy("nama") | ~truthy("email") | ~F.coalesce(C("has_password"), F.lit(False)))]
     j = requests.withColumn("__ek", norm_key("email"))
     if unique_email:
-        j = _flag(j, state.select(norm_key("email").alias("__sek")), [("__ek", "__sek")], "taken")
+        j = _flag(j, state.select(norm_key("email").alias("__sek")), [("__ek", "__sek")], "taken",
+                  reduce=small_batch(requests))
         checks.append(("duplicate_email", C("taken")))
     j = j.withColumn("base", first_failing(checks))
     if unique_email:
