@@ -92,13 +92,15 @@ def account_union(users: DataFrame, trainer: DataFrame, admin: DataFrame) -> Dat
     return tag(users, "customer").unionByName(tag(trainer, "trainer")).unionByName(tag(admin, "admin"))
 
 
-def load_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> Tables:
+def load_tables(spark: SparkSession, path: str, fmt: str = "parquet", options: dict[str, str] | None = None) -> Tables:
     """Typed, declared-schema read of every relation stored under
-    ``path/<name>``. The declared schema is given to the reader so no
-    inference pass runs, and column pruning reaches the scan."""
+    ``path/<name>``. Text formats get the declared schema, so no inference
+    pass runs; ``options`` go to the reader (for CSV, say how NULL is
+    written, since an empty string is a real value here). Column pruning
+    reaches the scan."""
     frames = {}
     for name, schema in SCHEMAS.items():
-        reader = spark.read.format(fmt)
+        reader = spark.read.format(fmt).options(**(options or {}))
         if fmt != "parquet":
             reader = reader.schema(schema).option("header", "true")
         frames[name] = conform(reader.load(f"{path}/{name}"), schema)
