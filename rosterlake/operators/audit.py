@@ -92,7 +92,10 @@ def foreign_keys(t: Tables) -> DataFrame:
             F.lit(child).alias("child"), C("id"), F.lit(column).alias("column"), C(column).alias("fk"))
             for child, column in kids])
         p = getattr(t, parent).select(C("id").alias("pk"))
-        bad = c.join(p, C("fk") == C("pk"), "left_anti")
+        # left join + IS NULL rather than left_anti: Catalyst pushes an anti
+        # join below the union (one join, one parent shuffle, per child); an
+        # outer join stays above it. Same rows: only unmatched ones survive.
+        bad = c.join(p, C("fk") == C("pk"), "left").filter(C("pk").isNull())
         frames.append(bad.select(F.lit("foreign_key").alias("rule"), C("child").alias("relation"),
                                  C("id").cast("string").alias("key"),
                                  F.concat(C("column"), F.lit("="), _s("fk")).alias("detail")))
