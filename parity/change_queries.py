@@ -9,6 +9,8 @@ reference's rules would write it.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from rosterlake.operators import changes as M
 from rosterlake.sources import fixture_requests as RQ
 
@@ -41,9 +43,11 @@ def _ids(table: str) -> str:
     return f"coalesce((select max(id) from {table}), 0) + row_number() over (order by request_ts, request_id)"
 
 
-def _triple(key: str, fn, ctes: list[str], rejected_sel: str, accepted_sel: str, state_sel: str | None = None):
+def _triple(key: str, fn, ctes: list[str], rejected_sel: str, accepted_sel: str, state_sel: str | None = None,
+            accepted_view=None):
+    view = accepted_view or (lambda df: df)
     register(f"{key}_rejected", _sql(ctes, rejected_sel))(lambda s, d: fn(s, d).rejected)
-    register(f"{key}_accepted", _sql(ctes, accepted_sel))(lambda s, d: fn(s, d).accepted)
+    register(f"{key}_accepted", _sql(ctes, accepted_sel))(lambda s, d: view(fn(s, d).accepted))
     if state_sel is not None:
         register(f"{key}_state", _sql(ctes, state_sel[1]))(lambda s, d: fn(s, d).states[state_sel[0]])
 
@@ -247,8 +251,16 @@ fin AS (select r.*, case
         end as reason
         from session_patch r)"""]
 _c06, _s06 = _patch_state("session", _SESSION_COLS, list(M.SESSION_PATCH_FIELDS), touch="updated_at")
-_triple("m06_patch_sessions", _m06, _M06 + [_c06], _REJ, "select request_id, id, present from fin where reason is null",
-        ("session", _s06))
+# ``present`` is exposed as a comma-joined string (list order kept) so both
+# sides compare plain values.
+_PRESENT_SEL = "select request_id, id, array_to_string(present, ',') as present from fin where reason is null"
+
+
+def _present_str(df):
+    return df.withColumn("present", F.array_join("present", ","))
+
+
+_triple("m06_patch_sessions", _m06, _M06 + [_c06], _REJ, _PRESENT_SEL, ("session", _s06), accepted_view=_present_str)
 
 
 def _m11(spark, d):
@@ -269,8 +281,8 @@ fin AS (select r.*, case
         from progress_patch r left join progress p on p.id = r.id)"""]
 _c11, _s11 = _patch_state("progress", ["id", "member_id", "booking_id", "activity", "duration", "note", "jam_nyatat"],
                           list(M.PROGRESS_PATCH_FIELDS), value={"duration": "cast(trim({a}.duration) as integer)"})
-_triple("m11_patch_progress", _m11, _M11 + [_c11], _REJ, "select request_id, id, present from fin where reason is null",
-        ("progress", _s11))
+_triple("m11_patch_progress", _m11, _M11 + [_c11], _REJ, _PRESENT_SEL, ("progress", _s11),
+        accepted_view=_present_str)
 
 
 def _m14(spark, d):
@@ -292,8 +304,8 @@ fin AS (select r.*, case
 _c14, _s14 = _patch_state("reviews", ["id", "session_id", "member_id", "rating_score", "comment", "datetime_created"],
                           list(M.REVIEW_PATCH_FIELDS),
                           value={"rating_score": "cast(round({a}.rating_score) as tinyint)"})
-_triple("m14_patch_reviews", _m14, _M14 + [_c14], _REJ, "select request_id, id, present from fin where reason is null",
-        ("reviews", _s14))
+_triple("m14_patch_reviews", _m14, _M14 + [_c14], _REJ, _PRESENT_SEL, ("reviews", _s14),
+        accepted_view=_present_str)
 
 # ------------------------------------------------------------------ deletes
 
