@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import decontaminate, packing, simhash, token_output
+from rosterlake.llm import decontaminate, language_id, packing, simhash, token_output, toxicity
+from rosterlake.llm.common import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,20 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (F.col("leaks.n_hit") > 0).alias("contaminated"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(fold("doc_id", 4) != 2))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score", "language.ambiguous")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(toxicity.labelled(docs.where(fold("doc_id", 3) != 1), table(spark, sf_dir, "labels")))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "toxicity.score", "toxicity.predicted")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -54,6 +69,8 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_language_id": op2_language_id,
+    "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_token_output": op6_token_output,
