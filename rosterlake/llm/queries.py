@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import decontaminate, language_id, packing, simhash, token_output, toxicity
+from rosterlake.llm import decontaminate, language_id, packing, secret_scan, simhash, token_output, toxicity
 from rosterlake.llm.common import fold
 
 
@@ -67,6 +67,14 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Only the arrays leave the scan of the texts.
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    count = [F.size(secret_scan.of_kind("found", k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *count, F.sha2(secret_scan.joined(F.col("found")).cast("binary"), 256).alias("base_sha256"),
+                        secret_scan.joined(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
@@ -74,5 +82,6 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_token_output": op6_token_output,
+    "op8_secret_scan": op8_secret_scan,
 }
 SQL: dict[str, str] = {}
