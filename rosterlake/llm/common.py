@@ -39,6 +39,8 @@ class Scratch:
         """Write ``df`` once and read it back with the schema it had."""
         path = self.path(name)
         df.write.option("compression", "zstd").parquet(path)
+        # The shuffle files of the finished step go once its plan is collected.
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *frames: DataFrame) -> None:

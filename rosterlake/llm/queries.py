@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import decontaminate, language_id, packing, secret_scan, simhash, token_output, toxicity
+from rosterlake.llm import decontaminate, language_id, packing, secret_scan, simhash, suffix_dedup, token_output, toxicity
 from rosterlake.llm.common import fold
 
 
@@ -75,6 +75,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secret_scan.joined(F.col("spans")).alias("spans"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
@@ -83,5 +88,6 @@ QUERIES = {
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_token_output": op6_token_output,
     "op8_secret_scan": op8_secret_scan,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 SQL: dict[str, str] = {}
