@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import decontaminate, language_id, packing, secret_scan, simhash, suffix_dedup, token_output, toxicity
+from rosterlake.llm import decontaminate, embedding_dedup, language_id, packing, secret_scan, simhash, suffix_dedup, token_output, toxicity
 from rosterlake.llm.common import fold
 
 
@@ -67,6 +67,10 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)[0]
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Only the arrays leave the scan of the texts.
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
@@ -87,6 +91,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_token_output": op6_token_output,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
