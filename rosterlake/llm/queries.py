@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import decontaminate, embedding_dedup, language_id, packing, secret_scan, simhash, suffix_dedup, token_output, toxicity
+from rosterlake.llm import decontaminate, embedding_dedup, html_extract, language_id, packing, secret_scan, simhash, suffix_dedup, token_output, toxicity
 from rosterlake.llm.common import fold
 
 
@@ -79,6 +79,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secret_scan.joined(F.col("spans")).alias("spans"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "main.text", "main.n_chars")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=200)
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -93,6 +98,7 @@ QUERIES = {
     "op6_token_output": op6_token_output,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_secret_scan": op8_secret_scan,
+    "op9_html_extract": op9_html_extract,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 SQL: dict[str, str] = {}
