@@ -207,20 +207,21 @@ def link_fingerprints(distinct: DataFrame, scratch: Scratch, max_bits: int = 4)
 
 
 def classes(fingerprints: DataFrame, scratch: Scratch, max_bits: int = 4) -> DataFrame:
-    """(fp, component_id) of every distinct fingerprint in a table
-    (doc_id, fp): the smallest doc_id reachable over links. Null ids count
-    only where a class has no other."""
+    """(fp, root, component_id) of every distinct fingerprint in a table
+    (doc_id, fp): its class, and the smallest doc_id reachable over links. Null
+    ids count only where a class has no other."""
     distinct = scratch.table(fingerprints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     links = scratch.table(link_fingerprints(distinct.select("fp"), scratch, max_bits).distinct(), "links")
     nodes = scratch.table(connected_components(links, scratch).select(F.col("node").alias("fp"), "component"), "nodes")
     rooted = distinct.join(nodes, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     rooted = scratch.table(rooted, "rooted")
     least = scratch.table(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id), a row per row of ``docs``.
+    """(doc_id, fp, root, component_id), a row per row of ``docs``; rows of a
+    class share ``root``, the smallest fingerprint reachable.
 
     Null texts have fingerprint zero and link like any other; repeated rows
     and ids stay; other columns are not read; no rows give no rows.
@@ -229,4 +230,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     prints = scratch.table(add_fingerprints(source, "text", shingle).select("doc_id", F.col("simhash.fingerprint").alias("fp")), "prints")
     classed = scratch.table(classes(prints, scratch, max_bits), "classes")
-    return prints.join(classed, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(classed, "fp").select("doc_id", "fp", "root", "component_id")
