@@ -1,7 +1,7 @@
 """Toxicity scores from a linear classifier over scaled character n-grams.
 
 Naive Bayes log-count ratios of n-gram presence come from document counts over
-all training rows. Of the buckets that are commoner in toxic texts, the
+all training rows. Of the buckets that are clearly commoner in toxic texts, the
 ``FEATURES`` that tell the classes apart best (likelihood-ratio statistic over
 all rows) are the features, so the length of a clean passage around a toxic one
 doesn't hide it; each is its presence times its log-count ratio. A logistic regression over them is fitted
@@ -28,7 +28,9 @@ HASH_BITS = 18
 FEATURES = 4096
 #: A feature's least statistic: chance reaches it in none of 2**18 buckets.
 MIN_STRENGTH = 28.0
-SAMPLE_ROWS = 20_000
+#: A feature is at least so much commoner (log ratio) in toxic texts.
+MIN_RATIO = 1.0
+SAMPLE_ROWS = 12_000
 THRESHOLD = 0.7
 RIDGE = 1e-4
 STEPS = 400
@@ -87,9 +89,10 @@ def _likelihood_ratio(n: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 def _fit(features: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression with a small ridge, over sparse rows."""
-    idx = np.concatenate(features) if features else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(y)), [len(f) for f in features])
+    idx = np.concatenate([np.zeros(0, np.int32), *features])
+    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(f) for f in features])
     used, k = np.unique(idx, return_inverse=True)
+    k = k.astype(np.int32)
     x, n = ratio[used][k], len(y)
     w, b = np.zeros(len(used)), np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
     # Adam on the full batch: the rows differ much in how many features they have.
@@ -119,7 +122,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic")
         return ToxicityModel(np.zeros(1 << HASH_BITS), float(np.log(share / (1 - share))))
     ratio = np.log((n[1] + 0.5) / (docs[1] + 1)) - np.log((n[0] + 0.5) / (docs[0] + 1))
     strength = _likelihood_ratio(n, docs)
-    strength[ratio <= 0] = 0
+    strength[ratio < MIN_RATIO] = 0
     best = np.argsort(-strength, kind="stable")[:FEATURES]
     chosen = np.zeros(1 << HASH_BITS, bool)
     chosen[best[strength[best] >= MIN_STRENGTH]] = True
@@ -133,7 +136,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic")
     sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
     sample = sample.mapInArrow(active, "features array<int>, toxic int").toPandas()
     scratch.drop(rows)
-    weight, bias = _fit([np.asarray(f, np.int64) for f in sample["features"]], sample["toxic"].to_numpy(float), ratio)
+    weight, bias = _fit([np.asarray(f, np.int32) for f in sample["features"]], sample["toxic"].to_numpy(float), ratio)
     return ToxicityModel(weight, bias)
 
 
@@ -159,6 +162,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: st
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(text, toxic): documents with a label; of several labels of an id the
-    largest holds."""
+    largest holds. The join is a merge join at every size, so that labels need
+    not fit anywhere as a whole."""
     one = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("__toxic"))
-    return docs.select(id_col, text_col).join(one, id_col).select(F.col(text_col).alias("text"), F.col("__toxic").alias("toxic"))
+    return docs.select(id_col, text_col).join(one.hint("merge"), id_col).select(F.col(text_col).alias("text"), F.col("__toxic").alias("toxic"))
