@@ -168,7 +168,8 @@ fin AS (select r.*, case
           when r.booking_id is not null and r.booking_id <> 0
                and not exists (select 1 from booking b where b.status = 'Confirmed' and b.id = r.booking_id
                                and b.member_id = r.actor_id) then 'booking_not_confirmed'
-          when not coalesce(regexp_full_match(r.duration, '\s*[+-]?[0-9]+\s*'), false) then 'invalid_duration'
+          when not coalesce(regexp_full_match(r.duration, '\s*[+-]?[0-9]+\s*'), false)
+               or try_cast(trim(r.duration) as integer) is null then 'invalid_duration'
         end as reason
         from progress_req r)"""]
 
@@ -248,6 +249,8 @@ fin AS (select r.*, case
           when not list_has_any(r.present, ['title', 'deskripsi', 'trainer_id', 'start_time', 'end_time', 'price',
                                             'status']) then 'no_fields'
           when not exists (select 1 from session s where s.id = r.id) then 'not_found'
+          when (list_contains(r.present, 'title') and r.title is null)
+               or (list_contains(r.present, 'start_time') and r.start_time is null) then 'not_null'
         end as reason
         from session_patch r)"""]
 _c06, _s06 = _patch_state("session", _SESSION_COLS, list(M.SESSION_PATCH_FIELDS), touch="updated_at")
@@ -276,7 +279,10 @@ fin AS (select r.*, case
             then 'forbidden'
           when not list_has_any(r.present, ['activity', 'duration', 'note']) then 'no_fields'
           when list_contains(r.present, 'duration')
-               and not coalesce(regexp_full_match(r.duration, '\s*[+-]?[0-9]+\s*'), false) then 'invalid_duration'
+               and (not coalesce(regexp_full_match(r.duration, '\s*[+-]?[0-9]+\s*'), false)
+                    or try_cast(trim(r.duration) as integer) is null) then 'invalid_duration'
+          when (list_contains(r.present, 'activity') and r.activity is null)
+               or (list_contains(r.present, 'note') and r.note is null) then 'not_null'
         end as reason
         from progress_patch r left join progress p on p.id = r.id)"""]
 _c11, _s11 = _patch_state("progress", ["id", "member_id", "booking_id", "activity", "duration", "note", "jam_nyatat"],

@@ -16,8 +16,10 @@ reference's outcome depends on earlier requests of the same batch (a second
 booking of one seat, a second review, a second delete), the earliest
 eligible request per business key is found with an aggregate (``min`` of a
 struct, combined map-side, so a hot key costs one partial row per task) and
-every request compares itself with it; AQE's skew join splits a hot key on
-the way back. Identity-changing checks compare ``(role, id)``, never a bare
+every request that passed the checks before compares itself with it. The
+aggregate is exchanged anew for that join (``_apart``), so AQE's skew join
+can split a hot key. Nothing runs while a plan is built, but for the id
+assignment of inserts. Identity-changing checks compare ``(role, id)``, never a bare
 id (customer 5 and trainer 5 are different principals).
 """
 
@@ -32,7 +34,6 @@ from pyspark.sql import functions as F
 from ..functions.columns import first_failing, in_domain, js_or, norm_key, rating_value, truthy
 from ..sources.schema import (ADMIN, BOOKING, BOOKING_STATUSES, PROGRESS, REVIEWS, SESSION, SESSION_STATUSES,
                               TRAINER, USERS, Tables, conform)
-from ..plans.session import materialize
 from .ids import assign_ids, max_id
 
 C = F.col
@@ -75,69 +76,68 @@ def _after(ts: Column, rid: Column) -> Column:
     return (C(TS) > ts) | ((C(TS) == ts) & (C(RID) > rid))
 
 
-# Largest request batch whose keys are broadcast to filter the state; one key
-# per request, at most two longs each, so the bound holds the broadcast to a
-# few tens of MB. Override with the session setting below.
-BROADCAST_REQUEST_ROWS = 1_000_000
-BROADCAST_REQUEST_ROWS_CONF = "rosterlake.change.broadcastRequestRows"
+def _apart(name: str, *cols) -> Column:
+    """Always 0, which the planner can't know. An aggregate leaves its rows
+    partitioned by its keys, and so does a join; the next join on those keys
+    would read them as they lie, and AQE splits a hot key only where both
+    inputs of a join are exchanges and no later step relies on its
+    partitioning. With this column among the keys of the join called ``name``
+    both sides are exchanged for it: a batch is shuffled once more, and no
+    key of it has to fit one task."""
+    return F.pmod(F.xxhash64(*cols, F.lit(name)), F.lit(1))
 
 
-def small_batch(requests: DataFrame) -> bool:
-    """Size check for the semi-join reduction: count the batch once."""
-    limit = int(requests.sparkSession.conf.get(BROADCAST_REQUEST_ROWS_CONF, str(BROADCAST_REQUEST_ROWS)))
-    return requests.count() <= limit
-
-
-def _reduce(big: DataFrame, small: DataFrame, pairs: Sequence[tuple[str, str]], enabled: bool) -> DataFrame:
+def _reduce(big: DataFrame, small: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Semi-join reduction: the rows of ``big`` whose columns (right of each
-    pair) equal those of some row of ``small`` (left of each pair). Only for
-    a batch that passed ``small_batch``: its keys (bounded by the batch's row
-    count) are broadcast and the state is filtered map-side without being
-    shuffled. A larger batch gets ``big`` whole, and the plan aggregates and
-    joins the state directly; a semi join there would add a shuffle."""
-    if not enabled:
-        return big
+    pair) equal those of some row of ``small`` (left of each pair). Spark
+    chooses the join from its own sizes."""
     keys = small.select(*[C(s_).alias(f"__red{i}") for i, (s_, _) in enumerate(pairs)])
     cond = None
     for i, (_, b) in enumerate(pairs):
         c = C(b) == C(f"__red{i}")
         cond = c if cond is None else cond & c
-    return big.join(F.broadcast(keys), cond, "left_semi")
+    return big.join(keys, cond, "left_semi")
 
 
 def _flag(df: DataFrame, other: DataFrame, pairs: Sequence[tuple[str, str]], name: str,
-          by: DataFrame | None = None, reduce: bool = False) -> DataFrame:
+          by: DataFrame | None = None) -> DataFrame:
     """Left-join a boolean ``name``: does ``other`` hold a row whose columns
     equal ``df``'s on every pair? ``other`` is first reduced to the keys the
     requests (``by``, default ``df``) ask about, then to distinct keys, so
     the state is never aggregated whole and the join never fans out."""
-    other = _reduce(other, df if by is None else by, pairs, reduce)
-    keys = other.select(*[C(o).alias(f"__{name}_{i}") for i, (_, o) in enumerate(pairs)]).distinct()
-    keys = keys.withColumn(name, F.lit(True))
-    cond = None
-    for i, (d, _) in enumerate(pairs):
-        c = C(d) == C(f"__{name}_{i}")
-        cond = c if cond is None else cond & c
-    out = df.join(keys, cond, "left").drop(*[f"__{name}_{i}" for i in range(len(pairs))])
+    other = _reduce(other, df if by is None else by, pairs)
+    mine = [f"__{name}_{i}" for i in range(len(pairs))]
+    keys = other.select(*[C(o).alias(m) for m, (_, o) in zip(mine, pairs)]).distinct()
+    keys = keys.withColumn(name, F.lit(True)).withColumn("__apart", _apart(name, *mine))
+    cond = _apart(name, *[C(d) for d, _ in pairs]) == C("__apart")
+    for m, (d, _) in zip(mine, pairs):
+        cond = cond & (C(d) == C(m))
+    out = df.join(keys, cond, "left").drop(*mine, "__apart")
     return out.withColumn(name, F.coalesce(C(name), F.lit(False)))
 
 
-def _first_wins(j: DataFrame, base: str, eligible: Column, keys: Sequence[str], prefix: str = "w") -> DataFrame:
-    """Attach the earliest eligible request per ``keys`` as ``{prefix}_ts``,
-    ``{prefix}_id`` and ``{prefix}_row`` (a struct of the eligible row).
-
-    ``j`` feeds two branches (the aggregate and the join back); the
-    optimizer prunes and pushes filters differently into each, so their
-    shuffles cannot be reused and the validation joins would run twice. It
-    is therefore written once (``materialize``) and both branches scan it.
-    The winner is a ``min`` (partial aggregation splits a hot key across
-    map tasks) and AQE's skew join splits a hot key on the join back; a
-    window per key would put a hot key's requests in one task."""
-    j = materialize(j, "validated")
-    row = F.struct(C(TS).alias("__ts"), C(RID).alias("__rid"), *[C(c) for c in j.columns if c not in (TS, RID)])
-    win = j.groupBy(*keys).agg(F.min(F.when(eligible, row)).alias(f"{prefix}_row"))
-    return (j.join(win, list(keys), "left")
-            .withColumn(f"{prefix}_ts", C(f"{prefix}_row.__ts")).withColumn(f"{prefix}_id", C(f"{prefix}_row.__rid")))
+def _first_wins(j: DataFrame, eligible: Column, asks: Column, keys: Sequence[str],
+                carry: Sequence[str] = ()) -> DataFrame:
+    """Attach the earliest eligible request per ``keys`` as ``w_ts``, ``w_id``
+    and, for ``carry``, ``w_<column>``.
+
+    Only eligible rows are aggregated, by their order key and what is
+    carried (combined map-side, so a hot key costs one partial row per task).
+    Only rows that ``asks`` holds for meet the winners; the others can't be
+    changed by one and pass by, so blank or missing keys never gather."""
+    asks = F.coalesce(asks, F.lit(False))
+    win = (j.filter(eligible).groupBy(*keys)
+           .agg(F.min(F.struct(C(TS).alias("ts"), C(RID).alias("id"), *carry)).alias("__w"))
+           .select(*[C(k).alias(f"__w_{k}") for k in keys], "__w", _apart("winner", *keys).alias("__apart")))
+    cond = _apart("winner", *keys) == C("__apart")
+    for k in keys:
+        cond = cond & (C(k) == C(f"__w_{k}"))
+    met = j.filter(asks).join(win, cond, "left")
+    names = ["ts", "id", *carry]
+    met = met.select(*j.columns, *[C(f"__w.{n}").alias(f"w_{n}") for n in names])
+    kinds = {"ts": j.schema[TS].dataType, "id": j.schema[RID].dataType, **{c: j.schema[c].dataType for c in carry}}
+    rest = j.filter(~asks).select(*j.columns, *[F.lit(None).cast(kinds[n]).alias(f"w_{n}") for n in names])
+    return met.unionByName(rest)
 
 
 def _split(j: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
@@ -155,10 +155,12 @@ def _is_admin() -> Column:
     return F.coalesce(C("actor_role") == "admin", F.lit(False))
 
 
-def _insert(accepted: DataFrame, state: DataFrame, schema, **cols: Column) -> tuple[DataFrame, DataFrame]:
-    """Give accepted inserts dense ids after the table's current maximum (M1)
-    and return ``(accepted rows with ids, new state)``."""
-    top = max_id(state)
+def _insert(accepted: DataFrame, state: DataFrame, schema, floor: int, **cols: Column) -> tuple[DataFrame, DataFrame]:
+    """Give accepted inserts dense ids after the largest id ever given (M1):
+    the table's maximum or ``floor``, the published high-water mark, so the id
+    of a deleted row is not given again. Returns ``(accepted rows with ids,
+    new state)``."""
+    top = max(max_id(state), floor)
     shaped = accepted.select(RID, TS, *[v.alias(k) for k, v in cols.items()])
     with_ids = assign_ids(shaped, top, _order()).drop(TS)
     new_state = state.unionByName(conform(with_ids, schema))
@@ -166,14 +168,14 @@ def _insert(accepted: DataFrame, state: DataFrame, schema, **cols: Column) -> tu
 
 
 def _insert_change(accepted: DataFrame, rejected: DataFrame, state: DataFrame, relation: str, schema,
-                   **cols: Column) -> Change:
+                   floor: int, **cols: Column) -> Change:
     """A Change whose accepted rows and new state are built (ids assigned)
     only when first read."""
     memo: dict = {}
 
     def build():
         if "v" not in memo:
-            memo["v"] = _insert(accepted, state, schema, **cols)
+            memo["v"] = _insert(accepted, state, schema, floor, **cols)
         return memo["v"]
     return Change(lambda: build()[0], rejected, lambda: {relation: build()[1]})
 
@@ -182,6 +184,19 @@ def _present(f: str) -> Column:
     return F.coalesce(F.array_contains(C("present"), f), F.lit(False))
 
 
+def _integer(c: str) -> Column:
+    """Digits that the INT column can hold."""
+    return F.coalesce(C(c).rlike(INTEGER_TEXT) & F.trim(C(c)).try_cast("int").isNotNull(), F.lit(False))
+
+
+def _named_null(*fields: str) -> Column:
+    """A patch names one of the fields and gives NULL."""
+    out = F.lit(False)
+    for f in fields:
+        out = out | (_present(f) & C(f).isNull())
+    return out
+
+
 def apply_patches(state: DataFrame, accepted: DataFrame, fields: Sequence[str], touch: str | None = None) -> DataFrame:
     """Last write per field: for every field, the value of the latest
     accepted patch (by ``(request_ts, request_id)``) that names it in
@@ -212,20 +227,22 @@ def apply_patches(state: DataFrame, accepted: DataFrame, fields: Sequence[str],
 
 
 def _deletes(requests: DataFrame, target: DataFrame, checks, not_found: str = "not_found",
-             early: Sequence[str] = (), small: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+             early: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Shared delete flow. ``checks(j)`` gives the ordered checks after the
     existence check. Requests after the first accepted delete of an id see
     the row gone and get ``not_found`` (unless an ``early`` check, one that
     precedes the existence check, already rejects them)."""
-    t = _reduce(target, requests, [("id", "id")], small).withColumnRenamed("id", "t_id")
+    t = _reduce(target, requests, [("id", "id")]).withColumnRenamed("id", "t_id")
     j = requests.join(t, C("id") == C("t_id"), "left")
     pre = [(r, c) for r, c in checks(j) if r in early]
     post = [(r, c) for r, c in checks(j) if r not in early]
     base = first_failing([*pre, (not_found, C("t_id").isNull()), *post])
     j = j.withColumn("base", base)
-    j = _first_wins(j, "base", C("base").isNull(), ["id"])
+    early_hit = F.coalesce(C("base").isin(*early), F.lit(False)) if early else F.lit(False)
+    # An absent row has no winner: its requests are settled already.
+    asks = ~early_hit & (C("base").isNull() | (C("base") != not_found))
+    j = _first_wins(j, C("base").isNull(), asks, ["id"])
     gone = C("w_ts").isNotNull() & _after(C("w_ts"), C("w_id"))
-    early_hit = C("base").isin(*early) if early else F.lit(False)
     reason = F.when(early_hit, C("base")).when(gone, F.lit(not_found)).otherwise(C("base"))
     accepted, rejected = _split(j, reason)
     return accepted.select(RID, TS, "id"), rejected, accepted.select(C("id").alias("del_id")).distinct()
@@ -247,23 +264,22 @@ def admit_bookings(requests: DataFrame, t: Tables) -> Change:
     the winner's status is Cancel. A missing (NULL) status means the default
     'Pending'."""
     req = requests.withColumn("status", F.coalesce(C("status"), F.lit("Pending")))
-    small = small_batch(requests)
     # Every state relation is first reduced to the keys the batch asks about.
-    users = _reduce(t.users, req, [("actor_id", "id")], small).select(C("id").alias("u_id"), C("nama").alias("u_nama"))
-    asked = _reduce(t.session.filter(~C("status").isin("cancelled", "completed")), req, [("session_id", "id")],
-                    small)
-    # at most one session per request, so the bound carries over
-    trainers = _reduce(t.trainer, asked, [("trainer_id", "id")], small).select(C("id").alias("tr_id"))
+    users = _reduce(t.users, req, [("actor_id", "id")]).select(C("id").alias("u_id"), C("nama").alias("u_nama"))
+    asked = _reduce(t.session.filter(~C("status").isin("cancelled", "completed")), req, [("session_id", "id")])
+    trainers = _reduce(t.trainer, asked, [("trainer_id", "id")]).select(C("id").alias("tr_id"))
     avail = (asked.join(trainers, C("trainer_id") == C("tr_id"), "left_semi")
              .select(C("id").alias("s_id"), C("start_time").alias("s_start")))
     # One row per (session, member) of the state; the state may already hold
     # duplicates, which must not fan requests out.
-    pairs = (_reduce(t.booking, req, [("session_id", "session_id"), ("actor_id", "member_id")], small)
+    pairs = (_reduce(t.booking, req, [("session_id", "session_id"), ("actor_id", "member_id")])
              .groupBy(C("session_id").alias("e_sid"), C("member_id").alias("e_mid"))
-             .agg(F.bool_or(F.coalesce(C("status") != "Cancel", F.lit(False))).alias("live")))
+             .agg(F.bool_or(F.coalesce(C("status") != "Cancel", F.lit(False))).alias("live"))
+             .withColumn("e_apart", _apart("pairs", "e_sid", "e_mid")))
     j = (req.join(users, C("actor_id") == C("u_id"), "left")
          .join(avail, C("session_id") == C("s_id"), "left")
-         .join(pairs, (C("session_id") == C("e_sid")) & (C("actor_id") == C("e_mid")), "left"))
+         .join(pairs, (C("session_id") == C("e_sid")) & (C("actor_id") == C("e_mid"))
+               & (_apart("pairs", "session_id", "actor_id") == C("e_apart")), "left"))
     base = first_failing([
         ("session_id_required", ~truthy("session_id", numeric=True)),
         ("customer_not_found", C("u_id").isNull()),
@@ -273,13 +289,13 @@ def admit_bookings(requests: DataFrame, t: Tables) -> Change:
         ("unique_key_conflict", C("live") == F.lit(False)),
     ])
     j = j.withColumn("base", base).withColumn("ok", in_domain("status", BOOKING_STATUSES))
-    j = _first_wins(j.select(RID, TS, "actor_id", "session_id", "status", "u_nama", "base", "ok"), "base",
-                    C("base").isNull() & C("ok"), ["session_id", "actor_id"])
-    dup = F.when(C("w_row").isNotNull() & _after(C("w_ts"), C("w_id")),
-                 F.when(C("w_row.status") != "Cancel", F.lit("already_booked")).otherwise(F.lit("unique_key_conflict")))
+    j = _first_wins(j.select(RID, TS, "actor_id", "session_id", "status", "u_nama", "base", "ok"),
+                    C("base").isNull() & C("ok"), C("base").isNull(), ["session_id", "actor_id"], ["status"])
+    dup = F.when(C("w_ts").isNotNull() & _after(C("w_ts"), C("w_id")),
+                 F.when(C("w_status") != "Cancel", F.lit("already_booked")).otherwise(F.lit("unique_key_conflict")))
     reason = F.coalesce(C("base"), dup, F.when(~C("ok"), F.lit("invalid_status")))
     accepted, rejected = _split(j, reason)
-    return _insert_change(accepted, rejected, t.booking, "booking", BOOKING, session_id=C("session_id"),
+    return _insert_change(accepted, rejected, t.booking, "booking", BOOKING, t.floor("booking"), session_id=C("session_id"),
                           member_id=C("actor_id"), status=C("status"), datetime_created=C(TS),
                           member_name=C("u_nama"))
 
@@ -292,7 +308,7 @@ def change_booking_status(requests: DataFrame, t: Tables) -> Change:
     (or any other role): allowed. Authorisation never reads the current
     status, so requests are independent; the last accepted one per booking
     (by ``(request_ts, request_id)``) sets the status."""
-    asked = _reduce(t.booking, requests, [("booking_id", "id")], small_batch(requests))
+    asked = _reduce(t.booking, requests, [("booking_id", "id")])
     b = asked.join(t.session.select(C("id").alias("s_id"), C("trainer_id").alias("s_trainer")),
                    C("session_id") == C("s_id")).select(C("id").alias("b_id"), C("member_id").alias("b_member"),
                                                         "s_trainer")
@@ -321,10 +337,8 @@ def admit_reviews(requests: DataFrame, t: Tables) -> Change:
     In a batch, the earliest passing request per (session, member) wins and
     later ones get already_reviewed. The session need not be over."""
     conf = t.booking.filter(C("status") == "Confirmed")
-    small = small_batch(requests)
-    j = _flag(requests, conf, [("session_id", "session_id"), ("actor_id", "member_id")], "has_conf", reduce=small)
-    j = _flag(j, t.reviews, [("session_id", "session_id"), ("actor_id", "member_id")], "has_review", by=requests,
-              reduce=small)
+    j = _flag(requests, conf, [("session_id", "session_id"), ("actor_id", "member_id")], "has_conf")
+    j = _flag(j, t.reviews, [("session_id", "session_id"), ("actor_id", "member_id")], "has_review", by=requests)
     r = C("rating_score")
     base = first_failing([
         ("not_customer", F.coalesce(C("actor_role") != "customer", F.lit(True))),
@@ -333,11 +347,11 @@ def admit_reviews(requests: DataFrame, t: Tables) -> Change:
         ("no_confirmed_booking", ~C("has_conf")),
         ("already_reviewed", C("has_review")),
     ])
-    j = _first_wins(j.withColumn("base", base), "base", C("base").isNull(), ["session_id", "actor_id"])
+    j = _first_wins(j.withColumn("base", base), C("base").isNull(), C("base").isNull(), ["session_id", "actor_id"])
     reason = F.coalesce(C("base"), F.when(C("w_ts").isNotNull() & _after(C("w_ts"), C("w_id")),
                                           F.lit("already_reviewed")))
     accepted, rejected = _split(j, reason)
-    return _insert_change(accepted, rejected, t.reviews, "reviews", REVIEWS, session_id=C("session_id"),
+    return _insert_change(accepted, rejected, t.reviews, "reviews", REVIEWS, t.floor("reviews"), session_id=C("session_id"),
                           member_id=C("actor_id"), rating_score=rating_value(r),
                           comment=F.nullif(C("comment"), F.lit("")), datetime_created=C(TS))
 
@@ -347,19 +361,19 @@ def admit_reviews(requests: DataFrame, t: Tables) -> Change:
 def admit_progress(requests: DataFrame, t: Tables) -> Change:
     """Actor is a customer -> activity, duration, note truthy -> a truthy
     booking_id must be a Confirmed booking of the actor -> duration must be
-    an integer (the INT column refuses '30 mins') -> insert; a falsy
+    an integer that fits the INT column ('30 mins' and 3000000000 are
+    refused; '0' is text and truthy, so it is stored) -> insert; a falsy
     booking_id (0, '') is stored as NULL."""
     own = t.booking.filter(C("status") == "Confirmed")
-    j = _flag(requests, own, [("booking_id", "id"), ("actor_id", "member_id")], "own_conf",
-              reduce=small_batch(requests))
+    j = _flag(requests, own, [("booking_id", "id"), ("actor_id", "member_id")], "own_conf")
     reason = first_failing([
         ("not_customer", F.coalesce(C("actor_role") != "customer", F.lit(True))),
         ("fields_required", ~truthy("activity") | ~truthy("duration") | ~truthy("note")),
         ("booking_not_confirmed", truthy("booking_id", numeric=True) & ~C("own_conf")),
-        ("invalid_duration", ~F.coalesce(C("duration").rlike(INTEGER_TEXT), F.lit(False))),
+        ("invalid_duration", ~_integer("duration")),
     ])
     accepted, rejected = _split(j, reason)
-    return _insert_change(accepted, rejected, t.progress, "progress", PROGRESS, member_id=C("actor_id"),
+    return _insert_change(accepted, rejected, t.progress, "progress", PROGRESS, t.floor("progress"), member_id=C("actor_id"),
                           booking_id=F.when(truthy("booking_id", numeric=True), C("booking_id")),
                           activity=C("activity"), duration=F.trim(C("duration")).try_cast("int"),
                           note=C("note"), jam_nyatat=C(TS))
@@ -371,7 +385,7 @@ def admit_sessions(requests: DataFrame, t: Tables) -> Change:
     """M5: actor is trainer or admin -> title, trainer_id, start_time truthy ->
     trainer exists -> status (default 'scheduled') in the enum -> insert."""
     req = requests.withColumn("status", F.coalesce(C("status"), F.lit("scheduled")))
-    j = _flag(req, t.trainer, [("trainer_id", "id")], "trainer_ok", reduce=small_batch(requests))
+    j = _flag(req, t.trainer, [("trainer_id", "id")], "trainer_ok")
     reason = first_failing([
         ("forbidden", ~F.coalesce(C("actor_role").isin(*STAFF), F.lit(False))),
         ("fields_required", ~truthy("title") | ~truthy("trainer_id", numeric=True) | C("start_time").isNull()),
@@ -379,7 +393,7 @@ def admit_sessions(requests: DataFrame, t: Tables) -> Change:
         ("invalid_status", ~in_domain("status", SESSION_STATUSES)),
     ])
     accepted, rejected = _split(j, reason)
-    return _insert_change(accepted, rejected, t.session, "session", SESSION, title=C("title"),
+    return _insert_change(accepted, rejected, t.session, "session", SESSION, t.floor("session"), title=C("title"),
                           deskripsi=C("deskripsi"), trainer_id=C("trainer_id"), start_time=C("start_time"),
                           end_time=C("end_time"), price=C("price"), status=C("status"))
 
@@ -390,12 +404,12 @@ def patch_sessions(requests: DataFrame, t: Tables) -> Change:
     """M6: actor trainer or admin (route guard) -> fields in list order:
     trainer_id named and not an existing trainer -> invalid_trainer; status
     named and outside the enum -> invalid_status -> nothing named ->
-    no_fields -> session absent -> not_found. No owner check. Each patch is
+    no_fields -> session absent -> not_found -> a named title or start_time is
+    NULL -> not_null (the store refuses it). No owner check. Each patch is
     validated alone against the pre-batch state; accepted patches apply
     last-write-per-field and set ``updated_at`` where a value changed."""
-    small = small_batch(requests)
-    j = _flag(requests, t.trainer, [("trainer_id", "id")], "trainer_ok", reduce=small)
-    j = _flag(j, t.session, [("id", "id")], "exists", by=requests, reduce=small)
+    j = _flag(requests, t.trainer, [("trainer_id", "id")], "trainer_ok")
+    j = _flag(j, t.session, [("id", "id")], "exists", by=requests)
     named = F.exists(C("present"), lambda x: x.isin(*SESSION_PATCH_FIELDS))
     reason = first_failing([
         ("forbidden", ~F.coalesce(C("actor_role").isin(*STAFF), F.lit(False))),
@@ -403,6 +417,7 @@ def patch_sessions(requests: DataFrame, t: Tables) -> Change:
         ("invalid_status", _present("status") & ~in_domain("status", SESSION_STATUSES)),
         ("no_fields", ~F.coalesce(named, F.lit(False))),
         ("not_found", ~C("exists")),
+        ("not_null", _named_null("title", "start_time")),
     ])
     accepted, rejected = _split(j, reason)
     state = apply_patches(t.session, accepted, SESSION_PATCH_FIELDS, touch="updated_at")
@@ -412,15 +427,17 @@ def patch_sessions(requests: DataFrame, t: Tables) -> Change:
 def patch_progress(requests: DataFrame, t: Tables) -> Change:
     """M11 (unrouted in the reference): row exists -> owner (customer with
     that member id) or admin -> any of activity, duration, note named ->
-    a named duration must be an integer."""
-    own = _reduce(t.progress, requests, [("id", "id")], small_batch(requests)).select(C("id").alias("p_id"), C("member_id").alias("p_member"))
+    a named duration must be an integer -> a named activity or note is NULL ->
+    not_null (the store refuses it)."""
+    own = _reduce(t.progress, requests, [("id", "id")]).select(C("id").alias("p_id"), C("member_id").alias("p_member"))
     j = requests.join(own, C("id") == C("p_id"), "left")
     named = F.exists(C("present"), lambda x: x.isin(*PROGRESS_PATCH_FIELDS))
     reason = first_failing([
         ("not_found", C("p_id").isNull()),
         ("forbidden", ~_is_admin() & ~_is_owner("customer", "p_member")),
         ("no_fields", ~F.coalesce(named, F.lit(False))),
-        ("invalid_duration", _present("duration") & ~F.coalesce(C("duration").rlike(INTEGER_TEXT), F.lit(False))),
+        ("invalid_duration", _present("duration") & ~_integer("duration")),
+        ("not_null", _named_null("activity", "note")),
     ])
     accepted, rejected = _split(j, reason)
     accepted = accepted.withColumn("duration", F.trim(C("duration")).try_cast("int"))
@@ -432,7 +449,7 @@ def patch_reviews(requests: DataFrame, t: Tables) -> Change:
     """M14 (unrouted in the reference): a named rating outside 1..5 (a named
     NULL counts as 0 in the JS comparison) -> row exists -> author or admin
     -> rating_score or comment named. Ratings are rounded on store."""
-    own = _reduce(t.reviews, requests, [("id", "id")], small_batch(requests)).select(C("id").alias("r_id"), C("member_id").alias("r_member"))
+    own = _reduce(t.reviews, requests, [("id", "id")]).select(C("id").alias("r_id"), C("member_id").alias("r_member"))
     j = requests.join(own, C("id") == C("r_id"), "left")
     r = C("rating_score")
     named = F.exists(C("present"), lambda x: x.isin(*REVIEW_PATCH_FIELDS))
@@ -455,21 +472,20 @@ def delete_sessions(requests: DataFrame, t: Tables) -> Change:
     owning trainer -> not referenced by a review, nor by progress through one
     of its bookings (no cascade on those keys, so the transaction rolls
     back) -> delete its bookings, then the session, atomically."""
-    small = small_batch(requests)
-    base = _reduce(t.session.select("id", "trainer_id"), requests, [("id", "id")], small)
+    base = _reduce(t.session.select("id", "trainer_id"), requests, [("id", "id")])
     # bookings of the asked sessions: not bounded by the batch (a session may
     # hold many), so the progress side is a plain join and AQE picks the plan
-    bookings = _reduce(t.booking.select(C("id").alias("bk"), "session_id"), base, [("id", "session_id")], small)
+    bookings = _reduce(t.booking.select(C("id").alias("bk"), "session_id"), base, [("id", "session_id")])
     via_progress = (t.progress.filter(C("booking_id").isNotNull())
                     .join(bookings, C("booking_id") == C("bk")).select(C("session_id").alias("ref_sid")))
     referenced = t.reviews.select(C("session_id").alias("ref_sid")).unionByName(via_progress)
-    target = _flag(base, referenced, [("id", "ref_sid")], "referenced", reduce=small)
+    target = _flag(base, referenced, [("id", "ref_sid")], "referenced")
 
     def checks(j):
         return [("forbidden", ~F.coalesce(C("actor_role").isin(*STAFF), F.lit(False))),
                 ("not_owner", ~_is_admin() & ~_is_owner("trainer", "trainer_id")),
                 ("referenced", C("referenced"))]
-    accepted, rejected, gone = _deletes(requests, target, checks, early=("forbidden",), small=small)
+    accepted, rejected, gone = _deletes(requests, target, checks, early=("forbidden",))
     session = t.session.join(gone, C("id") == C("del_id"), "left_anti")
     booking = t.booking.join(gone, C("session_id") == C("del_id"), "left_anti")
     return Change(accepted, rejected, {"session": session, "booking": booking})
@@ -479,8 +495,7 @@ def delete_progress(requests: DataFrame, t: Tables) -> Change:
     """Row exists -> owner (customer with that member id) or admin."""
     def checks(j):
         return [("forbidden", ~_is_admin() & ~_is_owner("customer", "member_id"))]
-    accepted, rejected, gone = _deletes(requests, t.progress.select("id", "member_id"), checks,
-                                        small=small_batch(requests))
+    accepted, rejected, gone = _deletes(requests, t.progress.select("id", "member_id"), checks)
     return Change(accepted, rejected, {"progress": t.progress.join(gone, C("id") == C("del_id"), "left_anti")})
 
 
@@ -488,8 +503,7 @@ def delete_reviews(requests: DataFrame, t: Tables) -> Change:
     """Row exists -> author or admin."""
     def checks(j):
         return [("forbidden", ~_is_admin() & ~_is_owner("customer", "member_id"))]
-    accepted, rejected, gone = _deletes(requests, t.reviews.select("id", "member_id"), checks,
-                                        small=small_batch(requests))
+    accepted, rejected, gone = _deletes(requests, t.reviews.select("id", "member_id"), checks)
     return Change(accepted, rejected, {"reviews": t.reviews.join(gone, C("id") == C("del_id"), "left_anti")})
 
 
@@ -501,23 +515,22 @@ def delete_users(requests: DataFrame, t: Tables, mode: str = "restrict") -> Chan
     one of this user's bookings blocks it."""
     if mode not in ("restrict", "cascade"):
         raise ValueError(f"mode must be 'restrict' or 'cascade', not {mode!r}")
-    small = small_batch(requests)
-    base = _reduce(t.users.select("id"), requests, [("id", "id")], small)
+    base = _reduce(t.users.select("id"), requests, [("id", "id")])
     if mode == "restrict":
         refs = (t.booking.select(C("member_id").alias("ref"))
                 .unionByName(t.progress.select(C("member_id").alias("ref")))
                 .unionByName(t.reviews.select(C("member_id").alias("ref"))))
     else:
         owned = _reduce(t.booking.select(C("id").alias("bk"), C("member_id").alias("owner")), base,
-                        [("id", "owner")], small)
+                        [("id", "owner")])
         refs = (t.progress.filter(C("booking_id").isNotNull())
                 .join(owned, C("booking_id") == C("bk"))
                 .filter(C("owner") != C("member_id")).select(C("owner").alias("ref")))
-    target = _flag(base, refs, [("id", "ref")], "referenced", reduce=small)
+    target = _flag(base, refs, [("id", "ref")], "referenced")
 
     def checks(j):
         return [("forbidden", ~_is_admin()), ("referenced", C("referenced"))]
-    accepted, rejected, gone = _deletes(requests, target, checks, early=("forbidden",), small=small)
+    accepted, rejected, gone = _deletes(requests, target, checks, early=("forbidden",))
     states = {"users": t.users.join(gone, C("id") == C("del_id"), "left_anti")}
     if mode == "cascade":
         for rel in ("booking", "progress", "reviews"):
@@ -529,7 +542,7 @@ def delete_users(requests: DataFrame, t: Tables, mode: str = "restrict") -> Chan
 
 def _merge(requests: DataFrame, state: DataFrame, fields: Sequence[str], allowed: Column,
            unique_email: bool) -> Change:
-    j = _flag(requests, state, [("id", "id")], "exists", reduce=small_batch(requests))
+    j = _flag(requests, state, [("id", "id")], "exists")
     reason = first_failing([("forbidden", ~allowed), ("not_found", ~C("exists"))])
     accepted, rejected = _split(j, reason)
     order = F.struct(C(TS), C(RID))
@@ -583,23 +596,22 @@ def merge_trainer_profiles(requests: DataFrame, t: Tables) -> Change:
 # ------------------------------------------------------------------ registrations M2-M4
 
 def _register(requests: DataFrame, state: DataFrame, schema, extra_checks: list, unique_email: bool,
-              cols: dict) -> Change:
+              cols: dict, floor: int) -> Change:
     checks = [*extra_checks,
               ("fields_required", ~truthy("nama") | ~truthy("email") | ~F.coalesce(C("has_password"), F.lit(False)))]
     j = requests.withColumn("__ek", norm_key("email"))
     if unique_email:
-        j = _flag(j, state.select(norm_key("email").alias("__sek")), [("__ek", "__sek")], "taken",
-                  reduce=small_batch(requests))
+        j = _flag(j, state.select(norm_key("email").alias("__sek")), [("__ek", "__sek")], "taken")
         checks.append(("duplicate_email", C("taken")))
     j = j.withColumn("base", first_failing(checks))
     if unique_email:
-        j = _first_wins(j, "base", C("base").isNull(), ["__ek"])
+        j = _first_wins(j, C("base").isNull(), C("base").isNull(), ["__ek"])
         reason = F.coalesce(C("base"), F.when(C("w_ts").isNotNull() & _after(C("w_ts"), C("w_id")),
                                               F.lit("duplicate_email")))
     else:
         reason = C("base")
     accepted, rejected = _split(j, reason)
-    return _insert_change(accepted, rejected, state, "state", schema, **cols)
+    return _insert_change(accepted, rejected, state, "state", schema, floor, **cols)
 
 
 def register_customers(requests: DataFrame, t: Tables) -> Change:
@@ -608,7 +620,7 @@ def register_customers(requests: DataFrame, t: Tables) -> Change:
     propinsi and kota default to ''."""
     ch = _register(requests, t.users, USERS, [], True,
                    dict(nama=C("nama"), email=C("email"), propinsi=js_or("propinsi", F.lit("")),
-                        kota=js_or("kota", F.lit("")), created_at=C(TS)))
+                        kota=js_or("kota", F.lit("")), created_at=C(TS)), t.floor("users"))
     return Change(lambda: ch.accepted, ch.rejected, lambda: {"users": ch.states["state"]})
 
 
@@ -617,12 +629,12 @@ def register_trainers(requests: DataFrame, t: Tables, unique_email: bool = True)
     UNIQUE email for trainers; it is enforced unless ``unique_email=False``."""
     ch = _register(requests, t.trainer, TRAINER, [], unique_email,
                    dict(nama=C("nama"), email=C("email"), spesialisasi=js_or("spesialisasi", F.lit("")),
-                        propinsi=js_or("propinsi", F.lit("")), kota=js_or("kota", F.lit(""))))
+                        propinsi=js_or("propinsi", F.lit("")), kota=js_or("kota", F.lit(""))), t.floor("trainer"))
     return Change(lambda: ch.accepted, ch.rejected, lambda: {"trainer": ch.states["state"]})
 
 
 def register_admins(requests: DataFrame, t: Tables, unique_email: bool = True) -> Change:
     """M4: admin actor only -> nama, email, password -> insert."""
     ch = _register(requests, t.admin, ADMIN, [("forbidden", ~_is_admin())], unique_email,
-                   dict(nama=C("nama"), email=C("email")))
+                   dict(nama=C("nama"), email=C("email")), t.floor("admin"))
     return Change(lambda: ch.accepted, ch.rejected, lambda: {"admin": ch.states["state"]})

@@ -42,8 +42,11 @@ def lookup(keys: DataFrame, table: DataFrame, on: str, cols: list[str], ci: bool
     else:
         # Lowest id per key as an aggregate: combines map-side, so a key
         # shared by many rows costs one partial row per task.
+        # The distinct keys are exchanged anew for the semi join, so that AQE
+        # can split such a key there.
         others = [c for c in cols if c != "id"]
-        found = (cand.join(k, "lookup_key", "left_semi")
+        apart = F.pmod(F.xxhash64("lookup_key"), F.lit(1))
+        found = (cand.withColumn("__apart", apart).join(k.withColumn("__apart", apart), ["lookup_key", "__apart"], "left_semi")
                  .groupBy("lookup_key").agg(F.min(F.struct("id", *others)).alias("r"))
                  .select("lookup_key", *[C(f"r.{c}").alias(c) for c in ["id", *others]]))
     missing = k.join(found.select("lookup_key"), "lookup_key", "left_anti")

@@ -7,7 +7,8 @@ The canonical model has three people relations (``users`` = customers,
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from collections.abc import Mapping
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,9 +57,13 @@ SCHEMAS: dict[str, T.StructType] = {
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Project ``df`` onto ``schema``: declared columns only, cast to the
-    declared type; a declared column the input lacks becomes a typed NULL.
-    Extra input columns (``password`` included) are dropped."""
+    declared type; a declared column the input lacks becomes a typed NULL if
+    it may be NULL and is an error if not. Extra input columns (``password``
+    included) are dropped."""
     have = set(df.columns)
+    lacking = [f.name for f in schema.fields if not f.nullable and f.name not in have]
+    if lacking:
+        raise ValueError(f"columns that may not be NULL are missing: {', '.join(lacking)}")
     return df.select([
         (F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
         for f in schema.fields
@@ -74,12 +79,17 @@ class Tables:
     booking: DataFrame
     progress: DataFrame
     reviews: DataFrame
+    # Largest id ever given per relation, where publication recorded it.
+    high_water: Mapping[str, int] = field(default_factory=dict)
+
+    def floor(self, relation: str) -> int:
+        return int(self.high_water.get(relation, 0))
 
     def with_(self, **changes: DataFrame) -> "Tables":
         return replace(self, **changes)
 
     def items(self):
-        return [(f.name, getattr(self, f.name)) for f in fields(self)]
+        return [(name, getattr(self, name)) for name in SCHEMAS]
 
     def account(self) -> DataFrame:
         """Tagged union ``account(role, id, nama, email, propinsi, kota)``."""
