@@ -1,21 +1,39 @@
-"""Write results and new relation states.
-
-A change operator never overwrites the relation it read: every state is
-written to a fresh version directory, and only after every relation of the
-version is written is a one-row commit marker appended to ``_versions``.
-Readers pick the highest committed version, so a multi-relation change
-(M7 deletes bookings and a session; M18 cascades over four relations) is
-published atomically and an interrupted job leaves no half-visible state.
-Everything goes through Spark's writers; the root must be on shared storage
-(the same kind of place ``spark.checkpoint.dir`` points to).
+"""Publish relation states as versions.
+
+A version is one manifest, a small parquet table under ``_manifest/v=<n>``:
+for every relation the folders that hold its rows, the largest id ever given
+(so the id of a deleted row is not given again), and for every writer its last
+unit of work. Data goes to folders of its own that no version has named
+before; the manifest is written last, in one job, so a multi-relation change
+(M7 deletes bookings and a session; M18 cascades over four relations) shows as
+a whole or not at all, and a crashed attempt neither blocks nor overwrites
+anything. Relations that didn't change keep their folders; inserts add one.
+
+Readers take the highest manifest that was written to its end. Only a folder
+that does not exist means "nothing published": any other failure to read is
+raised. One writer at a time. The root must be on shared storage (the same
+kind of place ``spark.checkpoint.dir`` points to).
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Mapping
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .schema import SCHEMAS, Tables, conform, load_tables
+from .schema import SCHEMAS, Tables, conform
+
+# Columns each relation is clustered by inside its files: the keys the
+# reports filter or join on most.
+CLUSTER = {"session": ["start_time"], "booking": ["session_id"], "progress": ["member_id"],
+           "reviews": ["session_id"], "users": ["id"], "trainer": ["id"], "admin": ["id"]}
+MANIFEST = "kind string, name string, folders array<string>, number long"
+# A relation of more folders is written anew when rows are added.
+MAX_FOLDERS = 64
 
 
 def write_snapshot(df: DataFrame, path: str, sort_within: list[str] | None = None) -> str:
@@ -27,103 +45,106 @@ def write_snapshot(df: DataFrame, path: str, sort_within: list[str] | None = Non
     return path
 
 
-# Columns each relation is clustered by inside its files: the keys the
-# reports filter or join on most.
-CLUSTER = {"session": ["start_time"], "booking": ["session_id"], "progress": ["member_id"],
-           "reviews": ["session_id"], "users": ["id"], "trainer": ["id"], "admin": ["id"]}
-
-
 def write_tables(tables: Tables, path: str) -> str:
+    """Plain snapshots of every relation, ``path/<relation>``."""
     for name, df in tables.items():
         write_snapshot(conform(df, SCHEMAS[name]), f"{path}/{name}", CLUSTER.get(name))
     return path
 
 
+@dataclass(frozen=True)
+class Manifest:
+    version: int
+    folders: Mapping[str, list[str]]
+    high_water: Mapping[str, int]
+    writers: Mapping[str, int] = field(default_factory=dict)
+
+
 def committed_version(spark: SparkSession, root: str) -> int | None:
-    try:
-        v = spark.read.parquet(f"{root}/_versions").agg(F.max("version")).first()[0]
-    except Exception:  # no version committed yet
+    """The highest version whose manifest was written to its end; None only
+    if the manifest folder does not exist or holds none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_manifest")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
         return None
-    return None if v is None else int(v)
-
-
-def publish(spark: SparkSession, root: str, base: Tables, changed: dict[str, DataFrame]) -> int:
-    """Write ``base`` with ``changed`` relations replaced as the next version
-    under ``root`` and commit it. Returns the new version number."""
-    current = committed_version(spark, root)
-    version = 0 if current is None else current + 1
-    tables = base.with_(**changed)
-    write_tables(tables, f"{root}/v={version}")
-    (spark.createDataFrame([(version,)], "version long")
-     .write.mode("append").parquet(f"{root}/_versions"))
-    return version
+    found = []
+    for status in fs.listStatus(path):
+        m = re.fullmatch(r"v=(\d+)", status.getPath().getName())
+        if m and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            found.append(int(m[1]))
+    return max(found, default=None)
 
 
-def read_published(spark: SparkSession, root: str) -> Tables:
+def read_manifest(spark: SparkSession, root: str) -> Manifest | None:
     version = committed_version(spark, root)
     if version is None:
-        raise FileNotFoundError(f"no committed version under {root}")
-    return load_tables(spark, f"{root}/v={version}")
-
+        return None
+    rows = spark.read.schema(MANIFEST).parquet(f"{root}/_manifest/v={version}").collect()
+    relations = [r for r in rows if r["kind"] == "relation"]
+    if {r["name"] for r in relations} != set(SCHEMAS):
+        raise ValueError(f"the manifest of version {version} under {root} is incomplete")
+    return Manifest(version, {r["name"]: list(r["folders"]) for r in relations},
+                    {r["name"]: r["number"] for r in relations}, {r["name"]: r["number"] for r in rows if r["kind"] == "writer"})
+
+
+def _top(df: DataFrame) -> int:
+    return int(df.agg(F.max("id")).first()[0] or 0)
+
+
+def publish(spark: SparkSession, root: str, base: Tables | None = None, changed: Mapping[str, DataFrame] | None = None,
+            added: Mapping[str, DataFrame] | None = None, writer: str | None = None, unit: int = 0) -> int:
+    """Commit the next version and return its number.
+
+    ``changed`` relations are replaced and ``added`` rows are appended; the
+    first version needs ``base``, every relation. ``(writer, unit)`` names the
+    unit of work: one at or before the writer's last is not published again
+    (its version is returned).
+    """
+    now = read_manifest(spark, root)
+    if now is not None and writer is not None and unit <= now.writers.get(writer, -1):
+        return now.version
+    changed = dict(changed or {})
+    if now is None:
+        if base is None:
+            raise FileNotFoundError(f"nothing is published under {root}: the first version needs every relation")
+        changed = dict(base.items()) | changed
+    folders = dict(now.folders) if now else {}
+    high = dict(now.high_water) if now else dict(base.high_water)
+    fresh = uuid.uuid4().hex
+    for name, df in changed.items():
+        path = write_snapshot(conform(df, SCHEMAS[name]), f"{root}/{name}/{fresh}", CLUSTER.get(name))
+        folders[name] = [path]
+    for name, df in (added or {}).items():
+        if len(folders[name]) >= MAX_FOLDERS:
+            df = _read(spark, folders[name], name).unionByName(conform(df, SCHEMAS[name]))
+            folders[name] = []
+        path = write_snapshot(conform(df, SCHEMAS[name]), f"{root}/{name}/{fresh}-added", CLUSTER.get(name))
+        folders[name] = [*folders[name], path]
+    for name in {*changed, *(added or {})}:
+        high[name] = max(high.get(name, 0), _top(_read(spark, folders[name][-1:], name)))
+    version = now.version + 1 if now else 0
+    writers = dict(now.writers) if now else {}
+    if writer is not None:
+        writers[writer] = unit
+    rows = [("relation", n, folders[n], high.get(n, 0)) for n in SCHEMAS] + [("writer", w, [], u) for w, u in writers.items()]
+    # What a crashed attempt left of this version's manifest was never read.
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{root}/_manifest/v={version}")
+    return version
 
-# ------------------------------------------------------------ batch log
-# Relations stored as ``root/<relation>/batch=<n>`` partitions plus a log
-# ``root/_log`` of (batch, relation, kind, source, epoch). ``kind`` is
-# ``replace`` (the relation's rows restart at this batch) or ``append`` (rows
-# add to it). The log rows of a batch are written in one Spark job after its
-# data, so a batch is visible entirely or not at all. ``(source, epoch)``
-# identifies the writer's unit of work (a streaming query and its epoch): a
-# unit already logged is skipped, so replaying an epoch is harmless. One
-# writer per store at a time.
 
-LOG_SCHEMA = "batch long, relation string, kind string, source string, epoch long"
+def _read(spark: SparkSession, folders: list[str], name: str) -> DataFrame:
+    return conform(spark.read.schema(SCHEMAS[name]).parquet(*folders), SCHEMAS[name])
 
 
-def _log(spark: SparkSession, root: str) -> list[tuple]:
-    try:
-        return [tuple(r) for r in spark.read.parquet(f"{root}/_log").collect()]
-    except Exception:  # nothing logged yet
-        return []
+def read_published(spark: SparkSession, root: str) -> Tables:
+    """Every relation as of the last version, with its high-water marks."""
+    now = read_manifest(spark, root)
+    if now is None:
+        raise FileNotFoundError(f"no committed version under {root}")
+    return Tables(**{n: _read(spark, now.folders[n], n) for n in SCHEMAS}, high_water=now.high_water)
 
 
-def commit_batch(spark: SparkSession, root: str, appends: dict[str, DataFrame] | None = None,
-                 replaces: dict[str, DataFrame] | None = None, source: str = "batch",
-                 epoch: int = 0) -> int | None:
-    """Write and log one unit of work as the next batch; returns its batch
-    number, or None if ``(source, epoch)`` was logged before."""
-    log = _log(spark, root)
-    if any(src == source and ep == epoch for _, _, _, src, ep in log):
-        return None
-    batch = max((b for b, *_ in log), default=-1) + 1
-    entries = []
-    for kind, frames in (("append", appends or {}), ("replace", replaces or {})):
-        for rel, df in frames.items():
-            df = conform(df, SCHEMAS[rel]) if rel in SCHEMAS else df
-            df.sortWithinPartitions(*CLUSTER.get(rel, [])).write.mode("overwrite").parquet(
-                f"{root}/{rel}/batch={batch}")
-            entries.append((batch, rel, kind, source, epoch))
-    if not entries:
-        entries.append((batch, "_none", "append", source, epoch))
-    spark.createDataFrame(entries, LOG_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/_log")
-    return batch
-
-
-def init_store(spark: SparkSession, root: str, tables: Tables) -> None:
-    commit_batch(spark, root, replaces=dict(tables.items()), source="init", epoch=0)
-
-
-def read_store(spark: SparkSession, root: str) -> Tables:
-    """Every relation as of the last logged batch: the partitions from its
-    last ``replace`` on; partition pruning skips older batches."""
-    log = _log(spark, root)
-    frames = {}
-    for rel, schema in SCHEMAS.items():
-        mine = [(b, k) for b, r, k, _, _ in log if r == rel]
-        start = max((b for b, k in mine if k == "replace"), default=None)
-        if start is None:
-            frames[rel] = spark.createDataFrame([], schema)
-            continue
-        batches = sorted(b for b, _ in mine if b >= start)
-        df = spark.read.parquet(f"{root}/{rel}").filter(F.col("batch").isin(batches))
-        frames[rel] = conform(df, schema)
-    return Tables(**frames)
+def round_trip(spark: SparkSession, root: str, tables: Tables) -> Tables:
+    """Publish the relations and read them back (S1 and S10 in one)."""
+    publish(spark, root, tables)
+    return read_published(spark, root)

@@ -2,16 +2,16 @@
 
 The reference applies one change per HTTP call. Here requests arrive as
 files; each micro-batch is applied with the batch operator (M2-M18) against
-the store as of the previous batch and published as the next logged batch:
+the store as of the previous version and published as the next one:
 
 * insert operators (registrations, session/booking/progress/review
-  admission) append their accepted rows to the relation;
+  admission) add their accepted rows to the relation;
 * patch, status-change, merge and delete operators replace the relations
   they change.
 
-The streaming checkpoint (on shared storage) plus the idempotent batch log
-give exactly-once publication: a replayed epoch finds its batch logged and
-writes nothing. Inside one micro-batch the batch rules apply (order by
+The streaming checkpoint (on shared storage) and the manifest, which names
+each writer's last epoch, give exactly-once publication: a replayed epoch is
+found there before anything is evaluated, and writes nothing. Inside one micro-batch the batch rules apply (order by
 ``(request_ts, request_id)``); across micro-batches arrival order applies,
 as in the reference.
 """
@@ -26,7 +26,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import changes as M
 from ..sources.schema import Tables
-from ..sources.sinks import commit_batch, read_store
+from ..sources.sinks import publish, read_manifest, read_published
 
 _BASE = "request_id long, request_ts timestamp_ntz, actor_role string, actor_id long"
 _PATCH = _BASE + ", id long, present array<string>"
@@ -77,12 +77,17 @@ def change_batch(spark: SparkSession, op: str, store: str, rejected_dir: str, so
     spec = OPS[op]
 
     def apply(batch: DataFrame, epoch_id: int) -> None:
-        change = spec.apply(batch, read_store(spark, store))
+        now = read_manifest(spark, store)
+        if now is not None and epoch_id <= now.writers.get(source, -1):
+            return  # a replay: the epoch and its rejections are published
+        change = spec.apply(batch, read_published(spark, store))
+        # Before the version: if the job ends in between, the replay sees the
+        # same state and writes the same rejections again.
         change.rejected.write.mode("overwrite").parquet(f"{rejected_dir}/epoch={epoch_id}")
         if spec.insert_into:
-            commit_batch(spark, store, appends={spec.insert_into: change.accepted}, source=source, epoch=epoch_id)
+            publish(spark, store, added={spec.insert_into: change.accepted}, writer=source, unit=epoch_id)
         else:
-            commit_batch(spark, store, replaces=change.states, source=source, epoch=epoch_id)
+            publish(spark, store, changed=change.states, writer=source, unit=epoch_id)
     return apply
 
 
@@ -91,7 +96,7 @@ def start_change_stream(spark: SparkSession, op: str, request_dir: str, store: s
                         available_now: bool = True) -> StreamingQuery:
     """Apply the change operator ``op`` to request files arriving under
     ``request_dir``; rejected requests go to ``rejected_dir/epoch=<n>``. The
-    streaming checkpoint location names the writer in the store's log."""
+    streaming checkpoint location names the writer in the manifest."""
     reader = spark.readStream.schema(OPS[op].schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
