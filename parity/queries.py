@@ -518,17 +518,58 @@ def q00(spark, d):
 
 from rosterlake.operators import access as V  # noqa: E402
 
-_RES_VALUES = ", ".join(f"('{r}', '{a}', '{t}', '{c}')" for r, (a, t, c, _) in V.RULES.items())
+# Who sees what, read from the routes by hand (not from the
+# implementation): resource, admin, trainer, customer.
+_RES_VALUES = """
+  ('user_list', 'all', 'none', 'none'), ('user_by_email', 'all', 'none', 'none'), ('user_delete', 'all', 'none', 'none'),
+  ('booking_list', 'all', 'none', 'none'), ('progress_list', 'all', 'none', 'none'), ('review_list', 'all', 'none', 'none'),
+  ('stats', 'all', 'none', 'none'), ('admin_register', 'all', 'none', 'none'),
+  ('session_write', 'all', 'all', 'none'), ('matched_trainer_customer', 'all', 'all', 'none'),
+  ('member_progress_summary', 'all', 'all', 'none'), ('session_roster', 'all', 'all', 'none'),
+  ('customer_booking_history', 'all', 'none', 'own'), ('member_progress_summary_for', 'all', 'none', 'own'),
+  ('booking_by_id', 'all', 'none', 'own'), ('user_by_id', 'all', 'none', 'own'),
+  ('my_bookings', 'none', 'none', 'own'), ('my_progress', 'none', 'none', 'own'), ('own_profile', 'own', 'own', 'own'),
+  ('trainer_schedule', 'all', 'own', 'all'), ('trainer_sessions', 'all', 'own', 'all'),
+  ('session_reviews_summary', 'all', 'all', 'all'), ('upcoming_sessions', 'all', 'all', 'all'),
+  ('session_catalog', 'all', 'all', 'all'), ('trainer_search', 'all', 'all', 'all'), ('session_reviews', 'all', 'all', 'all')"""
 _ACCESS_CTES = _PRINCIPALS + f""",
 res AS (select * from (values {_RES_VALUES}) t(resource, a, tr, c))"""
 
 
 @register("v01_grants", with_adapter(_ACCESS_CTES, """
-select p.role, p.id, r.resource,
+select p.role, r.resource,
        case p.role when 'admin' then r.a when 'trainer' then r.tr when 'customer' then r.c else 'none' end as scope
-from pr p cross join res r"""))
+from (select distinct role from pr) p cross join res r"""))
 def v01(spark, d):
-    return V.grants(_principals(fx(spark, d)).distinct())
+    return V.grants(_principals(fx(spark, d)))
+
+
+@register("v02_visible_trainer_sessions", with_adapter(_ACCESS_CTES, """
+select p.role as viewer_role, p.id as viewer_id, s.id as session_id, s.trainer_id
+from pr p join session s on s.trainer_id = p.id where p.role = 'trainer'"""))
+def v02(spark, d):
+    f = fx(spark, d)
+    own = f.tables.session.select(F.col("id").alias("session_id"), "trainer_id")
+    return V.visible_rows(own, _principals(f), "trainer_sessions")
+
+
+@register("v03_visible_my_bookings", with_adapter(_ACCESS_CTES, """
+select p.role as viewer_role, p.id as viewer_id, b.id as booking_id, b.member_id, b.status
+from pr p join booking b on b.member_id = p.id where p.role = 'customer'"""))
+def v03_my_bookings(spark, d):
+    f = fx(spark, d)
+    own = f.tables.booking.select(F.col("id").alias("booking_id"), "member_id", "status")
+    return V.visible_rows(own, _principals(f), "my_bookings")
+
+
+@register("v03_visible_own_profile", with_adapter(_ACCESS_CTES, """
+select p.role as viewer_role, p.id as viewer_id, a.role, a.id, a.nama, a.email
+from pr p join (select 'customer' as role, id, nama, email from users union all
+                select 'trainer', id, nama, email from trainer union all
+                select 'admin', id, nama, email from admin) a on a.id = p.id and a.role = p.role"""))
+def v03_own_profile(spark, d):
+    f = fx(spark, d)
+    return V.visible_rows(f.tables.account().select("role", "id", "nama", "email"), _principals(f), "own_profile")
 
 
 @register("v03_visible_booking_history", with_adapter(_ACCESS_CTES, """

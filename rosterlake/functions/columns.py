@@ -6,6 +6,7 @@ codegen; none is a Python UDF.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
@@ -41,8 +42,11 @@ def norm_key(c: str | Column) -> Column:
 
 def contains_like(c: str | Column, term: str) -> Column:
     """``c LIKE '%term%'`` under a case-insensitive collation. The term is not
-    escaped, so ``%`` and ``_`` inside it stay wildcards, as in the reference."""
-    return col(c).ilike(f"%{term}%")
+    escaped, so ``%`` and ``_`` inside it stay wildcards, as in the reference.
+    A backslash that escapes neither of these nor itself stands for the
+    character after it."""
+    plain = re.sub(r"\\(.?)", lambda m: m[0] if m[1] in ("%", "_", "\\") else m[1] or "\\\\", term, flags=re.S)
+    return col(c).ilike(f"%{plain}%")
 
 
 def first_failing(checks: Sequence[tuple[str, Column]]) -> Column:
@@ -52,12 +56,11 @@ def first_failing(checks: Sequence[tuple[str, Column]]) -> Column:
 
 
 def parse_int(value, default: int) -> int:
-    """``parseInt(x) || default`` on a driver-side argument: non-numeric, 0 and
-    missing fall back on the default; a negative value is refused."""
-    try:
-        n = int(str(value).strip()) if value is not None else 0
-    except ValueError:
-        n = 0
+    """``parseInt(x) || default`` on a driver-side argument: the leading digits
+    count ('12abc' is 12, '3.7' is 3); without any, 0 and missing fall back on
+    the default; a negative value is refused."""
+    found = re.match(r"\s*([+-]?[0-9]+)", "" if value is None else str(value), re.ASCII)
+    n = int(found[1]) if found else 0
     if n < 0:
         raise ValueError(f"negative paging argument: {value!r}")
     return n or default

@@ -3,7 +3,7 @@
 Rules are data: for every resource, the scope each role gets — ``all``,
 ``own`` (rows whose owner column equals the principal's id) or ``none``.
 
-* ``grants(principals, resource)`` gives each principal's scope; it is a
+* ``grants(principals)`` gives each role's scope of each resource; it is a
   projection (plus an ``explode`` over the fixed resource list), no join.
 * ``visible_rows(report, principals, resource)`` gives the (principal, row)
   pairs for principals with scope ``own``: one equi-join on the owner key.
@@ -45,14 +45,17 @@ RULES: dict[str, tuple[str, str, str, str | None]] = {
     "matched_trainer_customer": (ALL, ALL, NONE, None),
     "member_progress_summary": (ALL, ALL, NONE, None),
     "session_roster": (ALL, ALL, NONE, None),
-    "trainer_sessions": (ALL, ALL, NONE, None),
     # V3 own rows or admin
     "customer_booking_history": (ALL, NONE, OWN, "customer_id"),
     "member_progress_summary_for": (ALL, NONE, OWN, "member_id"),
     "booking_by_id": (ALL, NONE, OWN, "member_id"),
     "user_by_id": (ALL, NONE, OWN, "id"),
-    # V4 trainers see their own schedule; customers and admins any
+    "my_bookings": (NONE, NONE, OWN, "member_id"),
+    "my_progress": (NONE, NONE, OWN, "member_id"),
+    "own_profile": (OWN, OWN, OWN, "id"),
+    # V4 trainers see their own schedule and sessions; customers and admins any
     "trainer_schedule": (ALL, OWN, ALL, "trainer_id"),
+    "trainer_sessions": (ALL, OWN, ALL, "trainer_id"),
     # V5 any signed-in principal / public
     "session_reviews_summary": (ALL, ALL, ALL, None),
     "upcoming_sessions": (ALL, ALL, ALL, None),
@@ -62,15 +65,21 @@ RULES: dict[str, tuple[str, str, str, str | None]] = {
 }
 
 
+#: Resources whose rows belong to principals of several roles: the column
+#: that says which role's id the owner column holds.
+ROLE_COLUMN = {"own_profile": "role"}
+
+
 def scope_of(role: Column, resource: str) -> Column:
     a, t, c, _ = RULES[resource]
     return F.when(role == "admin", a).when(role == "trainer", t).when(role == "customer", c).otherwise(NONE)
 
 
 def grants(principals: DataFrame, resources: list[str] | None = None) -> DataFrame:
-    """``(role, id, resource, scope)`` for every principal and resource."""
+    """``(role, resource, scope)`` for every role that the principals have;
+    the scope depends on nothing else, so principals aren't listed."""
     names = resources or list(RULES)
-    p = principals.select("role", "id").withColumn("resource", F.explode(F.array(*[F.lit(r) for r in names])))
+    p = principals.select("role").distinct().withColumn("resource", F.explode(F.array(*[F.lit(r) for r in names])))
     scope = None
     for r in names:
         s = scope_of(C("role"), r)
@@ -78,15 +87,24 @@ def grants(principals: DataFrame, resources: list[str] | None = None) -> DataFra
     return p.withColumn("scope", scope)
 
 
-def visible_rows(report: DataFrame, principals: DataFrame, resource: str) -> DataFrame:
-    """(viewer_role, viewer_id, row) for principals whose scope is ``own``."""
+def _pairs(report: DataFrame, principals: DataFrame, resource: str, scope: str) -> DataFrame:
+    """(viewer_role, viewer_id, row) for principals of ``scope`` whose id is
+    the row's owner id, and whose role is the owner's where the row says."""
     owner = RULES[resource][3]
     if owner is None:
         return report.limit(0).select(F.lit(None).cast("string").alias("viewer_role"),
                                       F.lit(None).cast("bigint").alias("viewer_id"), *report.columns)
-    own = (principals.select(C("role").alias("viewer_role"), C("id").alias("viewer_id")).distinct()
-           .filter(scope_of(C("viewer_role"), resource) == OWN))
-    return own.join(report, C("viewer_id") == C(owner)).select("viewer_role", "viewer_id", *report.columns)
+    p = (principals.select(C("role").alias("viewer_role"), C("id").alias("viewer_id")).distinct()
+         .filter(scope_of(C("viewer_role"), resource) == scope))
+    on = C("viewer_id") == C(owner)
+    if scope == OWN and resource in ROLE_COLUMN:
+        on = on & (C("viewer_role") == C(ROLE_COLUMN[resource]))
+    return p.join(report, on).select("viewer_role", "viewer_id", *report.columns)
+
+
+def visible_rows(report: DataFrame, principals: DataFrame, resource: str) -> DataFrame:
+    """(viewer_role, viewer_id, row) for principals whose scope is ``own``."""
+    return _pairs(report, principals, resource, OWN)
 
 
 def visible_for(report: DataFrame, role: str, principal_id: int, resource: str) -> DataFrame:
@@ -96,7 +114,8 @@ def visible_for(report: DataFrame, role: str, principal_id: int, resource: str)
     if scope == ALL:
         return report
     if scope == OWN:
-        return report.filter(C(owner) == F.lit(principal_id))
+        mine = report.filter(C(owner) == F.lit(principal_id))
+        return mine.filter(C(ROLE_COLUMN[resource]) == role) if resource in ROLE_COLUMN else mine
     return report.limit(0)
 
 
@@ -104,10 +123,4 @@ def bare_id_exposure(report: DataFrame, principals: DataFrame, resource: str) ->
     """V6: (viewer_role, viewer_id, row) pairs that a bare-id owner check
     would let through but the ``(role, id)`` check refuses: a principal of a
     role without ``own`` scope whose id equals the row's owner id."""
-    owner = RULES[resource][3]
-    if owner is None:
-        return report.limit(0).select(F.lit(None).cast("string").alias("viewer_role"),
-                                      F.lit(None).cast("bigint").alias("viewer_id"), *report.columns)
-    p = (principals.select(C("role").alias("viewer_role"), C("id").alias("viewer_id")).distinct()
-         .filter(scope_of(C("viewer_role"), resource) == NONE))
-    return p.join(report, C("viewer_id") == C(owner)).select("viewer_role", "viewer_id", *report.columns)
+    return _pairs(report, principals, resource, NONE)

@@ -9,14 +9,13 @@ statistics, and UTC so TIMESTAMP_NTZ literals and driver parquet agree.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
-import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings every operator assumes; ``build_session`` applies them and
-# ``ensure_settings`` applies the ones a caller's session lacks.
+# Settings every operator assumes; ``build_session`` applies them.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -26,13 +25,19 @@ SETTINGS = {
 }
 
 
-def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "rosterlake",
+def build_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "rosterlake",
                   extra: dict[str, str] | None = None) -> SparkSession:
-    b = (SparkSession.builder.master(master).appName(app)
+    """A session with the operators' settings. Master, shuffle partitions and
+    memory are the submitting environment's unless given here."""
+    b = (SparkSession.builder.appName(app)
          .config("spark.ui.enabled", "false")
-         .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-         .config("spark.driver.memory", os.environ.get("ROSTERLAKE_DRIVER_MEMORY", "16g")))
+         .config("spark.ui.showConsoleProgress", "false"))
+    if master is not None:
+        b = b.master(master)
+    if shuffle_partitions is not None:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if "ROSTERLAKE_DRIVER_MEMORY" in os.environ:
+        b = b.config("spark.driver.memory", os.environ["ROSTERLAKE_DRIVER_MEMORY"])
     for k, v in {**SETTINGS, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -43,14 +48,18 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``. Only when the session has none (local tests) is
-    a private scratch folder set."""
+    ``spark.checkpoint.dir``. A local session without one gets a private
+    scratch folder; anywhere else that is an error, since executors would each
+    write to a disk of their own."""
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: no SparkContext on the client
         sc = None
     current = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not current:
+        master = sc.master if sc is not None else "unknown"
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir is not set for master {master!r}: name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="rosterlake-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", current)
@@ -73,13 +82,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
     finally:
         df.unpersist()
-
-
-def materialize(df: DataFrame, label: str = "frame") -> DataFrame:
-    """Write ``df`` once as a parquet table under the shared checkpoint
-    folder and read it back: every later use scans the table instead of
-    re-running the plan, and a lost executor re-reads files, not lineage."""
-    root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{root}/rosterlake-tables/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
