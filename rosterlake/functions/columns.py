@@ -44,9 +44,10 @@ def contains_like(c: str | Column, term: str) -> Column:
     """``c LIKE '%term%'`` under a case-insensitive collation. The term is not
     escaped, so ``%`` and ``_`` inside it stay wildcards, as in the reference.
     A backslash that escapes neither of these nor itself stands for the
-    character after it."""
-    plain = re.sub(r"\\(.?)", lambda m: m[0] if m[1] in ("%", "_", "\\") else m[1] or "\\\\", term, flags=re.S)
-    return col(c).ilike(f"%{plain}%")
+    character after it; one at the term's end escapes the closing ``%``."""
+    keep = ("%", "_", "\\")
+    pattern = re.sub(r"\\(.?)", lambda m: m[0] if m[1] in keep else m[1], f"%{term}%", flags=re.S)
+    return col(c).ilike(pattern)
 
 
 def first_failing(checks: Sequence[tuple[str, Column]]) -> Column:
