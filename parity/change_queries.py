@@ -54,6 +54,14 @@ def _triple(key: str, fn, ctes: list[str], rejected_sel: str, accepted_sel: str,
 
 _REJ = "select request_id, reason from fin where reason is not null"
 
+
+def _grown(key: str, fn, ctes: list[str], relation: str, accepted_sel: str, existing: str | None = None):
+    """``<key>_state`` of an insert: the old rows and the accepted ones."""
+    register(f"{key}_state", _sql(ctes, f"""
+select * from {existing or relation}
+union all by name
+select * exclude (request_id) from ({accepted_sel}) q"""))(lambda s, d: fn(s, d).states[relation])
+
 # ------------------------------------------------------------------ M8
 
 
@@ -88,10 +96,12 @@ fin AS (select j.*, coalesce(j.base,
           case when not j.ok then 'invalid_status' end) as reason
         from j0 j left join w on {_on(['session_id', 'actor_id'])})"""]
 
-_triple("m08_admit_bookings", _m08, _M08, _REJ, f"""
+_A08 = f"""
 select request_id, {_ids('existing_booking')} as id, session_id, actor_id as member_id, status,
        request_ts as datetime_created, u_nama as member_name
-from fin where reason is null""")
+from fin where reason is null"""
+_triple("m08_admit_bookings", _m08, _M08, _REJ, _A08)
+_grown("m08_admit_bookings", _m08, _M08, "booking", _A08, "existing_booking")
 
 # ------------------------------------------------------------------ M9
 
@@ -146,11 +156,13 @@ j0 AS (select r.*, case
 fin AS (select j.*, coalesce(j.base, case when {_after()} then 'already_reviewed' end) as reason
         from j0 j left join w on {_on(['session_id', 'actor_id'])})"""]
 
-_triple("m13_admit_reviews", _m13, _M13, _REJ, f"""
+_A13 = f"""
 select request_id, {_ids('reviews')} as id, session_id, actor_id as member_id,
        cast(round(rating_score) as tinyint) as rating_score, nullif(comment, '') as comment,
        request_ts as datetime_created
-from fin where reason is null""")
+from fin where reason is null"""
+_triple("m13_admit_reviews", _m13, _M13, _REJ, _A13)
+_grown("m13_admit_reviews", _m13, _M13, "reviews", _A13)
 
 # ------------------------------------------------------------------ M10
 
@@ -173,11 +185,13 @@ fin AS (select r.*, case
         end as reason
         from progress_req r)"""]
 
-_triple("m10_admit_progress", _m10, _M10, _REJ, f"""
+_A10 = f"""
 select request_id, {_ids('progress')} as id, actor_id as member_id,
        case when booking_id <> 0 then booking_id end as booking_id, activity,
        cast(trim(duration) as integer) as duration, note, request_ts as jam_nyatat
-from fin where reason is null""")
+from fin where reason is null"""
+_triple("m10_admit_progress", _m10, _M10, _REJ, _A10)
+_grown("m10_admit_progress", _m10, _M10, "progress", _A10)
 
 # ------------------------------------------------------------------ M5
 
@@ -198,10 +212,12 @@ fin AS (select r.*, coalesce(r.status, 'scheduled') as st, case
         end as reason
         from session_req r)"""]
 
-_triple("m05_admit_sessions", _m05, _M05, _REJ, f"""
+_A05 = f"""
 select request_id, {_ids('session')} as id, title, deskripsi, trainer_id, start_time, end_time, price,
        st as status
-from fin where reason is null""")
+from fin where reason is null"""
+_triple("m05_admit_sessions", _m05, _M05, _REJ, _A05)
+_grown("m05_admit_sessions", _m05, _M05, "session", _A05)
 
 # ------------------------------------------------------------------ patches
 
@@ -377,6 +393,8 @@ tg AS (select s.id as t_id, s.trainer_id,
                     ("referenced", "tg.referenced")])
 _triple("m07_delete_sessions", _m07, _M07, _REJ, _ACC,
         ("booking", "select * from booking where session_id not in (select id from fin where reason is null)"))
+register("m07_delete_sessions_session_state", _sql(_M07, "select * from session where id not in (select id from fin where reason is null)"))(
+    lambda s, d: _m07(s, d).states["session"])
 
 
 def _m18(mode: str):
@@ -401,6 +419,12 @@ tg AS (select u.id as t_id, u.id in ({_REFS[_mode]}) as referenced from users u)
              "select * from booking where member_id not in (select id from fin where reason is null)"
              if _mode == "cascade" else "select * from users where id not in (select id from fin where reason is null)"))
 
+    if _mode == "cascade":
+        for _rel, _key in (("users", "id"), ("progress", "member_id"), ("reviews", "member_id")):
+            register(f"m18_delete_users_cascade_{_rel}_state",
+                     _sql(_M18, f"select * from {_rel} where {_key} not in (select id from fin where reason is null)"))(
+                lambda s, d, rel=_rel, run=_m18(_mode): run(s, d).states[rel])
+
 # ------------------------------------------------------------------ merges
 
 
@@ -493,15 +517,20 @@ def _m04(spark, d):
 
 
 _PLACE = "coalesce(nullif(propinsi, ''), '') as propinsi, coalesce(nullif(kota, ''), '') as kota"
-_triple("m02_register_customers", _m02, _reg_sql("cust_reg", "users", None), _REJ, f"""
+_A02 = f"""
 select request_id, {_ids('users')} as id, nama, email, {_PLACE}, request_ts as created_at
-from fin where reason is null""")
-_triple("m03_register_trainers", _m03, _reg_sql("trainer_reg", "trainer", None), _REJ, f"""
+from fin where reason is null"""
+_triple("m02_register_customers", _m02, _reg_sql("cust_reg", "users", None), _REJ, _A02)
+_grown("m02_register_customers", _m02, _reg_sql("cust_reg", "users", None), "users", _A02)
+_A03 = f"""
 select request_id, {_ids('trainer')} as id, nama, email,
        coalesce(nullif(spesialisasi, ''), '') as spesialisasi, {_PLACE}
-from fin where reason is null""")
-_triple("m04_register_admins", _m04, _reg_sql("admin_reg", "admin", "not coalesce(r.actor_role = 'admin', false)"),
-        _REJ, f"select request_id, {_ids('admin')} as id, nama, email from fin where reason is null")
+from fin where reason is null"""
+_triple("m03_register_trainers", _m03, _reg_sql("trainer_reg", "trainer", None), _REJ, _A03)
+_grown("m03_register_trainers", _m03, _reg_sql("trainer_reg", "trainer", None), "trainer", _A03)
+_A04 = f"select request_id, {_ids('admin')} as id, nama, email from fin where reason is null"
+_triple("m04_register_admins", _m04, _reg_sql("admin_reg", "admin", "not coalesce(r.actor_role = 'admin', false)"), _REJ, _A04)
+_grown("m04_register_admins", _m04, _reg_sql("admin_reg", "admin", "not coalesce(r.actor_role = 'admin', false)"), "admin", _A04)
 
 # ------------------------------------------------------------------ Q10 on changed state
 

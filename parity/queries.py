@@ -147,14 +147,51 @@ def j10(spark, d):
     return R.trainer_schedule(tables(spark, d), AS_OF_COL())
 
 
-@register("j11_trainer_sessions", with_adapter("", """
-select s.*, (select count(*) from booking b
-             where b.session_id = s.id and b.status != 'Confirmed') as confirmed_customers
-from session s"""))
+# J11 by its rule: sessions, and the size of each one's group of bookings that
+# are anything but Confirmed; no such group counts 0.
+_OTHERS = "others AS (select session_id, count(*) as n from booking where status in ('Pending', 'Cancel') group by session_id)"
+_J11 = """
+select session.*, case when others.n is null then 0 else others.n end as confirmed_customers
+from session left join others on others.session_id = session.id"""
+
+
+@register("j11_trainer_sessions", with_adapter(_OTHERS, _J11))
 def j11(spark, d):
     return R.trainer_sessions(tables(spark, d))
 
 
+# The forms the endpoints call: for given principals (here every third id).
+@register("j06_my_progress_for", with_adapter("", """
+select progress.member_id, progress.id as progress_id, activity, duration, note, jam_nyatat as recorded_at
+from progress where member_id % 3 = 1"""))
+def j06_for(spark, d):
+    t = tables(spark, d)
+    return R.my_progress(t, t.progress.where("member_id % 3 = 1").select("member_id"), ordered=False)
+
+
+@register("j10_trainer_schedule_for", with_adapter(f"ahead AS (select * from session where start_time > {AS_OF_SQL} and trainer_id % 3 = 1)", """
+select trainer.id as trainer_id, trainer.nama as trainer_name, ahead.id as session_id, ahead.title, ahead.start_time, ahead.end_time,
+       (select count(*) from booking b where b.session_id = ahead.id and b.status = 'Confirmed') as confirmed_customers
+from ahead join trainer on trainer.id = ahead.trainer_id"""))
+def j10_for(spark, d):
+    t = tables(spark, d)
+    return R.trainer_schedule(t, AS_OF_COL(), t.trainer.where("id % 3 = 1").select("id"), ordered=False)
+
+
+@register("j11_trainer_sessions_for", with_adapter(_OTHERS, _J11 + " where session.trainer_id % 3 = 1"))
+def j11_for(spark, d):
+    t = tables(spark, d)
+    return R.trainer_sessions(t, t.trainer.where("id % 3 = 1").select("id"))
+
+
+@register("j14_my_bookings_for", with_adapter("led AS (select session.id, title, start_time, nama from session, trainer where trainer.id = trainer_id)", """
+select mine.member_id, mine.id as booking_id, mine.status, led.title, led.start_time, led.nama as trainer_name
+from (select * from booking where member_id % 3 = 1) mine, led where led.id = mine.session_id"""))
+def j14_for(spark, d):
+    t = tables(spark, d)
+    return R.my_bookings(t, t.users.where("id % 3 = 1").select("id"), ordered=False)
+
+
 @register("j12_upcoming_sessions", with_adapter("", f"""
 select s.id as session_id, s.title, s.deskripsi, s.start_time, s.end_time, s.price,
        t.nama as trainer_name, count(b.id) as confirmed_bookings
@@ -618,6 +655,20 @@ def _v1_user(t):
     return t.account().withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
 
 
+@register("s02_split_accounts_users", with_adapter("", "select id, nama, email, propinsi, kota, cast(null as timestamp) as created_at from users"))
+def s02_users(spark, d):
+    return split_accounts(_v1_user(tables(spark, d)))["users"]
+
+
+@register("s02_split_accounts_invalid_role", with_adapter("", """
+select id, case when id % 2 = 0 then 'guest' end as role from users where id % 10 < 3"""))
+def s02_invalid(spark, d):
+    # Some v1 rows with a role outside the enum, or none.
+    v1 = _v1_user(tables(spark, d))
+    bad = (F.col("role") == "customer") & (F.col("id") % 10 < 3)
+    return split_accounts(v1.withColumn("role", F.when(~bad, F.col("role")).when(F.col("id") % 2 == 0, "guest")))["invalid_role"]
+
+
 @register("s02_split_accounts_trainer", with_adapter("", """
 select id, nama, email, spesialisasi, propinsi, kota from (
   select id, nama, email, cast(null as varchar) as spesialisasi, propinsi, kota from trainer) q"""))
