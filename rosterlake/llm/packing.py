@@ -166,11 +166,13 @@ def pack_documents(docs: DataFrame, tokenizer: Callable[[], str], end_id: int =
         for b in batches:
             ids_in, texts = b.column(0), b.column(1)
             id_kind = ids_in.type
-            _, at = text_bytes(texts)
+            data, at = text_bytes(texts)
             for i, j in row_chunks(at):
-                for r in range(i, j):
-                    ids = pieces.encode(texts[r].as_py() or "") + end
-                    n, doc = len(ids) // 4, ids_in[r].as_py()
+                flat, sizes = pieces.encode(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                raw, stops = flat.astype("<u4").tobytes(), np.cumsum(sizes)
+                for r, size, stop in zip(range(i, j), sizes.tolist(), stops.tolist(), strict=True):
+                    ids = raw[4 * (stop - size) : 4 * stop] + end
+                    n, doc = size + 1, ids_in[r].as_py()
                     for s in range(0, n, whole):
                         t, d = min(whole, n - s), state["example"]
                         state["example"] += 1

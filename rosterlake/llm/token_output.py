@@ -33,7 +33,7 @@ from rosterlake.llm.tokens import encoder
 
 MAX_BITS = 18
 STEP = 256
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 20
 PART_BYTES = 32 << 20
 
 
@@ -146,16 +146,19 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: Callable[[], str], vocabu
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    end = np.array([end_id], "<u4").tobytes()
     narrow = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(tokenizer())
         for b in batches:
-            _, at = text_bytes(b.column(1))
+            data, at = text_bytes(b.column(1))
             for i, j in row_chunks(at):
-                ids = [np.frombuffer(pieces.encode(b.column(1)[r].as_py() or "") + end, "<u4").astype(narrow).tobytes() for r in range(i, j)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                flat, sizes = pieces.encode(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                stops = np.cumsum(sizes)
+                flat = np.insert(flat, stops, end_id).astype(narrow)
+                stops = np.concatenate([[0], stops + np.arange(1, j - i + 1)]) * flat.itemsize
+                ids = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), ids], ["doc_id", "ids"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(vocabulary, np.int64)
