@@ -726,3 +726,19 @@ where trainer_id is not null and not exists (select 1 from trainer t where t.id
 def s07_trainer_missing(spark, d):
     t = tables(spark, d)
     return LK.trainer_by_id(t, RQ.session_requests(t).select("trainer_id")).missing
+
+
+# ------------------------------------------------------------------ publish and read back
+
+from rosterlake.plans.session import ensure_checkpoint_dir  # noqa: E402
+from rosterlake.sources.sinks import round_trip  # noqa: E402
+
+
+@register("s10_published_sessions_upcoming", with_adapter(f"ahead AS (select * from session where start_time > {AS_OF_SQL})", """
+select ahead.id as session_id, ahead.title, trainer.nama as trainer_name,
+       (select count(*) from booking b where b.session_id = ahead.id and b.status = 'Confirmed') as confirmed_customers
+from ahead join trainer on trainer.id = ahead.trainer_id"""))
+def s10(spark, d):
+    import uuid
+    back = round_trip(spark, f"{ensure_checkpoint_dir(spark)}/rosterlake-db/{uuid.uuid4().hex}", tables(spark, d))
+    return R.trainer_schedule(back, AS_OF_COL(), ordered=False).select("session_id", "title", "trainer_name", "confirmed_customers")
