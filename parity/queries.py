@@ -9,6 +9,8 @@ checked on row counts only (noted where it happens).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from rosterlake.operators import reports as R
@@ -489,9 +491,22 @@ def _q_sql(rule: str, relation: str, key: str, detail: str, src: str) -> str:
     return f"select '{rule}' as rule, '{relation}' as relation, {key} as \"key\", {detail} as detail {src}"
 
 
+# Fixed values, read from the DDL by hand (not from the implementation).
+_RELATIONS = ("users", "trainer", "admin", "session", "booking", "progress", "reviews")
+_FK = (("booking", "session_id", "session"), ("booking", "member_id", "users"), ("progress", "member_id", "users"),
+       ("progress", "booking_id", "booking"), ("reviews", "session_id", "session"), ("reviews", "member_id", "users"),
+       ("session", "trainer_id", "trainer"))
+_REQUIRED = {"booking": "id session_id member_id status", "progress": "id member_id activity duration note",
+             "reviews": "id session_id member_id rating_score", "session": "id title trainer_id start_time status",
+             "users": "id nama email propinsi kota"}
+_LONGEST = {"progress": {"activity": 100, "note": 200}, "session": {"title": 100, "deskripsi": 200},
+            "users": {"nama": 100, "email": 100, "propinsi": 45, "kota": 45}}
+_RULE_NAMES = ("primary_key", "unique_key", "foreign_key", "domain", "rating_range", "not_null", "varchar_length",
+               "duplicate_review", "unconfirmed_reference", "member_name_drift")
+
 _Q_PARTS = {
     "primary_key": [_q_sql("primary_key", r, "cast(id as varchar)", "'count=' || cast(count(*) as varchar)",
-                           f"from {r} group by id having count(*) > 1") for r in Q.PK_RELATIONS],
+                           f"from {r} group by id having count(*) > 1") for r in _RELATIONS],
     "unique_key": [
         _q_sql("unique_key", "booking", f"concat_ws(',', {_v('session_id')}, {_v('member_id')})",
                "'count=' || cast(count(*) as varchar)", "from booking group by session_id, member_id having count(*) > 1"),
@@ -500,7 +515,7 @@ _Q_PARTS = {
     "foreign_key": [
         _q_sql("foreign_key", child, "cast(id as varchar)", f"'{col}=' || {_v(col)}",
                f"from {child} c where {col} is not null and not exists (select 1 from {parent} p where p.id = c.{col})")
-        for child, col, parent in Q.FOREIGN_KEYS],
+        for child, col, parent in _FK],
     "domain": [
         _q_sql("domain", "booking", "cast(id as varchar)", "'status=' || status",
                "from booking where status not in ('Pending', 'Confirmed', 'Cancel')"),
@@ -509,9 +524,9 @@ _Q_PARTS = {
     "rating_range": [_q_sql("rating_range", "reviews", "cast(id as varchar)", f"'rating_score=' || {_v('rating_score')}",
                             "from reviews where not (rating_score between 1 and 5)")],
     "not_null": [_q_sql("not_null", rel, "cast(id as varchar)", f"'{c}'", f"from {rel} where {c} is null")
-                 for rel, cols in Q.NOT_NULL.items() for c in cols],
+                 for rel, cols in _REQUIRED.items() for c in cols.split()],
     "varchar_length": [_q_sql("varchar_length", rel, "cast(id as varchar)", f"'{c}'", f"from {rel} where length({c}) > {n}")
-                       for rel, lim in Q.VARCHAR_LIMITS.items() for c, n in lim.items()],
+                       for rel, lim in _LONGEST.items() for c, n in lim.items()],
     "duplicate_review": [_q_sql("duplicate_review", "reviews", f"concat_ws(',', {_v('session_id')}, {_v('member_id')})",
                                 "'count=' || cast(count(*) as varchar)",
                                 "from reviews group by session_id, member_id having count(*) > 1")],
@@ -539,18 +554,77 @@ def _audit_query(rule: str, idx: int):
     return run
 
 
-for _i, _rule in enumerate(Q.RULES, start=1):
+for _i, _rule in enumerate(_RULE_NAMES, start=1):
     register(f"q{_i:02d}_{_rule}", with_adapter("", "\nunion all\n".join(_Q_PARTS[_rule])))(_audit_query(_rule, _i))
 
 
 @register("q00_audit_summary", with_adapter(
-    "v AS (" + "\nunion all\n".join(p for r in Q.RULES for p in _Q_PARTS[r]) + "),\n"
-    "rules AS (select * from (values " + ", ".join(f"('{r}')" for r in Q.RULES) + ") t(rule))",
+    "v AS (" + "\nunion all\n".join(p for r in _RULE_NAMES for p in _Q_PARTS[r]) + "),\n"
+    "rules AS (select * from (values " + ", ".join(f"('{r}')" for r in _RULE_NAMES) + ") t(rule))",
     "select r.rule, count(v.rule) as n from rules r left join v on v.rule = r.rule group by r.rule"))
 def q00(spark, d):
     return Q.audit_summary(Q.audit_all(tables(spark, d)))
 
 
+# The clean relations break few rules, so each audit also runs over relations
+# in which a fixed part of the rows is broken.
+def _broken(t):
+    i = F.col("id")
+
+    def put(df, column, every, value):
+        return df.withColumn(column, F.when(i % every == 3, value.cast(df.schema[column].dataType)).otherwise(F.col(column)))
+    users = put(put(t.users, "kota", 90, F.lit(None)), "propinsi", 70, F.repeat(F.lit("x"), F.lit(46)))
+    users = users.unionByName(t.users.where("id % 100 = 3"))
+    session = put(put(t.session, "status", 80, F.lit("paused")), "trainer_id", 110, F.lit(-1))
+    session = put(session, "title", 130, F.repeat(F.lit("t"), F.lit(101)))
+    booking = put(put(t.booking, "status", 60, F.lit("cancel")), "member_id", 140, F.lit(-1))
+    booking = put(booking, "member_name", 50, F.lit("Somebody Else"))
+    progress = put(put(t.progress, "note", 120, F.lit(None)), "booking_id", 150, F.lit(-1))
+    reviews = put(put(t.reviews, "rating_score", 11, F.lit(7)), "session_id", 30, F.lit(-1))
+    reviews = reviews.unionByName(t.reviews.where("id % 25 = 3"))
+    return t.with_(users=users, session=session, booking=booking, progress=progress, reviews=reviews)
+
+
+_BROKEN = """
+b_users AS (select id, nama, email, case when id % 70 = 3 then repeat('x', 46) else propinsi end as propinsi,
+                   case when id % 90 = 3 then null else kota end as kota from users
+            union all select id, nama, email, propinsi, kota from users where id % 100 = 3),
+b_trainer AS (select * from trainer), b_admin AS (select * from admin),
+b_session AS (select * replace (case when id % 80 = 3 then 'paused' else status end as status,
+                                case when id % 110 = 3 then -1 else trainer_id end as trainer_id,
+                                case when id % 130 = 3 then repeat('t', 101) else title end as title) from session),
+b_booking AS (select * replace (case when id % 60 = 3 then 'cancel' else status end as status,
+                                case when id % 140 = 3 then -1 else member_id end as member_id,
+                                case when id % 50 = 3 then 'Somebody Else' else member_name end as member_name) from booking),
+b_progress AS (select * replace (case when id % 120 = 3 then null else note end as note,
+                                 case when id % 150 = 3 then -1 else booking_id end as booking_id) from progress),
+b_reviews AS (select * replace (case when id % 11 = 3 then 7 else rating_score end as rating_score,
+                                case when id % 30 = 3 then -1 else session_id end as session_id) from reviews
+              union all select * from reviews where id % 25 = 3)"""
+
+
+def _broken_query(rule: str, idx: int):
+    def run(spark, d):
+        return Q.AUDITS[rule](_broken(tables(spark, d)))
+    run.__name__ = f"q{idx:02d}_{rule}_broken"
+    return run
+
+
+for _i, _rule in enumerate(_RULE_NAMES, start=1):
+    _parts = "\nunion all\n".join(_Q_PARTS[_rule])
+    register(f"q{_i:02d}_{_rule}_broken", with_adapter(_BROKEN, re.sub(
+        rf"\b(from|join) ({'|'.join(_RELATIONS)})\b", r"\1 b_\2", _parts)))(_broken_query(_rule, _i))
+
+
+@register("q04_role_domain", with_adapter("", """
+select 'domain' as rule, 'user' as relation, cast(id as varchar) as "key",
+       case when id % 2 = 0 then 'role=guest' else 'role=NULL' end as detail from users where id % 10 < 3"""))
+def q04_role(spark, d):
+    bad = (F.col("role") == "customer") & (F.col("id") % 10 < 3)
+    v1 = _v1_user(tables(spark, d)).withColumn("role", F.when(~bad, F.col("role")).when(F.col("id") % 2 == 0, "guest"))
+    return Q.role_domain(v1)
+
+
 # ------------------------------------------------------------------ visibility
 
 from rosterlake.operators import access as V  # noqa: E402

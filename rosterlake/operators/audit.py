@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import norm_key
-from ..sources.schema import BOOKING_STATUSES, SESSION_STATUSES, Tables
+from ..sources.schema import BOOKING_STATUSES, ROLES, SESSION_STATUSES, Tables
 
 C = F.col
 
@@ -102,6 +102,13 @@ def foreign_keys(t: Tables) -> DataFrame:
     return _union(frames)
 
 
+def role_domain(user_v1: DataFrame) -> DataFrame:
+    """Q4 on a v1 ``user`` table: a role outside its enum (a missing one too:
+    the column may not be NULL)."""
+    bad = user_v1.filter(C("role").isNull() | ~C("role").isin(*ROLES))
+    return _out(bad, "domain", "user", C("id"), F.concat(F.lit("role="), _s("role")))
+
+
 def domains(t: Tables) -> DataFrame:
     """Q4: enum columns holding a value outside their domain."""
     b = t.booking.filter(~C("status").isin(*BOOKING_STATUSES))
