@@ -39,7 +39,7 @@ from rosterlake.llm.common import Scratch, powers, row_chunks, text_bytes
 
 LENGTH = 200
 GRAM = 64
-LIMIT = 1000
+LIMIT = 16_000
 BATCH = 24_000
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
