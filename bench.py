@@ -21,12 +21,15 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from rosterlake.operators import audit as Q  # noqa: E402
 from rosterlake.operators import changes as M  # noqa: E402
 from rosterlake.operators import lookup as LK  # noqa: E402
 from rosterlake.operators import reports as R  # noqa: E402
 from rosterlake.operators import rollups as A  # noqa: E402
 from rosterlake.operators import search as P  # noqa: E402
+from rosterlake.operators.ids import assign_ids  # noqa: E402
 from rosterlake.plans.session import build_session  # noqa: E402
 from rosterlake.sources import fixture_requests as RQ  # noqa: E402
 from rosterlake.sources.adapter import AS_OF, driver_fixture  # noqa: E402
@@ -69,7 +72,7 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "5"))
     event_dir = os.environ.get("BENCH_EVENTLOG") or tempfile.mkdtemp(prefix="rosterlake-events-")
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus), app="rosterlake-bench",
-                          extra={"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_dir,
+                          extra={"spark.driver.memory": os.environ.get("ROSTERLAKE_DRIVER_MEMORY", "16g"), "spark.eventLog.enabled": "true", "spark.eventLog.dir": event_dir,
                                  "spark.eventLog.compress": "false"})
     ckpt = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rosterlake-bench-")
     snap = os.path.join(ckpt, f"bench-snapshot-{os.getpid()}-{int(time.time())}")
@@ -106,7 +109,17 @@ def main() -> None:
         .states["booking"],
         "m13_admit_reviews": lambda: M.admit_reviews(RQ.review_requests(t), t).rejected,
         "q00_audit_summary": lambda: Q.audit_summary(Q.audit_all(t)),
+        # The costly halves, not in ``value``: id assignment, accepted rows and new states.
+        "m01_assign_ids": lambda: assign_ids(t.booking.drop("id"), 0, [F.col("datetime_created").asc(), F.col("session_id").asc(), F.col("member_id").asc()]),
+        "p04_paginate_users": lambda: P.paginate(t.users, [F.col("nama").asc(), F.col("id").asc()], 20),
+        "m07_delete_sessions_state": lambda: M.delete_sessions(RQ.session_deletes(t), t).states["session"],
+        "m08_admit_bookings_accepted": lambda: M.admit_bookings(requests, t.with_(booking=existing)).accepted,
+        "m08_admit_bookings_state": lambda: M.admit_bookings(requests, t.with_(booking=existing)).states["booking"],
+        "m13_admit_reviews_state": lambda: M.admit_reviews(RQ.review_requests(t), t).states["reviews"],
+        "m16_merge_user_profiles_state": lambda: M.merge_user_profiles(RQ.user_merges(t), t).states["users"],
     }
+    names = list(headline)
+    costly = set(names[names.index("q00_audit_summary") + 1:])  # ``value`` stays comparable with earlier rounds
     only = [q for q in os.environ.get("BENCH_ONLY", "").split(",") if q]
     timings = {}
     for name, build in headline.items():
@@ -130,7 +143,8 @@ def main() -> None:
     except Exception:  # timings are the contract; shuffle bytes are extra
         shuffle = {}
     print(json.dumps({
-        "metric": "sum_of_median_query_sec", "value": round(sum(timings.values()), 4), "unit": "sec",
+        "metric": "sum_of_median_query_sec", "value": round(sum(v for k, v in timings.items() if k not in costly), 4), "unit": "sec",
+        "value_with_costly_halves": round(sum(timings.values()), 4),
         "queries": timings, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
         "load_sec": round(load_sec, 3), "cpus": cpus, "runs": runs, "rows": rows,
         "shuffle_bytes_per_run": shuffle, "spark": version,

@@ -87,7 +87,7 @@ def main(argv: list[str]) -> int:
 
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     pats = argv[2:]
-    spark = build_session(master="local[8]", shuffle_partitions=8)
+    spark = build_session(master="local[8]", shuffle_partitions=8, extra={"spark.driver.memory": "8g"})
     con = duck(sf_dir)
     bad = 0
     for name, (fn, sql) in REGISTRY.items():

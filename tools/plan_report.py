@@ -54,7 +54,7 @@ def summarize(df) -> str:
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = build_session(master="local[8]", shuffle_partitions=8)
+    spark = build_session(master="local[8]", shuffle_partitions=8, extra={"spark.driver.memory": "8g"})
     root = os.path.join(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(),
                         f"plan-report-{os.getpid()}")
     fx = driver_fixture(spark, sf_dir)
