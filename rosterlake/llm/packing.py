@@ -39,11 +39,10 @@ class VectorBins:
     """Examples waiting for a bin, grouped by equal vectors."""
 
     def __init__(self, tokens: int, segments: int, loss: int, cut: bool) -> None:
-        self.limits, self.cut = np.array([tokens, segments, loss], np.float64), cut
+        self.limits, self.cut = (tokens, segments, loss), cut
         self.groups: dict[tuple[int, int], list] = {}
         self.index: dict[tuple[int, int], int] = {}
-        self.vectors = np.zeros((256, 3))
-        self.count = np.zeros(256, np.int64)
+        self.tokens, self.loss, self.count = (np.zeros(256, np.int64) for _ in range(3))
         self.total = 0
 
     def add(self, item, tokens: int, loss: int) -> None:
@@ -51,50 +50,57 @@ class VectorBins:
         key = (tokens, loss)
         k = self.index.setdefault(key, len(self.index))
         if k == len(self.count):
-            self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
-            self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-        self.vectors[k] = tokens, 1, loss
+            self.tokens, self.loss, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.tokens, self.loss, self.count))
+        self.tokens[k], self.loss[k] = key
         self.count[k] += 1
         self.groups.setdefault(key, []).append(item)
         self.total += tokens
 
     def _take(self, k: int):
-        t, _, loss = (int(x) for x in self.vectors[k])
+        t, loss = int(self.tokens[k]), int(self.loss[k])
         self.count[k] -= 1
         self.total -= t
         return self.groups[(t, loss)].pop(), t, loss
 
-    def weights(self) -> np.ndarray:
-        n = max(1, self.count.sum())
-        return (self.count @ self.vectors / n) / self.limits
+    def weights(self) -> tuple[float, float, float]:
+        """Mean demand over limit, in each dimension."""
+        n = max(1, int(self.count.sum()))
+        return (float(self.count @ self.tokens) / n / self.limits[0], 1 / self.limits[1], float(self.count @ self.loss) / n / self.limits[2])
 
-    def fill(self, size: int, weights: np.ndarray) -> list[tuple]:
+    def fill(self, size: int, weights: tuple[float, float, float]) -> list[tuple]:
         """One bin of at most ``size`` tokens: (item, length) in order. With
         ``cut`` its length is ``size``, or a power of two where the segment
         limit or the examples run out before."""
-        room = np.minimum(self.limits, [size, self.limits[1], self.limits[2]])
-        scale, out = weights / self.limits, []
-        while room[0] > 0 and room[1] > 0:
-            n = len(self.index)
-            vectors, there = self.vectors[:n], self.count[:n] > 0
-            fits = there & (vectors <= room).all(axis=1)
-            if self.cut and room[1] == 1 and (there & (vectors[:, 0] >= room[0])).any():
-                fits &= vectors[:, 0] >= room[0]
-            score = vectors @ (scale * room)
-            if fits.any():
-                item, t, loss = self._take(int(np.argmax(np.where(fits, score, -1))))
-            elif self.cut and there.any():
-                (example, start), t, _ = self._take(int(np.argmax(np.where(there, score, -1))))
-                used = int(min(room[0], room[2]))
+        n = len(self.index)
+        tokens, loss, count = self.tokens[:n], self.loss[:n], self.count[:n]
+        room, slots, room_loss = size, self.limits[1], self.limits[2]
+        by_tokens, _, by_loss = (w / limit for w, limit in zip(weights, self.limits, strict=True))
+        out: list[tuple] = []
+        while room > 0 and slots > 0:
+            # The segment dimension adds the same to every example's product.
+            score = np.where(count > 0, tokens * (by_tokens * room) + loss * (by_loss * room_loss), -1.0)
+            fits = (tokens <= room) & (loss <= room_loss)
+            if self.cut and slots == 1:
+                # The last segment ends the bin: take what fills it, or cut.
+                enough = (tokens >= room) & (count > 0)
+                fits = fits & enough if enough.any() else fits
+            best = np.where(fits, score, -1.0)
+            k = int(best.argmax())
+            if best[k] >= 0:
+                item, t, used_loss = self._take(k)
+            elif self.cut and score.max() >= 0:
+                used = min(room, room_loss)
                 if used <= 0:
-                    self.add((example, start), t, t)
                     break
+                (example, start), t, _ = self._take(int(score.argmax()))
                 self.add((example, start + used), t - used, t - used)
-                item, t, loss = (example, start), used, used
+                n = len(self.index)
+                tokens, loss, count = self.tokens[:n], self.loss[:n], self.count[:n]
+                item, t, used_loss = (example, start), used, used
             else:
                 break
             out.append((item, t))
-            room = room - [t, 1, loss]
+            room, slots, room_loss = room - t, slots - 1, room_loss - used_loss
         filled = sum(t for _, t in out)
         if self.cut and 0 < filled < size:
             extra = filled - (1 << (filled.bit_length() - 1))
@@ -139,7 +145,7 @@ def pack_documents(docs: DataFrame, tokenizer: Callable[[], str], end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(tokenizer(), lower=True)
         waiting = VectorBins(tokens, segments, loss, cut=True)
-        whole = min(tokens, loss)
+        full = min(tokens, loss)
         held: dict[int, tuple] = {}
         left: dict[int, int] = {}
         state = {"example": 0, "sequence": TaskContext.get().partitionId() << SEQUENCE_BITS}
@@ -173,8 +179,8 @@ def pack_documents(docs: DataFrame, tokenizer: Callable[[], str], end_id: int =
                 for r, size, stop in zip(range(i, j), sizes.tolist(), stops.tolist(), strict=True):
                     ids = raw[4 * (stop - size) : 4 * stop] + end
                     n, doc = size + 1, ids_in[r].as_py()
-                    for s in range(0, n, whole):
-                        t, d = min(whole, n - s), state["example"]
+                    for s in range(0, n, full):
+                        t, d = min(full, n - s), state["example"]
                         state["example"] += 1
                         held[d], left[d] = (doc, ids[4 * s : 4 * (s + t)], s, n), t
                         if t == tokens:
