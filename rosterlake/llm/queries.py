@@ -101,4 +101,25 @@ QUERIES = {
     "op9_html_extract": op9_html_extract,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-SQL: dict[str, str] = {}
+_WORDS = (r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])")
+
+#: DuckDB SQL over whole tables. The others fit models, follow links, hash by
+#: XXH64, tokenize or parse trees.
+SQL: dict[str, str] = {
+    "op1_decontaminate": f"""
+with d as (select row_number() over () as r, doc_id, {_WORDS} as ws from documents),
+i as (select item_id, {_WORDS} as ws from benchmark),
+iw as (select distinct item_id, least(len(ws), 10) as n, array_to_string(ws[k : k + least(len(ws), 10) - 1], ' ') as p
+       from i, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) as t(k) where len(ws) > 0),
+lengths as (select distinct n from iw),
+dw as (select r, k, n, array_to_string(ws[k : k + n - 1], ' ') as p from d, lengths, unnest(range(1, len(ws) - n + 2)) as t(k)),
+m as (select dw.r, dw.k, dw.n, iw.item_id from dw join iw on iw.n = dw.n and iw.p = dw.p),
+hits as (select r, count(distinct pos) as n_hit from (select r, unnest(range(k, k + n)) as pos from m) q group by r),
+named as (select distinct r, cast(item_id as varchar) as item from m where item_id is not null),
+items as (select r, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as h from named group by r)
+select d.doc_id, cast(len(d.ws) as bigint) as n_words, cast(coalesce(hits.n_hit, 0) as bigint) as n_hit,
+       cast(coalesce(items.n_items, 0) as bigint) as n_items, coalesce(items.h, sha256('')) as items_sha256,
+       coalesce(hits.n_hit, 0) > 0 as contaminated
+from d left join hits on hits.r = d.r left join items on items.r = d.r""",
+}
