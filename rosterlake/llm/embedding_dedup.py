@@ -11,9 +11,12 @@ is saturated and is enlarged to every neighbour that passes, without a limit.
 A round takes ``JOINED`` members of a list in each direction, others every
 round, so a hub costs no more than any node; lists themselves are whole.
 
-Rounds go on until the threshold edges grow by less than ``STILL`` and an
-audit, ``AUDITED`` nodes against all others by brute force, finds a recall of
-``RECALL``; or to ``ROUNDS``.
+Rounds go on until the threshold edges grow by less than ``STILL``, or to
+``ROUNDS``. What ``JOINED`` leaves out of saturated lists is then counted
+exactly: a component with a saturated list is dealt into tiles, and all its
+pairs are compared, tile by tile. An audit follows always, ``AUDITED`` nodes
+against all others by brute force; under a recall of ``RECALL`` all pairs of
+every label are compared in the same way, and links and components are exact.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ ROUNDS = 8
 STILL = 0.002
 AUDITED = 256
 RECALL = 0.985
+TILE = 2048
 
 
 def _unit(raw: pa.Array, kind: str) -> np.ndarray:
@@ -165,7 +169,95 @@ def _descend(graph: DataFrame, nodes: DataFrame, turn: int, kind: str, threshold
     return rows.repartition("center").sortWithinPartitions("center").mapInArrow(join, EDGE)
 
 
-def audit(nodes: DataFrame, edges: DataFrame, kind: str, threshold: float) -> tuple[int, int]:
+def _forest(hit: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges of a spanning forest of a symmetric boolean matrix."""
+    left, a, b = np.ones(len(hit), bool), [], []
+    for first in range(len(hit)):
+        stack = [first] if left[first] else []
+        left[first] = False
+        while stack:
+            p = stack.pop()
+            near = np.flatnonzero(hit[p] & left).tolist()
+            left[near] = False
+            a += [p] * len(near)
+            b += near
+            stack += near
+    return a, b
+
+
+PAIRED = "src long, dst long, near long, others long"
+
+
+def _compare_all(blocks: DataFrame, scratch: Scratch, kind: str, threshold: float, forest: bool) -> DataFrame:
+    """All pairs of equal block from (block, node, n, vec). Rows (src, near,
+    others) are parts of a node's counts of nodes and of vectors that pass;
+    with ``forest``, rows (src, dst) connect what passing pairs connect."""
+    size = scratch.table(blocks.groupBy("block").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("tiles > 1"), "tiles")
+    tiles = F.coalesce("tiles", F.lit(1))
+    own, other = F.pmod(F.xxhash64("node", F.lit(7)), tiles).cast("int"), F.explode(F.sequence(F.lit(0), tiles - 1))
+    dealt = (blocks.join(size, "block", "left").withColumn("own", own).withColumn("other", other)
+             .select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "vec")
+             .repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "own", "node"))
+
+    def solve(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        block, i, j, own, node, n = (np.asarray(c) for c in b.columns[:6])
+        near, others = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+        a, c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for p, q in _runs(block, i, j):
+            if q - p < 2:
+                continue
+            unit = _unit(b.column(6).slice(p, q - p), kind)
+            # Of two tiles only pairs across are compared here.
+            cut = int(np.searchsorted(own[p:q], j[p])) if i[p] != j[p] else 0
+            linked = np.zeros((q - p, q - p), bool) if forest else None
+            for s in range(0, cut or q - p, 512):
+                t = min(s + 512, cut or q - p)
+                hit = unit[s:t] @ unit[cut:].T >= threshold
+                if not cut:
+                    hit[np.arange(t - s), np.arange(s, t)] = False
+                near[p + s : p + t] += hit.sum(axis=1)
+                others[p + s : p + t] += hit @ n[p + cut : q]
+                if cut:
+                    near[p + cut : q] += hit.sum(axis=0)
+                    others[p + cut : q] += n[p + s : p + t] @ hit
+                if forest:
+                    linked[s:t, cut:] |= hit
+                    linked[cut:, s:t] |= hit.T
+            if forest:
+                x, y = _forest(linked)
+                a.append(node[p:q][x])
+                c.append(node[p:q][y])
+        own = np.flatnonzero(near)
+        yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.nulls(len(own), pa.int64()), pa.array(near[own]), pa.array(others[own])], ["src", "dst", "near", "others"])
+        a, c = np.concatenate(a), np.concatenate(c)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), *[pa.nulls(len(a), pa.int64())] * 2], ["src", "dst", "near", "others"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            block, i, j = (np.asarray(c) for c in b.columns[:3])
+            first = _runs(block, i, j)[-1][0]
+            if held and (first or any(held[-1].column(k)[-1] != b.column(k)[0] for k in range(3))):
+                held.append(b.slice(0, first))
+                yield from solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                held = []
+            elif first:
+                yield from solve(b.slice(0, first))
+            held.append(b.slice(first))
+        if held:
+            yield from solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return dealt.mapInArrow(compare, PAIRED)
+
+
+def _summed(pairs: DataFrame) -> DataFrame:
+    """(node, near, others) of each node that links."""
+    return pairs.where("dst is null").groupBy(F.col("src").alias("node")).agg(F.sum("near").alias("near"), F.sum("others").alias("others"))
+
+
+def audit(nodes: DataFrame, degree: DataFrame, kind: str, threshold: float) -> tuple[int, int]:
     """Links found and links there are, of ``AUDITED`` nodes chosen by hash,
     each compared with all nodes of its label."""
     asked = nodes.orderBy(F.xxhash64("node", F.lit(99)), "node").limit(AUDITED).select("node", "label", "vec")
@@ -190,7 +282,7 @@ def audit(nodes: DataFrame, edges: DataFrame, kind: str, threshold: float) -> tu
         yield pa.RecordBatch.from_pydict({"n": pa.array([total], pa.int64())})
 
     true = nodes.select("node", "label", "vec").mapInArrow(compare, "n long").agg(F.sum("n")).first()[0] or 0
-    found = edges.where(F.col("src").isin([int(x) for x in node])).count()
+    found = degree.where(F.col("node").isin([int(x) for x in node])).agg(F.sum("near")).first()[0] or 0
     return found, true
 
 
@@ -237,16 +329,29 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
         links = graph.where(F.col("sim") >= threshold).count()
         figures["rounds"] = turn
         if links <= before * (1 + STILL):
-            figures["found"], figures["true"] = audit(nodes, graph.where(F.col("sim") >= threshold), kind, threshold)
-            if figures["found"] >= RECALL * figures["true"]:
-                break
+            break
     # A link can be in one list only: both ends count it.
     kept = graph.where(F.col("sim") >= threshold).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     kept = scratch.table(kept, "links")
     both = kept.unionByName(kept.select(F.col("b").alias("a"), F.col("a").alias("b")))
     weights = nodes.select(F.col("node").alias("b"), F.col("n").alias("others"))
-    degree = scratch.table(both.join(weights, "b").groupBy("a").agg(F.sum("others").alias("others")).withColumnRenamed("a", "node"), "degree")
-    parts = connected_components(kept, scratch)
+    parts = scratch.table(connected_components(kept, scratch), "components")
+    degree = scratch.table(both.join(weights, "b").groupBy("a").agg(F.count("*").alias("near"), F.sum("others").alias("others")).withColumnRenamed("a", "node"), "degree")
+    # A list that is saturated may lack links: its component is counted anew.
+    dense = scratch.table(degree.where(F.col("near") >= K).join(parts, "node").select(F.col("component").alias("block")).distinct(), "dense")
+    members = scratch.table(parts.join(dense, F.col("component") == F.col("block")).select("node", "block"), "members")
+    pairs = _compare_all(members.join(nodes, "node").select("block", "node", "n", "vec"), scratch, kind, threshold, forest=False)
+    exact = scratch.table(_summed(pairs), "exact")
+    degree = scratch.table(degree.join(members, "node", "left_anti").unionByName(exact), "degrees")
+    figures["found"], figures["true"] = audit(nodes, degree, kind, threshold)
+    if figures["found"] < RECALL * figures["true"]:
+        labels = nodes.select(F.xxhash64("label", F.octet_length("vec")).alias("block"), "node", "n", "vec")
+        pairs = scratch.table(_compare_all(labels, scratch, kind, threshold, forest=True), "pairs")
+        degree = scratch.table(_summed(pairs), "degrees")
+        parts = connected_components(pairs.where("dst is not null").select(F.col("src").alias("a"), F.col("dst").alias("b")), scratch)
+        figures["found"], figures["true"] = audit(nodes, degree, kind, threshold)
+        if figures["found"] < RECALL * figures["true"]:
+            raise RuntimeError(f"audit: {figures['found']} of {figures['true']} links after comparing all pairs")
     rooted = scratch.table(nodes.join(degree, "node", "left").join(parts, "node", "left").select(
         "h1", "h2", "least", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("root")), "rooted")
     least = scratch.table(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
