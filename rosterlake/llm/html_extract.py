@@ -50,9 +50,13 @@ SAME_ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "
 SCOPES = frozenset("article aside body div footer form header html main nav ol section table td th ul".split())
 #: What is no main text wherever it stands.
 OTHER_TAGS = frozenset("nav aside form button select dialog menu head title footer fieldset object canvas".split())
-OTHER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsored|promo|banner|cookies?|consent|notice|popup|modal|sidebar|menu|nav|navbar|navigation|breadcrumbs?|"
-    r"footer|comments?|disqus|replies|share|sharing|social|related|newsletter|subscribe|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
+#: The same as a whole class, id or role, alone or joined ("cookie-notice"). A
+#: name that only contains one ("no-sidebar") says nothing; the template decides.
+_WORD = (r"(?:ads?|adverts?|advertisement|sponsored|promo|banner|cookies?|consent|notice|popup|modal|sidebar|menu|nav|navbar|navigation|breadcrumbs?|"
+         r"footer|comments?|disqus|replies|share|sharing|social|related|newsletter|subscribe|complementary|contentinfo|search)")
+OTHER_NAMES = re.compile(rf"(?:^|\s){_WORD}(?:[_-]+{_WORD})*(?:$|\s)", re.I)
+#: Elements that hold or head the main text whatever their names.
+NAMELESS = frozenset("html body main h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
 class Node:
@@ -65,8 +69,11 @@ class Node:
     def label(self) -> str:
         return f"{self.tag}.{self.names}" if self.names else self.tag
 
+    def named_other(self) -> bool:
+        return self.tag not in NAMELESS and bool(self.names and OTHER_NAMES.search(self.names))
+
     def other(self) -> bool:
-        return self.tag in OTHER_TAGS or bool(self.names and OTHER_NAMES.search(self.names))
+        return self.tag in OTHER_TAGS or self.named_other()
 
 
 def parse(page: str) -> Node:
@@ -224,17 +231,31 @@ class Aligner:
         return self.known[key]
 
 
+def _length(node: Node) -> int:
+    """Characters of the texts below that are no other elements'."""
+    return sum(_length(c) if isinstance(c, Node) else len(c.strip()) for c in node.children) if not node.other() else 0
+
+
 def _root(node: Node) -> Node | None:
-    """The first article, else the first main element."""
-    for wanted in (lambda n: n.tag == "article", lambda n: n.tag == "main" or n.names == "main"):
-        todo = [node]
-        while todo:
-            n = todo.pop()
-            if n.tag != "#root" and n.other():
-                continue
-            if wanted(n):
-                return n
-            todo.extend(c for c in reversed(n.children) if isinstance(c, Node))
+    """The first article, else the first main element. One whose own or outer
+    elements' names are other ones counts only where there is none else and it
+    holds most of the page's text."""
+    article, main = (lambda n: n.tag == "article"), (lambda n: n.tag == "main" or n.names == "main")
+    rest = None
+    for named in (False, True):
+        for wanted in (article, main):
+            todo = [node]
+            while todo:
+                n = todo.pop()
+                if n.tag in OTHER_TAGS or not named and n.named_other():
+                    continue
+                if wanted(n):
+                    if not named:
+                        return n
+                    rest = _length(node) if rest is None else rest
+                    if sum(_length(c) if isinstance(c, Node) else len(c.strip()) for c in n.children) > rest:
+                        return n
+                todo.extend(c for c in reversed(n.children) if isinstance(c, Node))
     return None
 
 
@@ -266,7 +287,7 @@ def main_text(page: str, reference: str | None, counts: dict[int, tuple[int, int
         line.clear()
 
     def walk(node: Node, header_ok: bool) -> None:
-        if node.other() or (node.tag == "header" and not header_ok):
+        if node is not root and node.other() or (node.tag == "header" and not header_ok):
             return
         quiet = id(node) in template
         if node.tag not in INLINE:
