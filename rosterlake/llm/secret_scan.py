@@ -9,9 +9,11 @@ and endpoints are parts of credentials. A weak secret alone is too common to
 report. Parts are dealt to scopes, blocks of ``SCOPE`` code points, and
 interval-joined on (document, scope): a weak secret is reported only where an
 access identifier and an endpoint, or an access identifier next to it, lie
-within ``SCOPE`` code points. Each part goes to its own scope and both
-neighbours on one side of the join only, and a scope holds at most as many
-parts as fit in its characters, so no group grows with the corpus.
+within ``SCOPE`` code points. A weak secret goes to every scope that it reaches,
+``SCOPE`` code points before its start to as many after its end, another part to
+every scope that it covers, so parts within reach always share one. A scope
+holds at most as many parts as fit in its characters and its neighbours', so no
+group grows with the corpus.
 """
 
 from __future__ import annotations
@@ -97,9 +99,13 @@ def base_findings(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def linked_candidates(parts: DataFrame, key: str) -> DataFrame:
     """(key, start, end) of weak secrets with complementary parts in scope,
     from a table (key, kind, start, end)."""
-    scope = F.floor(F.col("start") / SCOPE)
-    secrets = parts.where("kind = 'secret'").select(key, F.col("start").alias("s"), F.col("end").alias("e"), scope.alias("scope"))
-    others = parts.where("kind <> 'secret'").select(key, "kind", F.col("start").alias("os"), F.col("end").alias("oe"), F.explode(F.array(scope - 1, scope, scope + 1)).alias("scope"))
+    def scopes(start: Column, end: Column) -> Column:
+        return F.explode(F.sequence(F.floor(start / SCOPE), F.floor(end / SCOPE))).alias("scope")
+
+    s, e = F.col("start"), F.col("end")
+    secrets = parts.where("kind = 'secret'").select(key, s.alias("s"), e.alias("e"), scopes(s - SCOPE, e + SCOPE))
+    others = parts.where("kind <> 'secret'").select(key, "kind", s.alias("os"), e.alias("oe"), scopes(s, e))
+    # Pairs that share several scopes meet again; the aggregates don't mind.
     gap = F.greatest(F.lit(0), F.col("os") - F.col("e"), F.col("s") - F.col("oe"))
     near = secrets.join(others, [key, "scope"]).withColumn("gap", gap).where(F.col("gap") <= SCOPE)
     is_id = F.col("kind") == "id"
