@@ -1,17 +1,18 @@
 """Toxicity scores from a linear classifier over scaled character n-grams.
 
 Naive Bayes log-count ratios of n-gram presence come from document counts over
-all training rows. Of the buckets that are clearly commoner in toxic texts, the
-``FEATURES`` that tell the classes apart best (likelihood-ratio statistic over
-all rows) are the features, so the length of a clean passage around a toxic one
-doesn't hide it; each is its presence times its log-count ratio. A logistic regression over them is fitted
-on a uniform sample of about ``SAMPLE_ROWS`` training rows, chosen by a hash of
-the text; scoring reads every whole text.
+all training rows. Every bucket is a feature: its presence times its log-count
+ratio, of either sign, shrunk smoothly where few rows tell of it, so that the
+length of a clean passage around a toxic one doesn't hide it. A logistic
+regression over them is fitted on a uniform sample of about ``SAMPLE_ROWS`` training rows, chosen by a hash of
+the text. The sample stays in Spark:
+tasks sum loss and gradient over their rows, the driver holds vectors of a
+number a bucket only. Scoring reads every whole text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,34 +26,37 @@ from rosterlake.llm.ngrams import grams_per_row
 
 SIZES = (4, 5, 6)
 HASH_BITS = 18
-FEATURES = 4096
-#: A feature's least statistic: chance reaches it in none of 2**18 buckets.
-MIN_STRENGTH = 28.0
-#: A feature is at least so much commoner (log ratio) in toxic texts.
-MIN_RATIO = 1.0
-SAMPLE_ROWS = 12_000
+#: The statistic at which a bucket counts half: chance reaches it in none of 2**18.
+STRENGTH = 28.0
+SAMPLE_ROWS = 20_000
 THRESHOLD = 0.7
 RIDGE = 1e-4
-STEPS = 400
+STEPS = 60
+#: Entries of a block of the sample, and partitions that hold it.
+BLOCK = 1 << 20
+PARTS = 12
 
 KIND = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
 
 @dataclass
 class ToxicityModel:
-    """The weight of each bucket (regression weight times log-count ratio)."""
+    """The weight of each bucket (regression weight times scale)."""
 
     weight: np.ndarray
     bias: float
     threshold: float = THRESHOLD
 
 
-def _active(column: pa.Array, chosen: np.ndarray) -> Iterator[np.ndarray]:
-    """The chosen buckets that each text has, once each."""
+def _active(column: pa.Array) -> Iterator[np.ndarray]:
+    """The buckets that each text has, once each, where they come last."""
     data, at = text_bytes(column)
+    last = np.zeros(1 << HASH_BITS, np.int64)
     for i, j in row_chunks(at):
         for grams in grams_per_row(data[at[i] : at[j]], at[i : j + 1] - at[i], SIZES, HASH_BITS):
-            yield np.unique(grams[chosen[grams]])
+            place = np.arange(len(grams))
+            last[grams] = place
+            yield grams[last[grams] == place]
 
 
 def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -60,9 +64,9 @@ def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << HASH_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, every = np.zeros((2, size + 1), np.int64), np.ones(size, bool)
+        seen = np.zeros((2, size + 1), np.int64)
         for b in batches:
-            for y, grams in zip(b.column(1).to_pylist(), _active(b.column(0), every), strict=True):
+            for y, grams in zip(b.column(1).to_pylist(), _active(b.column(0)), strict=True):
                 seen[y, grams] += 1
                 seen[y, size] += 1
         y, k = np.nonzero(seen)
@@ -87,26 +91,109 @@ def _likelihood_ratio(n: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return 2 * out
 
 
-def _fit(features: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression with a small ridge, over sparse rows."""
-    idx = np.concatenate([np.zeros(0, np.int32), *features])
-    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(f) for f in features])
-    used, k = np.unique(idx, return_inverse=True)
-    k = k.astype(np.int32)
-    x, n = ratio[used][k], len(y)
-    w, b = np.zeros(len(used)), np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
-    # Adam on the full batch: the rows differ much in how many features they have.
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for t in range(1, STEPS + 1):
-        p = 1 / (1 + np.exp(-(b + np.bincount(row, x * w[k], minlength=n))))
-        err = (p - y) / n
-        g = np.append(np.bincount(k, err[row] * x, minlength=len(w)) + RIDGE * w, err.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        w, b = w - step[:-1], b - step[-1]
-    out = np.zeros(len(ratio))
-    out[used] = w * ratio[used]
-    return out, float(b)
+def _scale(n: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """What a bucket's presence counts: its log-count ratio, the less the nearer
+    its statistic is to what chance reaches; none is left out."""
+    ratio = np.log((n[1] + 0.5) / (docs[1] + 1)) - np.log((n[0] + 0.5) / (docs[0] + 1))
+    strength = np.maximum(_likelihood_ratio(n, docs), 0)
+    return ratio * strength**2 / (strength**2 + STRENGTH**2)
+
+
+def _blocks(sample: DataFrame) -> DataFrame:
+    """The features of the sample's rows, in blocks of about ``BLOCK``
+    entries: labels, numbers of buckets and buckets, each as int32 bytes."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        toxic: list[int] = []
+        entries = 0
+
+        def block() -> pa.RecordBatch:
+            parts = np.array(toxic, np.int32), np.array([len(f) for f in held], np.int32), np.concatenate(held).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["toxic", "sizes", "buckets"])
+
+        for b in batches:
+            for y, found in zip(b.column(1).to_pylist(), _active(b.column(0)), strict=True):
+                held.append(found)
+                toxic.append(y)
+                entries += len(found)
+                if entries >= BLOCK:
+                    yield block()
+                    held, toxic, entries = [], [], 0
+        if held:
+            yield block()
+
+    return sample.mapInArrow(pack, "toxic binary, sizes binary, buckets binary")
+
+
+def _sums(blocks: DataFrame, weight: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
+    """Over the blocks' rows: the log loss's gradient by bucket, and the sums
+    of loss, of errors, of rows and of toxic rows."""
+    size = len(weight)
+    shared = blocks.sparkSession.sparkContext.broadcast((weight, bias))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, bias = shared.value
+        gradient, told = np.zeros(size), np.zeros(4)
+        for b in batches:
+            for row in zip(*(c for c in b.columns), strict=True):
+                y, n, buckets = (np.frombuffer(x.as_buffer(), np.int32) for x in row)
+                upto = np.concatenate([[0], np.cumsum(weight[buckets])])[np.concatenate([[0], np.cumsum(n)])]
+                z = np.diff(upto) + bias
+                err = 1 / (1 + np.exp(-np.clip(z, -700, 700))) - y
+                gradient += np.bincount(buckets, np.repeat(err, n), minlength=size)
+                told += (np.logaddexp(0, z) - y * z).sum(), err.sum(), len(y), y.sum()
+        yield pa.RecordBatch.from_arrays([pa.array([gradient.tobytes()], pa.binary()), pa.array([told.tobytes()], pa.binary())], ["gradient", "told"])
+
+    found = blocks.coalesce(PARTS).mapInArrow(part, "gradient binary, told binary").collect()
+    shared.destroy()
+    gradient, told = np.zeros(size), np.zeros(4)
+    for r in found:
+        gradient += np.frombuffer(r[0])
+        told += np.frombuffer(r[1])
+    return gradient, told
+
+
+def _minimum(value: Callable, x: np.ndarray) -> np.ndarray:
+    """L-BFGS: where the convex ``value`` (with gradient) is least."""
+    f, g = value(x)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(STEPS):
+        d, scale = -g, []
+        for s, y in reversed(pairs):
+            scale.append((s @ d) / (s @ y))
+            d = d - scale[-1] * y
+        d = d * (pairs[-1][0] @ pairs[-1][1] / (pairs[-1][1] @ pairs[-1][1])) if pairs else d / max(1.0, np.linalg.norm(g))
+        for (s, y), k in zip(pairs, reversed(scale), strict=True):
+            d = d + (k - (y @ d) / (s @ y)) * s
+        step = 1.0
+        while True:
+            f_new, g_new = value(x + step * d)
+            if f_new <= f + 1e-4 * step * (g @ d) or step < 1e-6:
+                break
+            step /= 4
+        s, y = step * d, g_new - g
+        done = f - f_new <= 1e-4 * f
+        if f_new > f:
+            break
+        x, f, g = x + s, f_new, g_new
+        if done:
+            break
+        if s @ y > 0:
+            pairs = [*pairs, (s, y)][-10:]
+    return x
+
+
+def _fit(blocks: DataFrame, scale: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression with a small ridge, over the blocks' rows."""
+    _, (_, _, n, toxic) = _sums(blocks, np.zeros(len(scale)), 0.0)
+
+    def value(x: np.ndarray) -> tuple[float, np.ndarray]:
+        gradient, told = _sums(blocks, x[:-1] * scale, float(x[-1]))
+        return told[0] / n + RIDGE / 2 * (x[:-1] @ x[:-1]), np.append(gradient * scale / n + RIDGE * x[:-1], told[1] / n)
+
+    x = np.append(np.zeros(len(scale)), np.log((toxic + 0.5) / (n - toxic + 0.5)))
+    x = _minimum(value, x) if n else x
+    return x[:-1] * scale, float(x[-1])
 
 
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
@@ -114,29 +201,19 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic")
     nothing; with one class only, every score is that class's share."""
     scratch = Scratch(labelled.sparkSession, "toxicity")
     rows = scratch.table(labelled.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull())
-                         .select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic")), "rows")
-    n, docs = _counts(rows)
+                         .select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic"),
+                                 F.xxhash64(text_col).alias("pick")), "rows")
+    n, docs = _counts(rows.drop("pick"))
     if not docs.all():
         scratch.drop(rows)
         share = (docs[1] + 0.5) / (docs.sum() + 1)
         return ToxicityModel(np.zeros(1 << HASH_BITS), float(np.log(share / (1 - share))))
-    ratio = np.log((n[1] + 0.5) / (docs[1] + 1)) - np.log((n[0] + 0.5) / (docs[0] + 1))
-    strength = _likelihood_ratio(n, docs)
-    strength[ratio < MIN_RATIO] = 0
-    best = np.argsort(-strength, kind="stable")[:FEATURES]
-    chosen = np.zeros(1 << HASH_BITS, bool)
-    chosen[best[strength[best] >= MIN_STRENGTH]] = True
-
-    def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [f.astype(np.int32) for f in _active(b.column(0), chosen)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), b.column(1)], ["features", "toxic"])
-
     share = min(1.0, SAMPLE_ROWS / docs.sum())
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = sample.mapInArrow(active, "features array<int>, toxic int").toPandas()
+    sample = rows.where(F.pmod("pick", F.lit(1 << 20)) < int(share * (1 << 20))).select("text", "toxic")
+    blocks = scratch.table(_blocks(sample.repartition(PARTS)), "blocks")
     scratch.drop(rows)
-    weight, bias = _fit([np.asarray(f, np.int32) for f in sample["features"]], sample["toxic"].to_numpy(float), ratio)
+    weight, bias = _fit(blocks, _scale(n, docs))
+    scratch.drop(blocks)
     return ToxicityModel(weight, bias)
 
 
@@ -148,10 +225,9 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: st
 
     def make():
         model = shared.value
-        chosen = model.weight != 0
 
         def of(batch: pa.RecordBatch):
-            total = np.array([model.weight[f].sum() for f in _active(batch.column(batch.schema.get_field_index(text_col)), chosen)])
+            total = np.array([model.weight[f].sum() for f in _active(batch.column(batch.schema.get_field_index(text_col)))])
             p = 1 / (1 + np.exp(-np.clip(total + model.bias, -700, 700)))
             return [pa.array(p, pa.float64()), pa.array((p >= model.threshold).astype(np.int32))]
 
