@@ -4,8 +4,8 @@ Naive Bayes log-count ratios of n-gram presence come from document counts over
 all training rows. Every bucket is a feature: its presence times its log-count
 ratio, of either sign, shrunk smoothly where few rows tell of it, so that the
 length of a clean passage around a toxic one doesn't hide it. A logistic
-regression over them is fitted on a uniform sample of about ``SAMPLE_ROWS`` training rows, chosen by a hash of
-the text. The sample stays in Spark:
+regression over them is fitted on a uniform sample of about ``SAMPLE_ROWS`` training rows, chosen by a hash of text and id,
+so copies of a text are in or out each for itself. The sample stays in Spark:
 tasks sum loss and gradient over their rows, the driver holds vectors of a
 number a bucket only. Scoring reads every whole text.
 """
@@ -196,13 +196,14 @@ def _fit(blocks: DataFrame, scale: np.ndarray) -> tuple[np.ndarray, float]:
     return x[:-1] * scale, float(x[-1])
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> ToxicityModel:
     """Learn from rows (text, 0/1 label). Rows without a label or text teach
-    nothing; with one class only, every score is that class's share."""
+    nothing; with one class only, every score is that class's share. The sample
+    goes by text and ``id_col``, or without that by text and row number."""
     scratch = Scratch(labelled.sparkSession, "toxicity")
     rows = scratch.table(labelled.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull())
                          .select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic"),
-                                 F.xxhash64(text_col).alias("pick")), "rows")
+                                 F.xxhash64(text_col, id_col if id_col in labelled.columns else F.monotonically_increasing_id()).alias("pick")), "rows")
     n, docs = _counts(rows.drop("pick"))
     if not docs.all():
         scratch.drop(rows)
@@ -237,8 +238,8 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: st
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(text, toxic): documents with a label; of several labels of an id the
+    """(doc_id, text, toxic): documents with a label; of several labels of an id the
     largest holds. The join is a merge join at every size, so that labels need
     not fit anywhere as a whole."""
     one = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("__toxic"))
-    return docs.select(id_col, text_col).join(one.hint("merge"), id_col).select(F.col(text_col).alias("text"), F.col("__toxic").alias("toxic"))
+    return docs.select(id_col, text_col).join(one.hint("merge"), id_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col("__toxic").alias("toxic"))
