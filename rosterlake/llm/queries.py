@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import decontaminate, embedding_dedup, html_extract, language_id, packing, secret_scan, simhash, suffix_dedup, token_output, toxicity
+from rosterlake.llm import (decontaminate, embedding_dedup, filter_audit, html_extract, language_id, oracles, packing, quality, resampling, secret_scan,
+                            simhash, suffix_dedup, token_output, toxicity)
 from rosterlake.llm.common import fold
 
 
@@ -89,6 +90,23 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    # A merge join at every size: labels need not fit anywhere as a whole.
+    model = quality.train(docs.join(labels.hint("merge"), "doc_id"))
+    return quality.assess(docs, model).select("doc_id", "quality.*")
+
+
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
@@ -100,16 +118,16 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_html_extract": op9_html_extract,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_target_resampling": op12_target_resampling,
+    "op13_filter_audit": op13_filter_audit,
 }
-_WORDS = (r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
-          r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])")
-
 #: DuckDB SQL over whole tables. The others fit models, follow links, hash by
 #: XXH64, tokenize or parse trees.
 SQL: dict[str, str] = {
     "op1_decontaminate": f"""
-with d as (select row_number() over () as r, doc_id, {_WORDS} as ws from documents),
-i as (select item_id, {_WORDS} as ws from benchmark),
+with d as (select row_number() over () as r, doc_id, {oracles.WORDS} as ws from documents),
+i as (select item_id, {oracles.WORDS} as ws from benchmark),
 iw as (select distinct item_id, least(len(ws), 10) as n, array_to_string(ws[k : k + least(len(ws), 10) - 1], ' ') as p
        from i, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) as t(k) where len(ws) > 0),
 lengths as (select distinct n from iw),
@@ -122,4 +140,6 @@ select d.doc_id, cast(len(d.ws) as bigint) as n_words, cast(coalesce(hits.n_hit,
        cast(coalesce(items.n_items, 0) as bigint) as n_items, coalesce(items.h, sha256('')) as items_sha256,
        coalesce(hits.n_hit, 0) > 0 as contaminated
 from d left join hits on hits.r = d.r left join items on items.r = d.r""",
+    "op12_target_resampling": oracles.RESAMPLE,
+    "op13_filter_audit": oracles.FILTER_AUDIT,
 }
