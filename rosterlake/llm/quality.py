@@ -43,7 +43,7 @@ SYMBOLS = b"#*$%&|<>"
 #: Calibration bins a unit of score, and the score beyond which all is one bin.
 BINS, FAR = 64, 40
 #: Entries of a block of the sample, and partitions that hold it.
-BLOCK, PARTS = 1 << 20, 12
+BLOCK, PARTS = 1 << 20, 6
 
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(SYMBOLS, np.uint8))
 _BLANK = np.where(NOT_SPACE, np.arange(256), 32).astype(np.uint64)
@@ -183,7 +183,7 @@ def _blocks(sample: DataFrame) -> DataFrame:
 def _sums(blocks: DataFrame, weight: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
     """Over all rows: the log loss's gradient by bucket, and the sums of loss,
     of errors, of rows and of good rows. Tasks add up, the driver gets a vector
-    a partition."""
+    of single precision a partition."""
     size = len(weight)
     shared = blocks.sparkSession.sparkContext.broadcast((weight, bias))
 
@@ -198,11 +198,11 @@ def _sums(blocks: DataFrame, weight: np.ndarray, bias: float) -> tuple[np.ndarra
                 err = 1 / (1 + np.exp(-np.clip(z, -700, 700))) - y
                 gradient += np.bincount(k, np.repeat(err * norm, n), minlength=size)
                 told += (np.logaddexp(0, z) - y * z).sum(), err.sum(), len(y), y.sum()
-        yield pa.RecordBatch.from_arrays([pa.array([gradient.tobytes()], pa.binary()), pa.array([told.tobytes()], pa.binary())], ["gradient", "told"])
+        yield pa.RecordBatch.from_arrays([pa.array([gradient.astype(np.float32).tobytes()], pa.binary()), pa.array([told.tobytes()], pa.binary())], ["gradient", "told"])
 
     found = blocks.coalesce(PARTS).mapInArrow(part, "gradient binary, told binary").collect()
     shared.destroy()
-    return sum((np.frombuffer(r[0]) for r in found), np.zeros(size)), sum((np.frombuffer(r[1]) for r in found), np.zeros(4))
+    return sum((np.frombuffer(r[0], np.float32) for r in found), np.zeros(size)), sum((np.frombuffer(r[1]) for r in found), np.zeros(4))
 
 
 def _fit(blocks: DataFrame) -> tuple[np.ndarray, float]:
