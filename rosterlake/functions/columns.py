@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .collation import like_pattern, like_text
+
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -34,20 +36,12 @@ def js_or(a: str | Column, b: str | Column) -> Column:
     return F.coalesce(F.nullif(col(a), F.lit("")), col(b))
 
 
-def norm_key(c: str | Column) -> Column:
-    """Case-insensitive, trailing-space-insensitive equality key, the way a
-    ``*_ci`` collation compares (``'Anna '`` = ``'anna'``)."""
-    return F.lower(F.rtrim(col(c)))
-
-
 def contains_like(c: str | Column, term: str) -> Column:
-    """``c LIKE '%term%'`` under a case-insensitive collation. The term is not
+    """``c LIKE '%term%'`` under the declared collation. The term is not
     escaped, so ``%`` and ``_`` inside it stay wildcards, as in the reference.
     A backslash that escapes neither of these nor itself stands for the
     character after it; one at the term's end escapes the closing ``%``."""
-    keep = ("%", "_", "\\")
-    pattern = re.sub(r"\\(.?)", lambda m: m[0] if m[1] in keep else m[1], f"%{term}%", flags=re.S)
-    return col(c).ilike(pattern)
+    return like_text(c).like(like_pattern(f"%{term}%"))
 
 
 def first_failing(checks: Sequence[tuple[str, Column]]) -> Column:

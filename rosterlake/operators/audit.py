@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import norm_key
+from ..functions.collation import norm_key
 from ..sources.schema import BOOKING_STATUSES, ROLES, SESSION_STATUSES, Tables
 
 C = F.col

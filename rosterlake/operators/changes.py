@@ -31,7 +31,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import first_failing, in_domain, js_or, norm_key, rating_value, truthy
+from ..functions.collation import norm_key
+from ..functions.columns import first_failing, in_domain, js_or, rating_value, truthy
 from ..sources.schema import (ADMIN, BOOKING, BOOKING_STATUSES, PROGRESS, REVIEWS, SESSION, SESSION_STATUSES,
                               TRAINER, USERS, Tables, conform)
 from .ids import assign_ids, max_id

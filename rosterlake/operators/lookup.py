@@ -2,8 +2,8 @@
 
 Every by-key GET of the reference becomes one join of a frame of keys with a
 relation: ``found`` holds the rows, ``missing`` the keys with no row (the API's
-404). String keys compare the way the ``*_ci`` collation does (case and
-trailing spaces ignored). When several rows share a key the one with the
+404). String keys compare by the declared collation (case, most
+accents and trailing blanks ignored). When several rows share a key the one with the
 lowest id wins (the reference takes ``rows[0]`` of an unordered result).
 """
 
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import norm_key
+from ..functions.collation import norm_key
 from ..sources.schema import Tables
 
 C = F.col

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import contains_like, norm_key, parse_int
+from ..functions.collation import sort_weight
+from ..functions.columns import contains_like, parse_int
 from .ids import dense_positions
 
 C = F.col
@@ -50,8 +51,8 @@ def search_total(filtered: DataFrame) -> DataFrame:
 
 
 def sort_key(df: DataFrame, field: str) -> Column:
-    """Collation-aware sort key: strings compare case-insensitively."""
-    return norm_key(field) if isinstance(df.schema[field].dataType, T.StringType) else C(field)
+    """Collation-aware sort key: strings compare by their weights."""
+    return sort_weight(field) if isinstance(df.schema[field].dataType, T.StringType) else C(field)
 
 
 def page_args(page, limit) -> tuple[int, int]:

@@ -287,3 +287,27 @@ def admin_registrations(t: Tables) -> DataFrame:
     """M4: one admin registration per trainer row, filed by an admin or (every
     third) by a customer."""
     return _registrations(t.trainer, True).drop("propinsi", "kota")
+
+
+def _mail(idc: Column) -> Column:
+    return F.concat(F.lit("customer"), F.lpad(idc.cast("string"), 9, "0"), F.lit("@example.test"))
+
+
+def accented(t: Tables) -> Tables:
+    """The relations with accented names and mails. Of each six customers' mails
+    two pairs are one mail under the collation (``É`` is e, ``Ü`` a y) and one
+    differs from a pair's by ``ö`` alone; a third of the trainers share a
+    customer's mail but for case and accents."""
+    k = C("id") % 6
+    plain = {0: _mail(C("id")), 1: F.translate(_mail(C("id") - 1), "e", "É"), 2: F.translate(_mail(C("id") - 2), "o", "ö"),
+             3: F.concat(F.translate(_mail(C("id") - 3), "o", "Ö"), F.lit("  ")), 4: F.translate(_mail(C("id")), "u", "Ü")}
+    users = t.users.withColumn("email", _case(k, plain, F.translate(_mail(C("id") - 1), "u", "y"))).withColumn(
+        "nama", _case(C("id") % 5, {0: F.translate("nama", "eo", "éö"), 1: F.translate("nama", "uC", "üÇ"), 2: F.translate("nama", "e", "Ê")}, F.upper("nama")))
+    trainer = t.trainer.withColumn("nama", F.when(C("id") % 2 == 0, F.translate("nama", "ue", "ÙÊ")).otherwise(F.translate("nama", "S", "s"))).withColumn(
+        "email", F.when(C("id") % 3 == 0, F.translate(F.upper(_mail(C("id"))), "EA", "èÂ")).otherwise(C("email")))
+    return t.with_(users=users, trainer=trainer)
+
+
+def accented_registrations(t: Tables) -> DataFrame:
+    """M2 on ``accented``: mails spelled with other accents."""
+    return customer_registrations(t).withColumn("email", F.when(C("request_id") % 4 == 2, F.translate("email", "EA", "ËÀ")).otherwise(F.translate("email", "t", "T")))
