@@ -117,6 +117,19 @@ def _flag(df: DataFrame, other: DataFrame, pairs: Sequence[tuple[str, str]], nam
     return out.withColumn(name, F.coalesce(C(name), F.lit(False)))
 
 
+def _join_one(requests: DataFrame, state: DataFrame, key: str, name: str, reduced: bool = False) -> DataFrame:
+    """Left-join the row that a request's ``key`` names by ``id``: the other
+    columns of ``state``, and ``<name>_found``. Of several rows of an id (the
+    state is broken then, Q1) the least by those columns counts, so a request
+    stays one request. ``reduced``: the state holds only the batch's ids."""
+    rest = [c for c in state.columns if c != "id"]
+    held = state if reduced else _reduce(state, requests, [(key, "id")])
+    one = (held.groupBy(C("id").alias(f"__{name}_id")).agg(F.min(F.struct(*(rest or ["id"]))).alias(f"__{name}"))
+           .withColumn("__apart", _apart(name, f"__{name}_id")))
+    out = requests.join(one, (C(key) == C(f"__{name}_id")) & (_apart(name, key) == C("__apart")), "left")
+    return out.select(*requests.columns, C(f"__{name}_id").isNotNull().alias(f"{name}_found"), *[C(f"__{name}.{c}").alias(c) for c in rest])
+
+
 def _first_wins(j: DataFrame, eligible: Column, asks: Column, keys: Sequence[str],
                 carry: Sequence[str] = ()) -> DataFrame:
     """Attach the earliest eligible request per ``keys`` as ``w_ts``, ``w_id``
@@ -233,11 +246,10 @@ def _deletes(requests: DataFrame, target: DataFrame, checks, not_found: str = "n
     existence check. Requests after the first accepted delete of an id see
     the row gone and get ``not_found`` (unless an ``early`` check, one that
     precedes the existence check, already rejects them)."""
-    t = _reduce(target, requests, [("id", "id")]).withColumnRenamed("id", "t_id")
-    j = requests.join(t, C("id") == C("t_id"), "left")
+    j = _join_one(requests, target, "id", "t")
     pre = [(r, c) for r, c in checks(j) if r in early]
     post = [(r, c) for r, c in checks(j) if r not in early]
-    base = first_failing([*pre, (not_found, C("t_id").isNull()), *post])
+    base = first_failing([*pre, (not_found, ~C("t_found")), *post])
     j = j.withColumn("base", base)
     early_hit = F.coalesce(C("base").isin(*early), F.lit(False)) if early else F.lit(False)
     # An absent row has no winner: its requests are settled already.
@@ -311,12 +323,11 @@ def change_booking_status(requests: DataFrame, t: Tables) -> Change:
     (by ``(request_ts, request_id)``) sets the status."""
     asked = _reduce(t.booking, requests, [("booking_id", "id")])
     b = asked.join(t.session.select(C("id").alias("s_id"), C("trainer_id").alias("s_trainer")),
-                   C("session_id") == C("s_id")).select(C("id").alias("b_id"), C("member_id").alias("b_member"),
-                                                        "s_trainer")
-    j = requests.join(b, C("booking_id") == C("b_id"), "left")
+                   C("session_id") == C("s_id")).select("id", C("member_id").alias("b_member"), "s_trainer")
+    j = _join_one(requests, b, "booking_id", "b", reduced=True)
     reason = first_failing([
         ("invalid_status", ~in_domain("status", BOOKING_STATUSES)),
-        ("booking_not_found", C("b_id").isNull()),
+        ("booking_not_found", ~C("b_found")),
         ("unauthorized", (C("actor_role") == "customer")
          & (~C("actor_id").eqNullSafe(C("b_member")) | (C("status") != "Cancel"))),
         ("not_your_session", (C("actor_role") == "trainer") & ~C("actor_id").eqNullSafe(C("s_trainer"))),
@@ -430,11 +441,10 @@ def patch_progress(requests: DataFrame, t: Tables) -> Change:
     that member id) or admin -> any of activity, duration, note named ->
     a named duration must be an integer -> a named activity or note is NULL ->
     not_null (the store refuses it)."""
-    own = _reduce(t.progress, requests, [("id", "id")]).select(C("id").alias("p_id"), C("member_id").alias("p_member"))
-    j = requests.join(own, C("id") == C("p_id"), "left")
+    j = _join_one(requests, t.progress.select("id", C("member_id").alias("p_member")), "id", "p")
     named = F.exists(C("present"), lambda x: x.isin(*PROGRESS_PATCH_FIELDS))
     reason = first_failing([
-        ("not_found", C("p_id").isNull()),
+        ("not_found", ~C("p_found")),
         ("forbidden", ~_is_admin() & ~_is_owner("customer", "p_member")),
         ("no_fields", ~F.coalesce(named, F.lit(False))),
         ("invalid_duration", _present("duration") & ~_integer("duration")),
@@ -450,13 +460,12 @@ def patch_reviews(requests: DataFrame, t: Tables) -> Change:
     """M14 (unrouted in the reference): a named rating outside 1..5 (a named
     NULL counts as 0 in the JS comparison) -> row exists -> author or admin
     -> rating_score or comment named. Ratings are rounded on store."""
-    own = _reduce(t.reviews, requests, [("id", "id")]).select(C("id").alias("r_id"), C("member_id").alias("r_member"))
-    j = requests.join(own, C("id") == C("r_id"), "left")
+    j = _join_one(requests, t.reviews.select("id", C("member_id").alias("r_member")), "id", "r")
     r = C("rating_score")
     named = F.exists(C("present"), lambda x: x.isin(*REVIEW_PATCH_FIELDS))
     reason = first_failing([
         ("rating_out_of_range", _present("rating_score") & F.coalesce((r < 1) | (r > 5), F.lit(True))),
-        ("not_found", C("r_id").isNull()),
+        ("not_found", ~C("r_found")),
         ("forbidden", ~_is_admin() & ~_is_owner("customer", "r_member")),
         ("no_fields", ~F.coalesce(named, F.lit(False))),
     ])

@@ -311,3 +311,13 @@ def accented(t: Tables) -> Tables:
 def accented_registrations(t: Tables) -> DataFrame:
     """M2 on ``accented``: mails spelled with other accents."""
     return customer_registrations(t).withColumn("email", F.when(C("request_id") % 4 == 2, F.translate("email", "EA", "ËÀ")).otherwise(F.translate("email", "t", "T")))
+
+
+def repeated(t: Tables) -> Tables:
+    """The relations with a second row for some ids, of another owner: the
+    state that Q1 exists to find."""
+    def again(df: DataFrame, column: str | None) -> DataFrame:
+        more = df.where(C("id") % 5 == 3)
+        return df.unionByName(more.withColumn(column, C(column) + F.when(C("id") % 4 == 1, -1).otherwise(1)) if column else more)
+    return t.with_(users=again(t.users, None), session=again(t.session, "trainer_id"), booking=again(t.booking, "member_id"),
+                   progress=again(t.progress, "member_id"), reviews=again(t.reviews, "member_id"))
