@@ -428,41 +428,48 @@ tg AS (select u.id as t_id, u.id in ({_REFS[_mode]}) as referenced from users u)
 # ------------------------------------------------------------------ merges
 
 
-def _merge_sql(req: str, table: str, cols: list[str], fields: list[str], allowed: str, unique: bool) -> list[str]:
+def _merge_sql(req: str, table: str, cols: list[str], fields: list[str], allowed: str, unique: bool,
+               ek: str = "lower(rtrim({}))") -> list[str]:
+    """With ``unique``, the claims are replayed one by one: a recursion carries
+    who holds which mail. (It needs WITH RECURSIVE, see ``_recursive``.)"""
     ctes = [REQUEST_CTES[req], f"""
-fin AS (select r.*, case when not ({allowed}) then 'forbidden'
-                         when not exists (select 1 from {table} x where x.id = r.id) then 'not_found' end as reason
-        from {req} r)""",
-            "acc AS (select *, row_number() over (order by request_ts, request_id) as seq from fin where reason is null)"]
+fin0 AS (select r.*, case when not ({allowed}) then 'forbidden'
+                          when not exists (select 1 from {table} x where x.id = r.id) then 'not_found' end as base
+         from {req} r)"""]
+    if unique:
+        ctes += [f"""
+claims AS (select request_id, id as row_id, {ek.format('email')} as ek, row_number() over (order by request_ts, request_id) as seq
+           from fin0 where base is null and email is not null and email <> '')""", f"""
+sim AS (select cast(0 as bigint) as seq, map_from_entries(list((ek, id))) as held, map_from_entries(list((id, ek))) as spot, true as granted
+        from (select {ek.format('email')} as ek, id from {table}) q
+        union all
+        select seq, case when ok then map_concat(map_concat(held, map {{spot[row_id]: cast(null as bigint)}}), map {{ek: row_id}}) else held end,
+               case when ok then map_concat(spot, map {{row_id: ek}}) else spot end, ok
+        from (select c.seq, c.row_id, c.ek, sim.held, sim.spot, coalesce(sim.held[c.ek], c.row_id) = c.row_id as ok
+              from sim join claims c on c.seq = sim.seq + 1) q)""", """
+fin AS (select f.*, coalesce(f.base, case when not s.granted then 'duplicate_email' end) as reason
+        from fin0 f left join claims c on c.request_id = f.request_id left join sim s on s.seq = c.seq)"""]
+    else:
+        ctes.append("fin AS (select *, base as reason from fin0)")
+    ctes.append("acc AS (select *, row_number() over (order by request_ts, request_id) as seq from fin where reason is null)")
     joins, sel = [], []
     for i, f in enumerate(fields):
         ctes.append(f"l{i} AS (select id, max(seq) as s from acc where {f} is not null and {f} <> '' group by id)")
         joins.append(f"left join l{i} on l{i}.id = t.id left join acc a{i} on a{i}.seq = l{i}.s")
     for c in cols:
         sel.append(f"coalesce(nullif(a{fields.index(c)}.{c}, ''), t.{c}) as {c}" if c in fields else f"t.{c}")
-    ctes.append(f"""
-merged AS (select {', '.join(sel)}, t.id in (select id from acc) as touched
-           from {table} t {' '.join(joins)})""")
-    if unique:
-        ctes.append("""
-clash AS (select m.id from merged m
-          join (select lower(rtrim(email)) as ek, count(*) as n from merged group by 1) c
-            on c.ek = lower(rtrim(m.email))
-          where m.touched and c.n > 1)""")
-    else:
-        ctes.append("clash AS (select id from merged where false)")
+    ctes.append(f"merged AS (select {', '.join(sel)} from {table} t {' '.join(joins)})")
     return ctes
 
 
-def _merge_queries(key: str, fn, req: str, table: str, cols: list[str], fields: list[str], allowed: str,
-                   unique: bool, state: str):
-    ctes = _merge_sql(req, table, cols, fields, allowed, unique)
-    rej = ("select request_id, reason from fin where reason is not null union all "
-           "select request_id, 'duplicate_email' as reason from acc where id in (select id from clash)")
-    acc = "select request_id, id from acc where id not in (select id from clash)"
-    st = (f"select {', '.join(cols)} from merged where id not in (select id from clash) union all "
-          f"select {', '.join(cols)} from {table} where id in (select id from clash)")
-    _triple(key, fn, ctes, rej, acc, (state, st))
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _merge_queries(key: str, fn, ctes: list[str], cols: list[str], state: str, head=lambda ctes, select: _recursive(_sql(ctes, select))):
+    register(f"{key}_rejected", head(ctes, _REJ))(lambda s, d: fn(s, d).rejected)
+    register(f"{key}_accepted", head(ctes, "select request_id, id from fin where reason is null"))(lambda s, d: fn(s, d).accepted)
+    register(f"{key}_state", head(ctes, f"select {', '.join(cols)} from merged"))(lambda s, d: fn(s, d).states[state])
 
 
 def _m16(spark, d):
@@ -475,15 +482,23 @@ def _m17(spark, d):
     return M.merge_trainer_profiles(RQ.trainer_merges(t), t)
 
 
-_merge_queries("m16_merge_user_profiles", _m16, "user_merge", "users",
-               ["id", "nama", "email", "propinsi", "kota", "created_at"], ["nama", "email", "propinsi", "kota"],
-               "coalesce(r.actor_role = 'admin', false) or "
-               "coalesce(r.actor_role = 'customer' and r.actor_id is not distinct from r.id, false)", True, "users")
-_merge_queries("m17_merge_trainer_profiles", _m17, "trainer_merge", "trainer",
-               ["id", "nama", "email", "spesialisasi", "propinsi", "kota"],
-               ["nama", "email", "spesialisasi", "propinsi", "kota"],
-               "coalesce(r.actor_role = 'admin', false) or "
-               "coalesce(r.actor_role = 'trainer' and r.actor_id is not distinct from r.id, false)", False, "trainer")
+_USER_COLS = ["id", "nama", "email", "propinsi", "kota", "created_at"]
+_USER_FIELDS = ["nama", "email", "propinsi", "kota"]
+_SELF_OR_ADMIN = ("coalesce(r.actor_role = 'admin', false) or "
+                  "coalesce(r.actor_role = 'customer' and r.actor_id is not distinct from r.id, false)")
+_merge_queries("m16_merge_user_profiles", _m16, _merge_sql("user_merge", "users", _USER_COLS, _USER_FIELDS, _SELF_OR_ADMIN, True), _USER_COLS, "users")
+
+
+def _m16_swaps(spark, d):
+    t = tables(spark, d)
+    return M.merge_user_profiles(RQ.user_swaps(t), t)
+
+
+_merge_queries("m16_merge_user_profiles_swaps", _m16_swaps,
+               _merge_sql("user_swap", "users", _USER_COLS, _USER_FIELDS, _SELF_OR_ADMIN, True), _USER_COLS, "users")
+_TRAINER_COLS = ["id", "nama", "email", "spesialisasi", "propinsi", "kota"]
+_merge_queries("m17_merge_trainer_profiles", _m17, _merge_sql(
+    "trainer_merge", "trainer", _TRAINER_COLS, _TRAINER_COLS[1:], _SELF_OR_ADMIN.replace("'customer'", "'trainer'"), False), _TRAINER_COLS, "trainer")
 
 # ------------------------------------------------------------------ registrations
 
@@ -549,19 +564,13 @@ def _q10_after(spark, d):
     return Q.member_name_drift(t.with_(booking=admitted, users=merged))
 
 
-_M16_CTES = [re.sub(r"\bfin\b", "mfin", c) for c in _merge_sql(
-    "user_merge", "users", ["id", "nama", "email", "propinsi", "kota", "created_at"],
-    ["nama", "email", "propinsi", "kota"],
-    "coalesce(r.actor_role = 'admin', false) or "
-    "coalesce(r.actor_role = 'customer' and r.actor_id is not distinct from r.id, false)", True)]
-register("q10_member_name_drift_after_changes", _sql(_M08 + _M16_CTES + [f"""
+_M16_CTES = [re.sub(r"\bfin\b", "mfin", c) for c in _merge_sql("user_merge", "users", _USER_COLS, _USER_FIELDS, _SELF_OR_ADMIN, True)]
+register("q10_member_name_drift_after_changes", _recursive(_sql(_M08 + _M16_CTES + [f"""
 acc8 AS (select {_ids('existing_booking')} as id, session_id, actor_id as member_id, u_nama as member_name
          from fin where reason is null)""", """
 bstate AS (select id, member_id, member_name from existing_booking
-           union all select id, member_id, member_name from acc8)""", """
-ustate AS (select id, nama from merged where id not in (select id from clash)
-           union all select id, nama from users where id in (select id from clash))"""], """
+           union all select id, member_id, member_name from acc8)"""], """
 select 'member_name_drift' as rule, 'booking' as relation, cast(b.id as varchar) as "key",
        'stored=' || b.member_name || ',current=' || u.nama as detail
-from bstate b join ustate u on b.member_id = u.id
-where b.member_name is not null and b.member_name != u.nama"""))(_q10_after)
+from bstate b join merged u on b.member_id = u.id
+where b.member_name is not null and b.member_name != u.nama""")))(_q10_after)

@@ -145,6 +145,19 @@ user_merge AS (
   select id + 1000000000, {AS_OF_SQL} + interval 1 hour, 'admin', cast(0 as bigint), id,
          'Second ' || cast(id as varchar), cast(null as varchar), 'P2', cast(null as varchar)
   from users where id % 8 = 0)""",
+    "user_swap": f"""
+user_swap AS (
+  select id as request_id, {AS_OF_SQL} + (7 - id % 8) * interval 1 minute as request_ts,
+         case when id % 31 = 5 then 'trainer' else 'customer' end as actor_role, id as actor_id, id, 'Swapped' as nama,
+         case when id % 8 < 7 then 'customer' || lpad(cast(id + 1 as varchar), 9, '0') || '@example.test'
+              when (id // 8) % 3 = 0 then 'customer' || lpad(cast(id - 7 as varchar), 9, '0') || '@example.test'
+              else 'moved' || cast(id as varchar) || '@example.test' end as email,
+         cast(null as varchar) as propinsi, cast(null as varchar) as kota
+  from users
+  union all
+  select id + 1000000000, {AS_OF_SQL} + (60 + id % 8) * interval 1 minute, case when id % 31 = 5 then 'trainer' else 'customer' end, id, id,
+         cast(null as varchar), upper('customer' || lpad(cast(id + 2 as varchar), 9, '0') || '@example.test'), null, null
+  from users where id % 4 = 1)""",
     "trainer_merge": f"""
 trainer_merge AS (
   select id as request_id, {AS_OF_SQL} as request_ts,

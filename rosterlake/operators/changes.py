@@ -19,7 +19,7 @@ struct, combined map-side, so a hot key costs one partial row per task) and
 every request that passed the checks before compares itself with it. The
 aggregate is exchanged anew for that join (``_apart``), so AQE's skew join
 can split a hot key. Nothing runs while a plan is built, but for the id
-assignment of inserts. Identity-changing checks compare ``(role, id)``, never a bare
+assignment of inserts and the claims on emails (M16), when they are read. Identity-changing checks compare ``(role, id)``, never a bare
 id (customer 5 and trainer 5 are different principals).
 """
 
@@ -35,6 +35,7 @@ from ..functions.collation import norm_key
 from ..functions.columns import first_failing, in_domain, js_or, rating_value, truthy
 from ..sources.schema import (ADMIN, BOOKING, BOOKING_STATUSES, PROGRESS, REVIEWS, SESSION, SESSION_STATUSES,
                               TRAINER, USERS, Tables, conform)
+from .claims import settle_claims
 from .ids import assign_ids, max_id
 
 C = F.col
@@ -49,13 +50,17 @@ INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
 
 
 class Change:
-    """Result of a change operator. ``accepted`` and ``states`` may be given
-    as zero-argument callables: inserts assign ids (a range-partitioned
-    checkpoint plus a count job), and a caller that reads only ``rejected``
-    should not pay for them. Each is computed once, on first access."""
+    """Result of a change operator. Its parts may be given as zero-argument
+    callables: inserts assign ids (a range-partitioned checkpoint plus a count
+    job), merges settle claims in rounds, and a caller that doesn't read a
+    part should not pay for it. Each is computed once, on first access."""
 
-    def __init__(self, accepted, rejected: DataFrame, states=None):
-        self._accepted, self.rejected, self._states = accepted, rejected, states if states is not None else {}
+    def __init__(self, accepted, rejected, states=None):
+        self._accepted, self._rejected, self._states = accepted, rejected, states if states is not None else {}
+
+    @cached_property
+    def rejected(self) -> DataFrame:
+        return self._rejected() if callable(self._rejected) else self._rejected
 
     @cached_property
     def accepted(self) -> DataFrame:
@@ -550,57 +555,52 @@ def delete_users(requests: DataFrame, t: Tables, mode: str = "restrict") -> Chan
 
 # ------------------------------------------------------------------ merges M16, M17
 
-def _merge(requests: DataFrame, state: DataFrame, fields: Sequence[str], allowed: Column,
-           unique_email: bool) -> Change:
-    j = _flag(requests, state, [("id", "id")], "exists")
-    reason = first_failing([("forbidden", ~allowed), ("not_found", ~C("exists"))])
-    accepted, rejected = _split(j, reason)
+def _merged(state: DataFrame, accepted: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Per field, the last non-blank value of the accepted merges of a row."""
     order = F.struct(C(TS), C(RID))
     agg = accepted.groupBy(C("id").alias("__mid")).agg(
         *[F.max_by(C(f), F.when(truthy(f), order)).alias(f"__new_{f}") for f in fields])
-    merged = (state.join(agg, C("id") == C("__mid"), "left")
-              .select(*[js_or(C(f"__new_{c}"), C(c)).alias(c) if c in fields else C(c) for c in state.columns],
-                      C("__mid").isNotNull().alias("__touched")))
-    if unique_email:
-        # A touched row whose final email equals another row's final email is
-        # refused whole: its requests are rejected and the row keeps its
-        # pre-batch values.
-        # Only emails that touched rows end with can collide: reduce the
-        # state to those before counting.
-        keyed = merged.withColumn("__ek", norm_key("email"))
-        touched = keyed.filter("__touched").select(C("__ek").alias("__tk"))
-        counts = (keyed.join(touched, C("__ek") == C("__tk"), "left_semi")
-                  .groupBy(C("__ek").alias("__ck")).agg(F.count(F.lit(1)).alias("__n")))
-        clash = (keyed.filter("__touched").join(counts, C("__ek") == C("__ck"))
-                 .filter(C("__n") > 1).select(C("id").alias("__cid")))
-        bad = accepted.join(clash, C("id") == C("__cid"), "left_semi")
-        rejected = rejected.unionByName(bad.select(RID, F.lit("duplicate_email").alias("reason")))
-        accepted = accepted.join(clash, C("id") == C("__cid"), "left_anti")
-        keep_old = state.join(clash, C("id") == C("__cid"), "left_semi")
-        merged = merged.join(clash, C("id") == C("__cid"), "left_anti").drop("__touched").unionByName(keep_old)
-    else:
-        merged = merged.drop("__touched")
-    return Change(accepted.select(RID, "id"), rejected, {"state": merged})
+    return state.join(agg, C("id") == C("__mid"), "left").select(
+        *[js_or(C(f"__new_{c}"), C(c)).alias(c) if c in fields else C(c) for c in state.columns])
+
+
+def _merge(requests: DataFrame, state: DataFrame, relation: str, fields: Sequence[str], allowed: Column, unique_email: bool) -> Change:
+    j = _flag(requests, state, [("id", "id")], "exists")
+    reason = first_failing([("forbidden", ~allowed), ("not_found", ~C("exists"))])
+    accepted, rejected = _split(j, reason)
+    if not unique_email:
+        return Change(accepted.select(RID, "id"), rejected, {relation: _merged(state, accepted, fields)})
+    memo: dict = {}
+
+    def settled() -> tuple[DataFrame, DataFrame]:
+        if not memo:
+            claims = accepted.filter(truthy("email")).select(RID, TS, C("id").alias("row"), norm_key("email").alias("key"))
+            granted = settle_claims(claims, state.select(C("id").alias("row"), norm_key("email").alias("key")), _order(), RID)
+            lost = granted.filter(~C("granted")).select(RID)
+            memo["accepted"] = accepted.join(lost, RID, "left_anti")
+            memo["rejected"] = rejected.unionByName(lost.withColumn("reason", F.lit("duplicate_email")))
+        return memo["accepted"], memo["rejected"]
+    return Change(lambda: settled()[0].select(RID, "id"), lambda: settled()[1],
+                  lambda: {relation: _merged(state, settled()[0], fields)})
 
 
 def merge_user_profiles(requests: DataFrame, t: Tables) -> Change:
     """The customer themself or an admin -> row exists -> nama, email,
     propinsi, kota; a blank or missing value keeps the old one (``a || b``).
     Several merges of one row: per field, the last non-blank value by
-    ``(request_ts, request_id)``. A final email that collides with another
-    customer's final email refuses that row's merges (UNIQUE email)."""
+    ``(request_ts, request_id)``. A merge whose email another customer holds at
+    that moment, after all merges before it, is refused whole (UNIQUE email),
+    so a freed email can be taken by a later request of the batch and a chain
+    of swaps comes out as if each request were served alone."""
     allowed = _is_admin() | _is_owner("customer", "id")
-    ch = _merge(requests, t.users, ("nama", "email", "propinsi", "kota"), allowed, unique_email=True)
-    return Change(lambda: ch.accepted, ch.rejected, lambda: {"users": ch.states["state"]})
+    return _merge(requests, t.users, "users", ("nama", "email", "propinsi", "kota"), allowed, unique_email=True)
 
 
 def merge_trainer_profiles(requests: DataFrame, t: Tables) -> Change:
     """An admin or that trainer -> row exists -> + spesialisasi. The
     trainer relation has no declared UNIQUE email, so none is enforced."""
     allowed = _is_admin() | _is_owner("trainer", "id")
-    ch = _merge(requests, t.trainer, ("nama", "email", "spesialisasi", "propinsi", "kota"), allowed,
-                unique_email=False)
-    return Change(lambda: ch.accepted, ch.rejected, lambda: {"trainer": ch.states["state"]})
+    return _merge(requests, t.trainer, "trainer", ("nama", "email", "spesialisasi", "propinsi", "kota"), allowed, unique_email=False)
 
 
 # ------------------------------------------------------------------ registrations M2-M4

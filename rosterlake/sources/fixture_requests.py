@@ -321,3 +321,22 @@ def repeated(t: Tables) -> Tables:
         return df.unionByName(more.withColumn(column, C(column) + F.when(C("id") % 4 == 1, -1).otherwise(1)) if column else more)
     return t.with_(users=again(t.users, None), session=again(t.session, "trainer_id"), booking=again(t.booking, "member_id"),
                    progress=again(t.progress, "member_id"), reviews=again(t.reviews, "member_id"))
+
+
+def user_swaps(t: Tables) -> DataFrame:
+    """Customers in groups of eight hand their mails on. In each group the
+    last asks first, for a new mail (in every third group for the first's mail,
+    which is not free yet), then each before it asks for its neighbour's; an hour
+    later every fourth asks for the mail that its successor's successor had."""
+    as_of = ntz(AS_OF)
+    k, group = C("id") % 8, F.floor(C("id") / 8)
+    nothing = F.lit(None).cast("string")
+
+    def ask(rid: Column, minutes: Column, mail: Column, rename: Column) -> list[Column]:
+        return [rid.alias("request_id"), (as_of + F.make_dt_interval(mins=minutes.cast("int"))).alias("request_ts"),
+                F.when(C("id") % 31 == 5, "trainer").otherwise("customer").alias("actor_role"), C("id").alias("actor_id"), C("id"),
+                rename.alias("nama"), mail.alias("email"), nothing.alias("propinsi"), nothing.alias("kota")]
+    last = F.when(group % 3 == 0, _mail(C("id") - 7)).otherwise(F.concat(F.lit("moved"), C("id").cast("string"), F.lit("@example.test")))
+    first = t.users.select(*ask(C("id"), 7 - k, F.when(k == 7, last).otherwise(_mail(C("id") + 1)), F.lit("Swapped")))
+    second = t.users.where("id % 4 = 1").select(*ask(C("id") + BIG, F.lit(60) + k, F.upper(_mail(C("id") + 2)), nothing))
+    return first.unionByName(second)
