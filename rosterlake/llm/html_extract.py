@@ -7,7 +7,7 @@ one label are a list and count as one node. Over all pages of the host, each
 reference node then has a number of aligned pages and of those with its very
 text: a node that is nearly always the same is template, the others are slots.
 
-The main text is what lies in the page's article (or main element, or else its
+The main text is what lies in the page's articles (or main elements, or else its
 body) and is neither template nor an element that says it is something else:
 navigation, forms, scripts, adverts, notices, comments. Inside an article a
 constant node is template only if other nodes of the article vary, so a host
@@ -26,6 +26,7 @@ import re
 from collections.abc import Iterator
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ CONSTANT = 0.9
 VARIES = 0.5
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|$)|<(script|style|noscript|template|iframe|svg|textarea)\b.*?(?:</\1\s*>|$)|<[!?][^>]*>|"""
+    r"""<!--.*?(?:-->|$)|<svg\b(?:"[^"]*"|'[^']*'|[^'">])*/>|<(script|style|noscript|template|iframe|svg|textarea)\b.*?(?:</\1\s*>|$)|<[!?][^>]*>|"""
     r"""<(/?)([a-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S | re.I)
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
@@ -55,8 +56,8 @@ OTHER_TAGS = frozenset("nav aside form button select dialog menu head title foot
 _WORD = (r"(?:ads?|adverts?|advertisement|sponsored|promo|banner|cookies?|consent|notice|popup|modal|sidebar|menu|nav|navbar|navigation|breadcrumbs?|"
          r"footer|comments?|disqus|replies|share|sharing|social|related|newsletter|subscribe|complementary|contentinfo|search)")
 OTHER_NAMES = re.compile(rf"(?:^|\s){_WORD}(?:[_-]+{_WORD})*(?:$|\s)", re.I)
-#: Elements that hold or head the main text whatever their names.
-NAMELESS = frozenset("html body main h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements that hold or head the main text, or are text, whatever their names.
+NAMELESS = frozenset("html body main h1 h2 h3 h4 h5 h6 hgroup p blockquote pre figcaption".split())
 
 
 class Node:
@@ -108,7 +109,9 @@ def parse(page: str) -> Node:
         names = " ".join(x or y or z for x, y, z in NAMES.findall(m[4])) if m[4] else ""
         node = Node(tag, names)
         stack[-1].children.append(node)
-        if tag not in VOID and not m[4].endswith("/"):
+        # Only void elements end at once: a slash at the end of another start
+        # tag says nothing.
+        if tag not in VOID:
             stack.append(node)
     if at < len(page):
         stack[-1].children.append(page[at:])
@@ -126,152 +129,236 @@ class Shape:
 
     def __init__(self, nodes: list[Node]) -> None:
         self.label, self.nodes, self.children = nodes[0].label, nodes, []
-        run: list[Node] = []
-        for child in (c for n in nodes for c in n.children if isinstance(c, Node)):
-            if child.tag == "br":
-                continue
-            if run and run[0].label != child.label:
-                self.children.append(Shape(run))
-                run = []
-            run.append(child)
-        if run:
-            self.children.append(Shape(run))
-
-    def key(self) -> str:
-        return f"{self.label}({','.join(c.key() for c in self.children)})"
 
     def text_hash(self) -> int:
         text = squeeze([c for n in self.nodes for c in [*n.children, " "] if isinstance(c, str)])
         return crc32(text.encode("utf-8", "surrogatepass")) if text else 0
 
-    def walk(self) -> Iterator[Shape]:
-        yield self
-        for c in self.children:
-            yield from c.walk()
+    def walk(self) -> Iterator[tuple[int, Shape]]:
+        """(depth, shape), each before its children."""
+        todo = [(0, self)]
+        while todo:
+            depth, s = todo.pop()
+            yield depth, s
+            todo.extend((depth + 1, c) for c in reversed(s.children))
 
 
-def skeleton(page: str) -> str:
-    """Labels and text hashes of the collapsed tree, as JSON."""
-    def of(s: Shape) -> list:
-        return [s.label, s.text_hash(), [of(c) for c in s.children]]
-
-    return json.dumps(of(Shape([parse(page)])))
-
-
-def _match(a: tuple, b: tuple, memo: dict) -> tuple[int, tuple]:
-    """Simple tree matching of two trees (number, label, children): the size
-    of the largest mapping and its pairs of node numbers."""
-    if a[1] != b[1]:
-        return 0, ()
-    key = (a[0], b[0])
-    if key in memo:
-        return memo[key]
-    rows, cols = a[2], b[2]
-    best: list[list[tuple[int, tuple]]] = [[(0, ())] * (len(cols) + 1) for _ in range(len(rows) + 1)]
-    for i, x in enumerate(rows, 1):
-        for j, y in enumerate(cols, 1):
-            size, pairs = _match(x, y, memo)
-            cell = max(best[i - 1][j], best[i][j - 1], key=lambda c: c[0])
-            if size and best[i - 1][j - 1][0] + size > cell[0]:
-                cell = best[i - 1][j - 1][0] + size, (best[i - 1][j - 1], pairs)
-            best[i][j] = cell
-    memo[key] = out = (best[-1][-1][0] + 1, (key, best[-1][-1]))
-    return out
-
-
-def _pairs(found) -> Iterator[tuple[int, int]]:
-    """Unfolds the nested mapping of ``_match``."""
-    todo = [found]
+def shape_of(tree: Node) -> Shape:
+    top = Shape([tree])
+    todo = [top]
     while todo:
-        x = todo.pop()
-        if not x:
-            continue
-        if isinstance(x[0], int) and isinstance(x[1], int):
-            yield x
-        elif isinstance(x[0], int):
-            todo.append(x[1])
-        else:
-            todo.extend(x)
+        shape = todo.pop()
+        run: list[Node] = []
+        for child in (c for n in shape.nodes for c in n.children if isinstance(c, Node) and c.tag != "br"):
+            if run and run[0].label != child.label:
+                shape.children.append(Shape(run))
+                run = []
+            run.append(child)
+        if run:
+            shape.children.append(Shape(run))
+        todo.extend(shape.children)
+    return top
 
 
-def _numbered(s, count: list[int], label, children) -> tuple:
-    number = count[0]
-    count[0] += 1
-    return number, label(s), [_numbered(c, count, label, children) for c in children(s)]
+def skeleton(page: str) -> str:
+    """Depths, labels and text hashes of the collapsed tree, as JSON."""
+    return json.dumps([[depth, s.label, s.text_hash()] for depth, s in shape_of(parse(page)).walk()])
 
 
 @functools.lru_cache(maxsize=4096)
-def _reference(text: str) -> tuple[tuple, list[int]]:
-    data = json.loads(text)
-    hashes: list[int] = []
+def _reference(text: str) -> tuple[list[tuple[int, str]], list[int]]:
+    told = json.loads(text)
+    return [(depth, label) for depth, label, _ in told], [h for *_, h in told]
 
-    def collect(s: list) -> None:
-        hashes.append(s[1])
-        for c in s[2]:
-            collect(c)
 
-    collect(data)
-    return _numbered(data, [0], lambda s: s[0], lambda s: s[2]), hashes
+class Aligner:
+    """Alignments of page shapes with references by simple tree matching.
 
+    Equal subtrees have one number, and the size of the largest mapping is kept
+    by pairs of these, so a tree of many like parts costs little. Equal
+    subtrees at the ends of two sibling lists are mapped at once, which loses
+    nothing: no other partner is larger. The rest of two lists is aligned a row
+    at a time as arrays. Nothing recurses, so depth is no matter.
+    """
 
-class Aligner:
-    """Alignments of page shapes with references; equal shapes share one."""
+    #: Numbers and sizes held before all are forgotten.
+    HELD = 300_000
 
     def __init__(self) -> None:
-        self.known: dict[tuple[str, str], dict[int, int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[tuple[str, int], dict[int, int]] = {}
+        self.numbers: dict[tuple, int] = {}
+        self.trees: list[tuple[str, tuple[int, ...], int]] = []
+        self.sizes: dict[tuple[int, int], int] = {}
+
+    def _number(self, flat: list[tuple[int, str]]) -> tuple[list[int], list[list[int]]]:
+        """Each node's subtree number and its children, from a preorder."""
+        kids: list[list[int]] = [[] for _ in flat]
+        path: list[int] = []
+        for k, (depth, _) in enumerate(flat):
+            del path[depth:]
+            if path:
+                kids[path[-1]].append(k)
+            path.append(k)
+        number = [0] * len(flat)
+        for k in range(len(flat) - 1, -1, -1):
+            key = flat[k][1], tuple(number[c] for c in kids[k])
+            if key not in self.numbers:
+                self.numbers[key] = len(self.trees)
+                self.trees.append((*key, 1 + sum(self.trees[c][2] for c in key[1])))
+            number[k] = self.numbers[key]
+        return number, kids
+
+    @staticmethod
+    def _ends(a: list[int] | tuple, b: list[int] | tuple) -> tuple[int, int]:
+        """How many equal subtrees two lists begin and end with."""
+        n, head, tail = min(len(a), len(b)), 0, 0
+        while head < n and a[head] == b[head]:
+            head += 1
+        while tail < n - head and a[-1 - tail] == b[-1 - tail]:
+            tail += 1
+        return head, tail
+
+    def _rows(self, a: list[int] | tuple, b: list[int] | tuple) -> np.ndarray:
+        """best[i, j]: the largest mapping of the first i and j subtrees."""
+        best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+        names, place = np.unique(np.array(b, np.int64), return_inverse=True)
+        gains: dict[int, np.ndarray] = {}
+        for i, x in enumerate(a):
+            if x not in gains:
+                gains[x] = np.array([self.sizes.get((x, int(y)), 0) for y in names], np.int32)[place]
+            np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + gains[x]), out=best[i + 1, 1:])
+        return best
+
+    def _size(self, a: int, b: int) -> int:
+        todo = [(a, b)]
+        while todo:
+            x, y = todo[-1]
+            if (x, y) in self.sizes:
+                todo.pop()
+                continue
+            (label, rows, total), (other, cols, _) = self.trees[x], self.trees[y]
+            if label != other or x == y:
+                self.sizes[x, y] = total if x == y else 0
+                todo.pop()
+                continue
+            head, tail = self._ends(rows, cols)
+            mid, across = rows[head : len(rows) - tail], cols[head : len(cols) - tail]
+            open_ = [(r, c) for r in set(mid) for c in set(across) if self.trees[r][0] == self.trees[c][0] and (r, c) not in self.sizes]
+            if open_:
+                todo.extend(open_)
+                continue
+            ends = sum(self.trees[r][2] for r in (*rows[:head], *rows[len(rows) - tail :]))
+            self.sizes[x, y] = 1 + ends + (int(self._rows(mid, across)[-1, -1]) if mid and across else 0)
+            todo.pop()
+        return self.sizes[a, b]
+
+    def match(self, a: list[tuple[int, str]], b: list[tuple[int, str]]) -> dict[int, int]:
+        """The largest order-preserving mapping of two preorders' nodes that
+        keeps labels and parents."""
+        (left, left_kids), (right, right_kids) = self._number(a), self._number(b)
+        if not self._size(left[0], right[0]):
+            return {}
+        pairs: dict[int, int] = {}
+        todo = [(0, 0)]
+        while todo:
+            x, y = todo.pop()
+            pairs[x] = y
+            if left[x] != right[y]:
+                self._size(left[x], right[y])
+            rows, cols = left_kids[x], right_kids[y]
+            head, tail = self._ends([left[r] for r in rows], [right[c] for c in cols])
+            todo.extend(zip(rows[:head], cols[:head]))
+            todo.extend(zip(rows[len(rows) - tail :], cols[len(cols) - tail :]))
+            rows, cols = rows[head : len(rows) - tail], cols[head : len(cols) - tail]
+            if not rows or not cols:
+                continue
+            best = self._rows([left[r] for r in rows], [right[c] for c in cols])
+            i, j = len(rows), len(cols)
+            while i and j and best[i, j]:
+                if best[i, j] == best[i - 1, j]:
+                    i -= 1
+                elif best[i, j] == best[i, j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    todo.append((rows[i], cols[j]))
+        return pairs
 
     def align(self, shape: Shape, reference: str) -> dict[int, int]:
         """Page node number to reference node number, in walking order."""
-        key = (reference, shape.key())
+        if len(self.trees) + len(self.sizes) > self.HELD:
+            self._forget()
+        flat = [(depth, s.label) for depth, s in shape.walk()]
+        key = reference, self._number(flat)[0][0]
         if key not in self.known:
-            if len(self.known) > 20_000:
-                self.known.clear()
-            tree = _numbered(shape, [0], lambda s: s.label, lambda s: s.children)
-            self.known[key] = dict(_pairs(_match(tree, _reference(reference)[0], {})[1]))
+            self.known[key] = self.match(flat, _reference(reference)[0])
         return self.known[key]
 
 
-def _length(node: Node) -> int:
-    """Characters of the texts below that are no other elements'."""
-    return sum(_length(c) if isinstance(c, Node) else len(c.strip()) for c in node.children) if not node.other() else 0
+def _below(node: Node) -> Iterator[Node]:
+    todo = [node]
+    while todo:
+        n = todo.pop()
+        yield n
+        todo.extend(c for c in n.children if isinstance(c, Node))
 
 
-def _root(node: Node) -> Node | None:
-    """The first article, else the first main element. One whose own or outer
-    elements' names are other ones counts only where there is none else and it
-    holds most of the page's text."""
+def _length(node: Node) -> int:
+    """Characters of the texts below that are no other elements'."""
+    total, todo = 0, [node]
+    while todo:
+        n = todo.pop()
+        for c in n.children:
+            if isinstance(c, str):
+                total += len(c.strip())
+            elif not c.other():
+                todo.append(c)
+    return total
+
+
+def _roots(tree: Node) -> list[Node]:
+    """All outermost articles in page order, else all main elements. Those
+    whose own or outer elements' names are other ones count only where there is
+    none else, and then the first that holds most of the page's text."""
     article, main = (lambda n: n.tag == "article"), (lambda n: n.tag == "main" or n.names == "main")
     rest = None
     for named in (False, True):
         for wanted in (article, main):
-            todo = [node]
+            found, todo = [], [tree]
             while todo:
                 n = todo.pop()
                 if n.tag in OTHER_TAGS or not named and n.named_other():
                     continue
                 if wanted(n):
+                    found.append(n)
                     if not named:
-                        return n
-                    rest = _length(node) if rest is None else rest
-                    if sum(_length(c) if isinstance(c, Node) else len(c.strip()) for c in n.children) > rest:
-                        return n
+                        continue
                 todo.extend(c for c in reversed(n.children) if isinstance(c, Node))
-    return None
+            if found and not named:
+                return found
+            for n in found:
+                rest = _length(tree) if rest is None else rest
+                if _length(n) > rest:
+                    return [n]
+    return []
 
 
 def main_text(page: str, reference: str | None, counts: dict[int, tuple[int, int]], aligner: Aligner) -> str:
     """Blocks of the main text, joined by line feeds."""
     tree = parse(page)
-    root = _root(tree)
+    roots = _roots(tree)
     template: set[int] = set()
     if reference:
-        shape = Shape([tree])
+        shape = shape_of(tree)
         mapped = aligner.align(shape, reference)
-        shapes = list(shape.walk())
-        inside = {id(n) for s in Shape([root]).walk() for n in s.nodes} if root else set()
+        shapes = [s for _, s in shape.walk()]
+        inside = {id(n) for root in roots for n in _below(root)}
         share = {k: counts[r][1] / counts[r][0] for k, r in mapped.items() if r in counts and counts[r][0] >= MIN_PAGES}
         hashes = _reference(reference)[1]
-        varies = any(v < VARIES for k, v in share.items() if id(shapes[k].nodes[0]) in inside) if root else True
+        varies = any(v < VARIES for k, v in share.items() if id(shapes[k].nodes[0]) in inside) if roots else True
         for k, v in share.items():
             s = shapes[k]
             # A slot that differs on this very page is no template here.
@@ -286,27 +373,23 @@ def main_text(page: str, reference: str | None, counts: dict[int, tuple[int, int
             blocks.append(text)
         line.clear()
 
-    def walk(node: Node, header_ok: bool) -> None:
-        if node is not root and node.other() or (node.tag == "header" and not header_ok):
-            return
-        quiet = id(node) in template
-        if node.tag not in INLINE:
-            close()
-        for c in node.children:
-            if isinstance(c, Node):
-                if c.tag == "br":
-                    line.append(" ")
-                else:
-                    walk(c, header_ok)
-            elif not quiet:
-                line.append(c)
-        if node.tag not in INLINE:
+    tops = {id(n) for n in roots}
+    # Nodes, texts, and None where a block ends.
+    todo: list[Node | str | None] = list(reversed(roots or [tree]))
+    while todo:
+        n = todo.pop()
+        if n is None:
             close()
-
-    if root:
-        walk(root, True)
-    else:
-        walk(tree, False)
+        elif isinstance(n, str):
+            line.append(n)
+        elif n.tag == "br":
+            line.append(" ")
+        elif id(n) in tops or not (n.other() or n.tag == "header" and not roots):
+            if n.tag not in INLINE:
+                close()
+                todo.append(None)
+            quiet = id(n) in template
+            todo.extend(c for c in reversed(n.children) if not (quiet and isinstance(c, str)))
     close()
     return "\n".join(blocks)
 
@@ -335,9 +418,9 @@ def induce(pages: DataFrame, scratch: Scratch) -> DataFrame:
             for host, page, reference in zip(*(c for c in b.columns), strict=True):
                 host, reference = host.as_py(), reference.as_py()
                 hashes = _reference(reference)[1]
-                shape = Shape([parse(page.as_py())])
+                shape = shape_of(parse(page.as_py()))
                 mapped = aligner.align(shape, reference)
-                for k, s in enumerate(shape.walk()):
+                for k, (_, s) in enumerate(shape.walk()):
                     r = mapped.get(k)
                     if r is not None and hashes[r]:
                         own = seen.setdefault((host, r), [0, 0])
@@ -361,7 +444,9 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out:
 
     A null or empty page has the empty text. A page without a host has no
     wrapper: its elements alone decide. Repeated rows are pages each for
-    itself; other columns pass; no rows give no rows.
+    itself; other columns pass, but for ``__host``, ``__skeleton`` and
+    ``__counts``, which are this operator's own; no rows give no rows. Depth and
+    length of a page are not bounded.
     """
     scratch = Scratch(pages.sparkSession, "html")
     named = pages.withColumn("__host", host_of(url_col))
