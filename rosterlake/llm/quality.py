@@ -270,19 +270,21 @@ def _calibrate(rows: DataFrame, model: QualityModel) -> QualityModel:
 
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", id_col: str = "doc_id") -> QualityModel:
     """Learn from rows (text, 0/1 label). Rows without a label or text teach
-    nothing. All copies of a text are in the fit or in the calibration."""
+    nothing. All copies of a text are in the fit or in the calibration. The
+    sample goes by text and ``id_col``, or without that by text and row number."""
     scratch = Scratch(labelled.sparkSession, "quality")
-    rows = scratch.table(labelled.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull())
-                         .select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("good"),
-                                 F.xxhash64(text_col, id_col if id_col in labelled.columns else F.monotonically_increasing_id()).alias("pick"),
-                                 (F.crc32(F.col(text_col).cast("binary")) % FOLDS == 0).alias("held")), "rows")
-    n = {r["good"]: r["n"] for r in rows.groupBy("good").agg(F.count("*").alias("n")).collect()}
+    told = labelled.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull())
+    n = {r["good"]: r["n"] for r in told.groupBy(F.col(label_col).cast("int").alias("good")).agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
-        scratch.drop(rows)
         share = (n.get(1, 0) + 0.5) / (sum(n.values()) + 1)
         return QualityModel(np.zeros(1 << HASH_BITS), float(np.log(share / (1 - share))))
     share = min(1.0, SAMPLE_ROWS / sum(n.values()))
-    sample = rows.where(~F.col("held") & (F.pmod("pick", F.lit(1 << 20)) < int(share * (1 << 20)))).select("text", "good")
+    pick = F.pmod(F.xxhash64(text_col, id_col if id_col in labelled.columns else F.monotonically_increasing_id()), F.lit(1 << 20)) < int(share * (1 << 20))
+    held = F.crc32(F.col(text_col).cast("binary")) % FOLDS == 0
+    # Both conditions read the text's side alone: of a join with labels, only
+    # texts that are used are shuffled.
+    rows = scratch.table(told.where(held | pick).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("good"), held.alias("held")), "rows")
+    sample = rows.where(~F.col("held")).select("text", "good")
     blocks = scratch.table(_blocks(sample.repartition(PARTS)), "blocks")
     model = _calibrate(rows.where("held").select("text", "good"), QualityModel(*_fit(blocks)))
     scratch.drop(rows, blocks)
