@@ -7,16 +7,21 @@ neighbours of each node, forward and reverse, among each other, so that
 neighbours of neighbours meet, and keeps what improves a list.
 
 A list holds the ``K`` best neighbours. Where all ``K`` pass the threshold it
-is saturated and is enlarged to every neighbour that passes, without a limit.
-A round takes ``JOINED`` members of a list in each direction, others every
-round, so a hub costs no more than any node; lists themselves are whole.
+is saturated and is enlarged, to at most ``WIDE`` neighbours that pass, so a
+round's table grows with the nodes and not with the pairs of a cluster. A
+passing neighbour never leaves a list. A pair that passes while a list is full
+is not stored, but what it connects is: of the passing pairs of a leaf or of a
+joined neighbourhood a spanning forest goes on (``bridge`` rows). A round takes
+``JOINED`` members of a list in each direction, others every round, so a hub
+costs no more than any node.
 
 Rounds go on until the threshold edges grow by less than ``STILL``, or to
-``ROUNDS``. What ``JOINED`` leaves out of saturated lists is then counted
-exactly: a component with a saturated list is dealt into tiles, and all its
-pairs are compared, tile by tile. An audit follows always, ``AUDITED`` nodes
-against all others by brute force; under a recall of ``RECALL`` all pairs of
-every label are compared in the same way, and links and components are exact.
+``ROUNDS``. What ``WIDE`` and ``JOINED`` leave out of saturated lists is then
+counted exactly: a component with a saturated list is dealt into tiles, and all
+its pairs are compared, tile by tile; only counts leave a tile. An audit follows
+always, ``AUDITED`` nodes against all others by brute force. Under a recall of
+``RECALL`` all pairs of the labels that missed links are compared in the same
+way, which gives their links and components exactly, and other nodes are audited.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ from rosterlake.llm.common import Scratch
 from rosterlake.llm.components import connected_components
 
 K = 10
+WIDE = 32
 JOINED = 12
 TREES = 4
 LEAF = 128
@@ -41,6 +47,8 @@ PLANES = 24
 ROUNDS = 8
 STILL = 0.002
 AUDITED = 256
+#: Above any cosine: the bound of a list that takes no more.
+FULL = 9.0
 RECALL = 0.985
 TILE = 2048
 
@@ -60,17 +68,39 @@ def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(first, np.append(first[1:], len(new)), strict=True))
 
 
-def _edges_batch(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    src, dst, sim = (np.concatenate([x[i] for x in found]) if found else np.zeros(0) for i in range(3))
-    src, dst = src.astype(np.int64), dst.astype(np.int64)
-    order = np.lexsort((dst, src))
-    src, dst, sim = src[order], dst[order], sim[order]
+Found = list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]
+
+
+def _edges_batch(found: Found) -> pa.RecordBatch:
+    """Edges once each; what is found as a candidate and as a bridge is both."""
+    src, dst = (np.concatenate([x[i] for x in found] or [np.zeros(0)]).astype(np.int64) for i in range(2))
+    sim = np.concatenate([x[2] for x in found] or [np.zeros(0)]).astype(np.float64)
+    bridge = np.repeat(np.array([x[3] for x in found], bool), [len(x[0]) for x in found])
+    order = np.lexsort((bridge, dst, src))
+    src, dst, sim, bridge = src[order], dst[order], sim[order], bridge[order]
     first = np.ones(len(src), bool)
-    first[1:] = (src[1:] != src[:-1]) | (dst[1:] != dst[:-1])
-    return pa.RecordBatch.from_arrays([pa.array(src[first]), pa.array(dst[first]), pa.array(sim[first].astype(np.float64))], ["src", "dst", "sim"])
+    first[1:] = (src[1:] != src[:-1]) | (dst[1:] != dst[:-1]) | (bridge[1:] != bridge[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (src, dst, sim, bridge)], ["src", "dst", "sim", "bridge"])
+
+
+def _forest(hit: np.ndarray, first: int = 0) -> tuple[list[int], list[int]]:
+    """Edges of a spanning forest of a symmetric boolean matrix, grown from the
+    row ``first``."""
+    left, a, b = np.ones(len(hit), bool), [], []
+    for root in (first, *range(len(hit))):
+        stack = [root] if left[root] else []
+        left[root] = False
+        while stack:
+            p = stack.pop()
+            near = np.flatnonzero(hit[p] & left).tolist()
+            left[near] = False
+            a += [p] * len(near)
+            b += near
+            stack += near
+    return a, b
 
 
-EDGE = "src long, dst long, sim double"
+EDGE = "src long, dst long, sim double, bridge boolean"
 
 
 def _leaves(nodes: DataFrame, tree: int, kind: str, threshold: float) -> DataFrame:
@@ -100,10 +130,17 @@ def _leaves(nodes: DataFrame, tree: int, kind: str, threshold: float) -> DataFra
                     k = min(K, q - p - 1)
                     if k > 0:
                         best = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-                        keep = sim >= threshold
+                        hit = sim >= threshold
+                        # Up to WIDE that pass, those that follow a node first.
+                        turned = (np.arange(q - p)[:, None] + np.arange(1, q - p)) % (q - p)
+                        after = np.take_along_axis(hit, turned, axis=1)
+                        keep = np.zeros_like(hit)
+                        np.put_along_axis(keep, turned, after & (np.cumsum(after, axis=1) <= WIDE), axis=1)
                         np.put_along_axis(keep, best, True, axis=1)
                         a, c = np.nonzero(keep)
-                        found.append((node[p:q][a], node[p:q][c], sim[a, c]))
+                        found.append((node[p:q][a], node[p:q][c], sim[a, c], False))
+                        a, c = _forest(hit) if hit.any() else ([], [])
+                        found.append((node[p:q][a], node[p:q][c], sim[a, c], True))
                     if q == j:
                         break
             yield _edges_batch(found)
@@ -114,18 +151,19 @@ def _leaves(nodes: DataFrame, tree: int, kind: str, threshold: float) -> DataFra
 
 
 def _best(edges: DataFrame, threshold: float) -> DataFrame:
-    """Lists from candidate edges: every neighbour that passes, and the K best
-    of the others unless the list is saturated."""
-    one = edges.groupBy("src", "dst").agg(F.max("sim").alias("sim"))
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("sim"), "dst"))
-    passing = one.where(F.col("sim") >= threshold)
-    rest = one.where(F.col("sim") < threshold).withColumn("rank", rank).where(F.col("rank") <= K).drop("rank")
-    return passing.unionByName(rest)
+    """Lists from candidate edges (src, dst, sim, old): the K best, and up to
+    WIDE of those that pass; listed ones that pass stay."""
+    one = edges.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
+    passing = F.col("sim") >= threshold
+    order = [F.desc("passing"), F.desc(F.col("passing") & F.col("old")), F.when(F.col("passing"), F.xxhash64("src", "dst")), F.desc("sim"), "dst"]
+    ranked = one.withColumn("passing", passing).withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(*order)))
+    return ranked.where(F.col("rank") <= WIDE).where(F.col("passing") | (F.col("rank") <= K)).select("src", "dst", "sim")
 
 
 def _descend(graph: DataFrame, nodes: DataFrame, turn: int, kind: str, threshold: float) -> DataFrame:
     """Candidate edges of one round: neighbours of neighbours that pass the
-    threshold or beat the last of a list."""
+    threshold or beat the last of a list, none for a list that is full; and
+    bridges, passing pairs that no list edge of their center connects."""
     def some(center: str, member: str) -> DataFrame:
         pick = F.row_number().over(Window.partitionBy(center).orderBy(F.xxhash64(center, member, F.lit(turn)), member))
         return (graph.withColumn("pick", pick).where(F.col("pick") <= JOINED)
@@ -133,7 +171,8 @@ def _descend(graph: DataFrame, nodes: DataFrame, turn: int, kind: str, threshold
 
     itself = nodes.select(F.col("node").alias("center"), F.col("node").alias("member"))
     members = some("src", "dst").unionByName(some("dst", "src")).distinct().unionByName(itself)
-    last = graph.groupBy("src").agg(F.when(F.count("*") >= K, F.min("sim")).otherwise(F.lit(-2.0)).alias("last"))
+    full = F.sum((F.col("sim") >= threshold).cast("int")) >= WIDE
+    last = graph.groupBy("src").agg(F.when(full, F.lit(FULL)).when(F.count("*") >= K, F.min("sim")).otherwise(F.lit(-2.0)).alias("last"))
     held = nodes.join(last, nodes["node"] == last["src"], "left").select("node", "vec", F.coalesce("last", F.lit(-2.0)).alias("last"))
     rows = members.join(held, members["member"] == held["node"]).select("center", "member", "last", "vec")
 
@@ -149,8 +188,17 @@ def _descend(graph: DataFrame, nodes: DataFrame, turn: int, kind: str, threshold
                 unit = _unit(b.column(3).slice(i, j - i), kind)
                 sim = unit @ unit.T
                 np.fill_diagonal(sim, -2)
-                a, c = np.nonzero((sim >= threshold) | (sim > last[i:j, None]))
-                found.append((member[i:j][a], member[i:j][c], sim[a, c]))
+                own, hit, bound = member[i:j], sim >= threshold, last[i:j, None]
+                a, c = np.nonzero((hit & (bound < FULL)) | (sim > bound))
+                found.append((own[a], own[c], sim[a, c], False))
+                # Links with the center are list edges; they stay.
+                middle = int(np.flatnonzero(own == center[i])[0])
+                apart = ~hit[middle]
+                apart[middle] = False
+                if hit[apart].any():
+                    a, c = (np.array(x) for x in _forest(hit, middle))
+                    a, c = a[a != middle], c[a != middle]
+                    found.append((own[a], own[c], sim[a, c], True))
             return _edges_batch(found)
 
         for b in batches:
@@ -169,22 +217,6 @@ def _descend(graph: DataFrame, nodes: DataFrame, turn: int, kind: str, threshold
     return rows.repartition("center").sortWithinPartitions("center").mapInArrow(join, EDGE)
 
 
-def _forest(hit: np.ndarray) -> tuple[list[int], list[int]]:
-    """Edges of a spanning forest of a symmetric boolean matrix."""
-    left, a, b = np.ones(len(hit), bool), [], []
-    for first in range(len(hit)):
-        stack = [first] if left[first] else []
-        left[first] = False
-        while stack:
-            p = stack.pop()
-            near = np.flatnonzero(hit[p] & left).tolist()
-            left[near] = False
-            a += [p] * len(near)
-            b += near
-            stack += near
-    return a, b
-
-
 PAIRED = "src long, dst long, near long, others long"
 
 
@@ -257,18 +289,18 @@ def _summed(pairs: DataFrame) -> DataFrame:
     return pairs.where("dst is null").groupBy(F.col("src").alias("node")).agg(F.sum("near").alias("near"), F.sum("others").alias("others"))
 
 
-def audit(nodes: DataFrame, degree: DataFrame, kind: str, threshold: float) -> tuple[int, int]:
-    """Links found and links there are, of ``AUDITED`` nodes chosen by hash,
-    each compared with all nodes of its label."""
-    asked = nodes.orderBy(F.xxhash64("node", F.lit(99)), "node").limit(AUDITED).select("node", "label", "vec")
+def audit(nodes: DataFrame, degree: DataFrame, kind: str, threshold: float, seed: int = 99) -> list[tuple[int, int, int, int]]:
+    """(label, vector bytes, links found, links there are) of each of
+    ``AUDITED`` nodes chosen by hash, compared with all nodes of its label."""
+    asked = nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(AUDITED).select("node", "label", "vec")
     rows = asked.collect()
     if not rows:
-        return 0, 0
+        return []
     node, label = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     raw = [bytes(r[2]) for r in rows]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
+        total = np.zeros(len(raw), np.int64)
         for b in batches:
             own, own_label = np.asarray(b.column(0)), np.asarray(b.column(1))
             size = np.asarray(pc.binary_length(b.column(2)))
@@ -278,12 +310,14 @@ def audit(nodes: DataFrame, degree: DataFrame, kind: str, threshold: float) -> t
                 if len(there):
                     a, c = _unit(b.column(2).take(pa.array(here)), kind), _unit(pa.array([raw[k] for k in there], pa.binary()), kind)
                     same = (own_label[here][:, None] == label[there]) & (own[here][:, None] != node[there])
-                    total += int(((a @ c.T >= threshold) & same).sum())
-        yield pa.RecordBatch.from_pydict({"n": pa.array([total], pa.int64())})
+                    total[there] += ((a @ c.T >= threshold) & same).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(total)], ["node", "n"])
 
-    true = nodes.select("node", "label", "vec").mapInArrow(compare, "n long").agg(F.sum("n")).first()[0] or 0
-    found = degree.where(F.col("node").isin([int(x) for x in node])).agg(F.sum("near")).first()[0] or 0
-    return found, true
+    true = nodes.select("node", "label", "vec").mapInArrow(compare, "node long, n long").groupBy("node").agg(F.sum("n")).collect()
+    true = dict(map(tuple, true))
+    found = degree.where(F.col("node").isin([int(x) for x in node])).select("node", "near").collect()
+    found = dict(map(tuple, found))
+    return [(r[1], len(raw[k]), found.get(r[0], 0), true.get(r[0], 0)) for k, r in enumerate(rows)]
 
 
 def link_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -319,20 +353,25 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     for tree in range(TREES):
         leaves = _leaves(nodes, tree, kind, threshold)
         found = leaves if found is None else found.unionByName(leaves)
-    graph = scratch.table(_best(found, threshold), "graph-0")
-    links = graph.where(F.col("sim") >= threshold).count()
+    graph, bridges, links = None, None, 0
     figures = {"rounds": 0, "found": 0, "true": 0}
-    for turn in range(1, ROUNDS + 1):
-        better = scratch.table(_best(graph.unionByName(_descend(graph, nodes, turn, kind, threshold)), threshold), f"graph-{turn}")
-        scratch.drop(graph)
+    for turn in range(ROUNDS + 1):
+        # Round 0 is the leaves.
+        found = scratch.table(_descend(graph, nodes, turn, kind, threshold) if turn else found, f"found-{turn}")
+        edges = found.where("not bridge").select("src", "dst", "sim", F.lit(False).alias("old"))
+        better = scratch.table(_best(edges.unionByName(graph.withColumn("old", F.lit(True))) if turn else edges, threshold), f"graph-{turn}")
+        own = found.where("bridge").select("src", "dst")
+        bridges = own if bridges is None else bridges.unionByName(own)
+        if turn:
+            scratch.drop(graph)
         graph, before = better, links
         links = graph.where(F.col("sim") >= threshold).count()
         figures["rounds"] = turn
-        if links <= before * (1 + STILL):
+        if turn and links <= before * (1 + STILL):
             break
     # A link can be in one list only: both ends count it.
-    kept = graph.where(F.col("sim") >= threshold).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    kept = scratch.table(kept, "links")
+    kept = graph.where(F.col("sim") >= threshold).select("src", "dst").unionByName(bridges)
+    kept = scratch.table(kept.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "links")
     both = kept.unionByName(kept.select(F.col("b").alias("a"), F.col("a").alias("b")))
     weights = nodes.select(F.col("node").alias("b"), F.col("n").alias("others"))
     parts = scratch.table(connected_components(kept, scratch), "components")
@@ -343,15 +382,23 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     pairs = _compare_all(members.join(nodes, "node").select("block", "node", "n", "vec"), scratch, kind, threshold, forest=False)
     exact = scratch.table(_summed(pairs), "exact")
     degree = scratch.table(degree.join(members, "node", "left_anti").unionByName(exact), "degrees")
-    figures["found"], figures["true"] = audit(nodes, degree, kind, threshold)
-    if figures["found"] < RECALL * figures["true"]:
-        labels = nodes.select(F.xxhash64("label", F.octet_length("vec")).alias("block"), "node", "n", "vec")
-        pairs = scratch.table(_compare_all(labels, scratch, kind, threshold, forest=True), "pairs")
-        degree = scratch.table(_summed(pairs), "degrees")
-        parts = connected_components(pairs.where("dst is not null").select(F.col("src").alias("a"), F.col("dst").alias("b")), scratch)
-        figures["found"], figures["true"] = audit(nodes, degree, kind, threshold)
-        if figures["found"] < RECALL * figures["true"]:
+    done: set[tuple[int, int]] = set()
+    while True:
+        audited = audit(nodes, degree, kind, threshold, 99 + len(done))
+        figures["found"], figures["true"] = (sum(r[i] for r in audited) for i in (2, 3))
+        if figures["found"] >= RECALL * figures["true"]:
+            break
+        missed = {r[:2] for r in audited if r[2] < r[3]}
+        if missed <= done:
             raise RuntimeError(f"audit: {figures['found']} of {figures['true']} links after comparing all pairs")
+        # At most AUDITED labels: those of the audited nodes.
+        anew = nodes.where(F.struct("label", F.octet_length("vec")).isin([F.struct(F.lit(a), F.lit(b)) for a, b in sorted(missed - done)]))
+        done |= missed
+        anew = anew.select(F.xxhash64("label", F.octet_length("vec")).alias("block"), "node", "n", "vec")
+        pairs = scratch.table(_compare_all(anew, scratch, kind, threshold, forest=True), "pairs")
+        degree = scratch.table(degree.join(anew.select("node"), "node", "left_anti").unionByName(_summed(pairs)), "degrees")
+        kept = kept.unionByName(pairs.where("dst is not null").select(F.col("src").alias("a"), F.col("dst").alias("b")))
+        parts = scratch.table(connected_components(kept, scratch), "components")
     rooted = scratch.table(nodes.join(degree, "node", "left").join(parts, "node", "left").select(
         "h1", "h2", "least", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("root")), "rooted")
     least = scratch.table(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")

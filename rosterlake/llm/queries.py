@@ -69,7 +69,8 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)[0]
+    found, audit = embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+    return found.select("*", F.lit(audit["found"]).cast("long").alias("audit_found"), F.lit(audit["true"]).cast("long").alias("audit_true"))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
