@@ -18,6 +18,8 @@ group grows with the corpus.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,35 @@ ENDPOINT = r"https?://[A-Za-z0-9.-]+"
 
 
 EMPTY = "cast(array() as array<struct<kind:string,start:long,end:long,value:int>>)"
+#: Array elements folded at a time; a longer array is folded by runs of them.
+RUN = 256
+#: Code points in a block of a text that is cut at many places.
+BLOCK = 512
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _before(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array of longs that isn't empty, the fold of all
+    before it, from 0. An array grows by copying, so runs of ``RUN`` elements
+    are folded each for itself and then moved by the fold of the runs before."""
+    def fold(items: Column, value: Callable[[Column], Column]) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<long>)").alias("out"))
+        return F.aggregate(items, start, lambda acc, x: F.struct(
+            step(acc["at"], value(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    def moved(runs: Column) -> Column:
+        return _let(fold(runs, lambda r: r["at"])["out"], lambda bases: F.flatten(F.zip_with(
+            runs, bases, lambda run, base: F.transform(run["out"], lambda x: step(base, x)))))
+
+    def whole(v: Column) -> Column:
+        number = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int"))
+        return _let(F.transform(number, lambda k: fold(F.slice(v, k * RUN + 1, RUN), lambda x: x)), moved)
+
+    return _let(values, whole)
 
 
 def _with_spans(df: DataFrame, text: str, out: str, kind: str, pattern: str, value_group: int = 0) -> DataFrame:
@@ -52,12 +83,13 @@ def _with_spans(df: DataFrame, text: str, out: str, kind: str, pattern: str, val
     df = df.withColumn("__v", F.when(some, value)).withColumn("__g", F.when(some, F.split(F.col(text), pattern, -1)))
     steps = F.zip_with(F.slice("__g", 1, F.size("__m")), F.arrays_zip(F.col("__m").alias("m"), F.col("__v").alias("v")),
                        lambda gap, m: F.struct(F.char_length(gap).alias("gap"), F.char_length(m["m"]).alias("n"), F.char_length(m["v"]).alias("v")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr(EMPTY).alias("out"))
-    walked = F.aggregate(steps, start, lambda acc, s: F.struct(
-        (acc["at"] + s["gap"] + s["n"]).alias("at"),
-        F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), (acc["at"] + s["gap"]).cast("long").alias("start"),
-                                              (acc["at"] + s["gap"] + s["n"]).cast("long").alias("end"), s["v"].cast("int").alias("value")))).alias("out")))
-    spans = F.when(some, walked["out"]).otherwise(F.expr(EMPTY))
+
+    def placed(steps: Column) -> Column:
+        at = _before(F.transform(steps, lambda s: (s["gap"] + s["n"]).cast("long")), lambda a, b: a + b)
+        return F.zip_with(steps, at, lambda s, a: F.struct(
+            F.lit(kind).alias("kind"), (a + s["gap"]).alias("start"), (a + s["gap"] + s["n"]).alias("end"), s["v"].cast("int").alias("value")))
+
+    spans = F.when(some, _let(steps, placed)).otherwise(F.expr(EMPTY))
     if value_group:
         spans = F.filter(spans, lambda s: s["value"] >= MIN_VALUE)
     return df.withColumn(out, spans).drop("__m", "__v", "__g")
@@ -118,30 +150,39 @@ def scan(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> Dat
     linked weak candidates), each (kind, start, end) in code points.
 
     A null text is empty and has none. Repeated rows are scanned each for
-    itself: a written row number joins the parts, not the id. Without
-    ``keep_text`` the text is left out and not written.
+    itself: a written row number joins the parts, not the id. Other columns
+    stay whatever they are called; those named ``found`` or ``spans`` are
+    replaced. Without ``keep_text`` the text is left out and not written.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
-    first = base_findings(docs, text_col)
-    first = first if keep_text else first.drop(text_col)
-    first = scratch.table(first.withColumn("__row", F.monotonically_increasing_id()), "findings")
-    parts = first.where("size(parts) > 0").select("__row", F.explode("parts").alias("p")).select("__row", "p.kind", "p.start", "p.end")
-    weak = linked_candidates(parts, "__row").groupBy("__row").agg(F.collect_list(F.struct(F.lit("weak").alias("kind"), "start", "end")).alias("weak"))
+    held = [c for c in docs.columns if c not in ("found", "spans") and (keep_text or c != text_col)]
+    # Columns of the caller are fields of one struct, under numbers.
+    doc = F.struct(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(held)])
+    first = scratch.table(base_findings(docs.select(doc.alias("doc"), F.col(f"`{text_col}`").alias("text"))).drop("text"), "findings")
+    parts = first.where("size(parts) > 0").select("doc.row", F.explode("parts").alias("p")).select("row", "p.kind", "p.start", "p.end")
+    weak = linked_candidates(parts, "row").groupBy("row").agg(F.collect_list(F.struct(F.lit("weak").alias("kind"), "start", "end")).alias("weak"))
     weak = scratch.table(weak, "weak")
-    both = first.join(weak, "__row", "left")
+    both = first.join(weak, first["doc.row"] == weak["row"], "left")
     spans = F.when(F.col("weak").isNull(), F.col("found")).otherwise(_ordered(F.concat("found", F.coalesce("weak", F.col("found")))))
-    return both.withColumn("spans", spans).drop("__row", "parts", "weak")
+    return both.select(*[F.col(f"doc.c{k}").alias(c) for k, c in enumerate(held)], "found", spans.alias("spans"))
 
 
 def mask(text: str, spans: str, cover: str = "[REDACTED]") -> Column:
     """The text with every span (united where they overlap) replaced."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def step(acc, s):
-        gap = F.substring(F.col(text), acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(gap, F.lit(cover)))).otherwise(acc["out"]).alias("out"))
-
-    walked = F.aggregate(F.col(spans), start, step, lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substring(F.col(text), acc["at"].cast("int") + 1, F.char_length(F.col(text)))))
-    return F.when(F.size(spans) > 0, walked).otherwise(F.col(text))
+    def piece(blocks: Column, start: Column, end: Column) -> Column:
+        # A substring counts from the start of its text, so it is taken of the blocks it lies in.
+        first = F.floor(start / BLOCK).cast("int")
+        own = F.array_join(F.slice(blocks, first + 1, F.floor(end / BLOCK).cast("int") - first + 1), "")
+        return own.substr((start - first * BLOCK + 1).cast("int"), (end - start).cast("int"))
+
+    def covered(e: Column) -> Column:
+        # ``at`` is where the spans before end; a span that starts earlier lies in what is covered.
+        out = F.zip_with(F.col(spans), e["at"], lambda s, at: F.when(
+            s["start"] >= at, F.concat(piece(e["blocks"], at, s["start"]), F.lit(cover))).otherwise(""))
+        last = F.greatest(F.element_at(e["at"], -1), F.element_at(F.col(spans), -1)["end"])
+        return F.concat(F.array_join(out, ""), piece(e["blocks"], last, e["length"]))
+
+    blocks = F.regexp_extract_all(F.col(text), F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
+    at = _before(F.transform(F.col(spans), lambda s: s["end"]), F.greatest)
+    env = F.struct(blocks.alias("blocks"), at.alias("at"), F.char_length(F.col(text)).cast("long").alias("length"))
+    return F.when(F.size(spans) > 0, _let(env, covered)).otherwise(F.col(text))
