@@ -132,25 +132,32 @@ class PieceEncoder:
         h = (sums[end] - sums[start]) * powers(_INVERSE, n)[start] + (end - start).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
         h = (h ^ (h >> np.uint64(29))) | np.uint64(1)
+        ids, size = self._ids(data, h, start, end)
+        before = np.cumsum(size) - size
+        row = np.searchsorted(start, at)
+        total = np.concatenate([before, [len(ids)]])
+        return ids, np.diff(total[row])
+
+    def _ids(self, data: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after another, and how many each has."""
         entry = self._probe(h)
         new = np.flatnonzero(entry < 0)
         if len(new):
             distinct, first, back = np.unique(h[new], return_index=True, return_inverse=True)
             if self.known + len(distinct) > KNOWN_LIMIT:
+                if len(h) > KNOWN_LIMIT:
+                    # So many pieces may be more than the table holds; part by part they aren't.
+                    parts = [self._ids(data, *(x[p : p + KNOWN_LIMIT] for x in (h, start, end))) for p in range(0, len(h), KNOWN_LIMIT)]
+                    return np.concatenate([ids for ids, _ in parts]), np.concatenate([size for _, size in parts])
                 self._clear()
                 new = np.arange(len(h))
                 distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
-            if len(distinct) > KNOWN_LIMIT:
-                raise ValueError("a chunk has more distinct pieces than the table holds")
-            raw, base = data.tobytes(), self.known
-            self._learn(distinct, [raw[a:b].decode() for a, b in zip(start[new[first]].tolist(), end[new[first]].tolist(), strict=True)])
+            raw, base, at = data[start[0] : end[-1]].tobytes(), self.known, start[0]
+            self._learn(distinct, [raw[a:b].decode() for a, b in zip((start[new[first]] - at).tolist(), (end[new[first]] - at).tolist(), strict=True)])
             entry[new] = base + back
         size = self.size[entry].astype(np.int64)
         before = np.cumsum(size) - size
-        ids = self.store[np.repeat(self.begin[entry] - before, size) + np.arange(int(size.sum()))]
-        row = np.searchsorted(start, at)
-        total = np.concatenate([before, [len(ids)]])
-        return ids, np.diff(total[row])
+        return self.store[np.repeat(self.begin[entry] - before, size) + np.arange(int(size.sum()))], size
 
 
 @functools.lru_cache(maxsize=2)
