@@ -1,14 +1,16 @@
 """Language identification by error-correcting output codes.
 
-Every language has a codeword of ``BITS`` bits. For each bit a binary n-gram
+Every language has a codeword of ``BITS`` bits, or of ``BITS_PER_DOUBLING`` for
+each doubling of their number where that is more. For each bit a binary n-gram
 classifier separates the languages that have the bit from those that don't:
 its weights are log-odds of n-gram presence, from document counts over all
 training rows. A text gets a margin per bit; decoding weighs each bit by the
 logistic loss of its margin and takes the codeword of least total loss. A
 small difference to the second codeword flags the text as ambiguous.
 
-What reaches the driver is a table of counts, languages by buckets: at most
-``MAX_LANGUAGES * 2**HASH_BITS`` rows, however large the corpus is.
+What reaches the driver is the languages and a table of counts, languages by
+buckets, of ``GROUP`` languages at a time, however large the corpus is: a bit's
+classifier needs sums over languages only. Any number of languages is learned.
 """
 
 from __future__ import annotations
@@ -22,27 +24,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rosterlake.llm.common import append_struct, row_chunks, text_bytes
+from rosterlake.llm.common import Scratch, append_struct, row_chunks, text_bytes
 from rosterlake.llm.ngrams import grams_per_row
 
 SIZES = (1, 2, 3)
 HASH_BITS = 13
 BITS = 15
-MAX_LANGUAGES = 256
+BITS_PER_DOUBLING = 4
+GROUP = 256
+#: Codewords of up to so many languages are the best of many draws.
+COMPARED = 512
 AMBIGUOUS = 0.6
 UNDETERMINED = "und"
 
 KIND = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
 
 
-def codewords(n: int, bits: int = BITS, seed: int = 5) -> np.ndarray:
+def codewords(n: int, bits: int | None = None, seed: int = 5) -> np.ndarray:
     """n rows of +1 and -1, far apart in Hamming distance, every column with
-    both signs (for n > 1): the best of many random draws."""
+    both signs (for n > 1): the best of many random draws. Beyond ``COMPARED``
+    rows the first draw of distinct rows does: rows get longer with n."""
+    bits = bits or max(BITS, BITS_PER_DOUBLING * (n - 1).bit_length())
     rng, best, far = np.random.default_rng(seed), np.ones((max(n, 1), bits)), -1
     for _ in range(400 if n > 1 else 0):
         code = rng.choice([-1.0, 1.0], (n, bits))
         if (np.abs(code.sum(axis=0)) == n).any():
             continue
+        if n > COMPARED:
+            if len(np.unique(code, axis=0)) == n:
+                return code
+            continue
         apart = (bits - code @ code.T) / 2
         least = (apart + np.eye(n) * bits).min()
         if least > far:
@@ -97,6 +108,13 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for name, total in seen.items():
+                used = np.flatnonzero(total)
+                yield pa.RecordBatch.from_pydict({"lang": [name] * len(used), "bucket": pa.array(used, pa.int32()), "n": pa.array(total[used].astype(np.int64))})
+            seen.clear()
+
         for b in batches:
             lang = np.array(b.column(0).to_pylist(), dtype=object)
             for i, j, block in _presence(b.column(1)):
@@ -105,32 +123,34 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
                     total = seen.setdefault(name, np.zeros((1 << HASH_BITS) + 1))
                     total[:-1] += own.sum(axis=0)
                     total[-1] += len(own)
-        for name, total in seen.items():
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pydict({"lang": [name] * len(used), "bucket": pa.array(used, pa.int32()), "n": pa.array(total[used].astype(np.int64))})
+                if len(seen) > GROUP:
+                    yield from counted()
+        yield from counted()
 
     counts = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    counts = counts.toPandas()
-    languages = sorted(counts["lang"].unique())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not languages:
-        return LanguageModel([], np.ones((0, BITS)), np.zeros((1 << HASH_BITS, BITS), np.float32), np.zeros(BITS))
-    n = np.zeros((len(languages), (1 << HASH_BITS) + 1))
-    n[counts["lang"].map({x: k for k, x in enumerate(languages)}), counts["bucket"]] = counts["n"]
-    docs, grams = n[:, -1], n[:, :-1]
-    code = codewords(len(languages))
-    weights, bias = np.zeros((1 << HASH_BITS, BITS), np.float32), np.zeros(BITS)
-    for b in range(BITS):
+    counts = Scratch(labelled.sparkSession, "languages").table(counts, "counts")
+    # The last place counts a language's rows.
+    languages = sorted(r[0] for r in counts.where(F.col("bucket") == 1 << HASH_BITS).select("lang").collect())
+    code = codewords(len(languages)) if languages else np.ones((0, BITS))
+    bits = code.shape[1]
+    weights, bias = np.zeros((1 << HASH_BITS, bits), np.float32), np.zeros(bits)
+    sums = {s: np.zeros((1 << HASH_BITS, bits)) for s in (1, -1)}
+    for first in range(0, len(languages), GROUP):
+        own = languages[first : first + GROUP]
+        part = counts.where(F.col("lang").between(own[0], own[-1])).toPandas()
+        n = np.zeros((len(own), (1 << HASH_BITS) + 1))
+        n[part["lang"].map({x: k for k, x in enumerate(own)}), part["bucket"]] = part["n"]
         # Every language counts alike: rates are averaged over the languages
         # of a side, so a frequent language doesn't drown a rare one.
-        rate = (grams + 0.5) / (docs[:, None] + 1)
-        sides = [rate[code[:, b] == s] for s in (1, -1)]
-        if not all(len(s) for s in sides):
+        rate = (n[:, :-1] + 0.5) / (n[:, -1:] + 1)
+        for s, total in sums.items():
+            total += rate.T @ (code[first : first + GROUP] == s)
+    for b in range(bits if languages else 0):
+        yes, no = ((code[:, b] == s).sum() for s in (1, -1))
+        if not (yes and no):
             bias[b] = 3.0 * code[0, b]
             continue
-        yes, no = (s.mean(axis=0) for s in sides)
-        weights[:, b] = np.log(yes / no)
+        weights[:, b] = np.log((sums[1][:, b] / yes) / (sums[-1][:, b] / no))
     return LanguageModel(languages, code, weights, bias)
 
 
