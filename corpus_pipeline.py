@@ -43,13 +43,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     smallest doc_id. Rows of that id that differ only in columns other than
     id and text are copies too."""
     scratch = Scratch(spark, "pipeline-simhash")
-    source = docs.select(*COLUMNS)
-    found = simhash.near_duplicates(source, shingle=4, max_bits=4)
-    # A group's document by (id, fingerprint); null ids come last.
-    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "fp")
-    first = found.groupBy("root").agg(F.min(order).alias("first"))
+    marked = simhash.add_fingerprints(docs.select(*COLUMNS), shingle=4).withColumn("__fp", F.col("simhash.fingerprint")).drop("simhash")
+    marked = scratch.table(marked, "marked")
+    prints = marked.select("doc_id", F.col("__fp").alias("fp"))
+    classed = simhash.classes(prints, scratch, max_bits=4)
+    # A group's document by (id, fingerprint), null ids last. Ids are reduced to
+    # one a fingerprint before fingerprints meet their group.
+    least = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id")).alias("least"))
+    order = F.struct("least.unknown", "least.doc_id", "fp")
+    first = least.join(classed, "fp").groupBy("root").agg(F.min(order).alias("first"))
     first = scratch.table(first.select("first.doc_id", "first.fp"), "first")
-    marked = simhash.add_fingerprints(source, shingle=4).withColumn("__fp", F.col("simhash.fingerprint")).drop("simhash")
     on = marked["doc_id"].eqNullSafe(first["doc_id"]) & (marked["__fp"] == first["fp"])
     kept = scratch.table(marked.join(first, on, "left_semi"), "kept")
     # Only rows whose id occurs again are compared whole.
