@@ -36,5 +36,5 @@ def AS_OF_COL():  # noqa: N802
 
 def load_all() -> dict[str, tuple[QueryFn, str | None]]:
     """Import every module that registers queries and return the registry."""
-    from . import change_queries, collation_queries, queries, repeated_queries  # noqa: F401
+    from . import bucket_queries, change_queries, collation_queries, queries, repeated_queries  # noqa: F401
     return REGISTRY

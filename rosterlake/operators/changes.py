@@ -7,7 +7,9 @@ frame of requests. Requests carry ``request_id``, ``request_ts``,
 * ``accepted``: the requests that take effect, with the rows they write;
 * ``rejected``: ``(request_id, reason)``, the reason being the *first*
   failing check in the reference's order;
-* ``states``: the new state of every relation the operator changes.
+* ``states``: the new state of every relation the operator changes;
+* ``deltas``: the same change as the ids it touches and the rows that stand for
+  them afterwards, so a store need not write what stays (``sources.buckets``).
 
 Checks are joins and column predicates folded by ``first_failing``; nothing
 is evaluated per row in Python and nothing loops on the driver. Within a
@@ -25,7 +27,8 @@ id (customer 5 and trainer 5 are different principals).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -49,14 +52,24 @@ STAFF = ("trainer", "admin")
 INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
 
 
+@dataclass(frozen=True)
+class Delta:
+    """All rows of ``ids`` (a column ``id``, repeats allowed) are replaced by
+    ``rows``, whose ids are among them."""
+
+    ids: DataFrame
+    rows: DataFrame
+
+
 class Change:
     """Result of a change operator. Its parts may be given as zero-argument
     callables: inserts assign ids (a range-partitioned checkpoint plus a count
     job), merges settle claims in rounds, and a caller that doesn't read a
     part should not pay for it. Each is computed once, on first access."""
 
-    def __init__(self, accepted, rejected, states=None):
+    def __init__(self, accepted, rejected, states=None, deltas=None):
         self._accepted, self._rejected, self._states = accepted, rejected, states if states is not None else {}
+        self._deltas = deltas if deltas is not None else {}
 
     @cached_property
     def rejected(self) -> DataFrame:
@@ -70,6 +83,10 @@ class Change:
     def states(self) -> dict[str, DataFrame]:
         return self._states() if callable(self._states) else self._states
 
+    @cached_property
+    def deltas(self) -> dict[str, Delta]:
+        return self._deltas() if callable(self._deltas) else self._deltas
+
 
 # ------------------------------------------------------------------ helpers
 
@@ -105,6 +122,24 @@ def _reduce(big: DataFrame, small: DataFrame, pairs: Sequence[tuple[str, str]])
     return big.join(keys, cond, "left_semi")
 
 
+def _replaced(state: DataFrame, ids: DataFrame, change: Callable[[DataFrame], DataFrame]) -> Delta:
+    """The rows of ``ids`` as ``change`` leaves them."""
+    return Delta(ids, change(_reduce(state, ids, [("id", "id")])))
+
+
+def _without(state: DataFrame, gone: DataFrame, column: str = "id") -> DataFrame:
+    return state.join(gone, C(column) == C("del_id"), "left_anti")
+
+
+def _removed(state: DataFrame, gone: DataFrame, column: str = "id") -> Delta:
+    """The rows whose ``column`` is among ``gone`` go. Where ids repeat, other
+    rows of their ids stay."""
+    ids = gone.select(C("del_id").alias("id"))
+    if column != "id":
+        ids = _reduce(state.select("id", column), gone, [("del_id", column)]).select("id")
+    return _replaced(state, ids, lambda held: _without(held, gone, column))
+
+
 def _flag(df: DataFrame, other: DataFrame, pairs: Sequence[tuple[str, str]], name: str,
           by: DataFrame | None = None) -> DataFrame:
     """Left-join a boolean ``name``: does ``other`` hold a row whose columns
@@ -196,7 +231,8 @@ def _insert_change(accepted: DataFrame, rejected: DataFrame, state: DataFrame, r
         if "v" not in memo:
             memo["v"] = _insert(accepted, state, schema, floor, **cols)
         return memo["v"]
-    return Change(lambda: build()[0], rejected, lambda: {relation: build()[1]})
+    return Change(lambda: build()[0], rejected, lambda: {relation: build()[1]},
+                  lambda: {relation: Delta(build()[0].select("id"), conform(build()[0], schema))})
 
 
 def _present(f: str) -> Column:
@@ -245,6 +281,14 @@ def apply_patches(state: DataFrame, accepted: DataFrame, fields: Sequence[str],
     return j.select(*cols)
 
 
+def _patch_change(accepted: DataFrame, rejected: DataFrame, relation: str, state: DataFrame, fields: Sequence[str],
+                  touch: str | None = None) -> Change:
+    def changed(rows):
+        return apply_patches(rows, accepted, fields, touch)
+    return Change(accepted.select(RID, "id", "present"), rejected, {relation: changed(state)},
+                  lambda: {relation: _replaced(state, accepted.select("id"), changed)})
+
+
 def _deletes(requests: DataFrame, target: DataFrame, checks, not_found: str = "not_found",
              early: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Shared delete flow. ``checks(j)`` gives the ordered checks after the
@@ -266,6 +310,12 @@ def _deletes(requests: DataFrame, target: DataFrame, checks, not_found: str = "n
     return accepted.select(RID, TS, "id"), rejected, accepted.select(C("id").alias("del_id")).distinct()
 
 
+def _removal(accepted: DataFrame, rejected: DataFrame, t: Tables, gone: DataFrame, by: dict[str, str]) -> Change:
+    """``gone`` leaves every relation of ``by``, found there in its column."""
+    return Change(accepted, rejected, {rel: _without(getattr(t, rel), gone, col) for rel, col in by.items()},
+                  lambda: {rel: _removed(getattr(t, rel), gone, col) for rel, col in by.items()})
+
+
 # ------------------------------------------------------------------ M8
 
 def admit_bookings(requests: DataFrame, t: Tables) -> Change:
@@ -340,9 +390,12 @@ def change_booking_status(requests: DataFrame, t: Tables) -> Change:
     accepted, rejected = _split(j, reason)
     last = accepted.groupBy(C("booking_id").alias("u_bid")).agg(
         F.max_by(C("status"), F.struct(C(TS), C(RID))).alias("new_status"))
-    state = (t.booking.join(last, C("id") == C("u_bid"), "left")
-             .withColumn("status", F.coalesce(C("new_status"), C("status"))).select(*t.booking.columns))
-    return Change(accepted.select(RID, "booking_id", "status"), rejected, {"booking": state})
+
+    def changed(state):
+        return (state.join(last, C("id") == C("u_bid"), "left")
+                .withColumn("status", F.coalesce(C("new_status"), C("status"))).select(*t.booking.columns))
+    return Change(accepted.select(RID, "booking_id", "status"), rejected, {"booking": changed(t.booking)},
+                  lambda: {"booking": _replaced(t.booking, accepted.select(C("booking_id").alias("id")), changed)})
 
 
 # ------------------------------------------------------------------ M13
@@ -437,8 +490,7 @@ def patch_sessions(requests: DataFrame, t: Tables) -> Change:
         ("not_null", _named_null("title", "start_time")),
     ])
     accepted, rejected = _split(j, reason)
-    state = apply_patches(t.session, accepted, SESSION_PATCH_FIELDS, touch="updated_at")
-    return Change(accepted.select(RID, "id", "present"), rejected, {"session": state})
+    return _patch_change(accepted, rejected, "session", t.session, SESSION_PATCH_FIELDS, touch="updated_at")
 
 
 def patch_progress(requests: DataFrame, t: Tables) -> Change:
@@ -457,8 +509,7 @@ def patch_progress(requests: DataFrame, t: Tables) -> Change:
     ])
     accepted, rejected = _split(j, reason)
     accepted = accepted.withColumn("duration", F.trim(C("duration")).try_cast("int"))
-    state = apply_patches(t.progress, accepted, PROGRESS_PATCH_FIELDS)
-    return Change(accepted.select(RID, "id", "present"), rejected, {"progress": state})
+    return _patch_change(accepted, rejected, "progress", t.progress, PROGRESS_PATCH_FIELDS)
 
 
 def patch_reviews(requests: DataFrame, t: Tables) -> Change:
@@ -476,8 +527,7 @@ def patch_reviews(requests: DataFrame, t: Tables) -> Change:
     ])
     accepted, rejected = _split(j, reason)
     accepted = accepted.withColumn("rating_score", rating_value(r))
-    state = apply_patches(t.reviews, accepted, REVIEW_PATCH_FIELDS)
-    return Change(accepted.select(RID, "id", "present"), rejected, {"reviews": state})
+    return _patch_change(accepted, rejected, "reviews", t.reviews, REVIEW_PATCH_FIELDS)
 
 
 # ------------------------------------------------------------------ deletes M7, M12, M15, M18
@@ -501,9 +551,7 @@ def delete_sessions(requests: DataFrame, t: Tables) -> Change:
                 ("not_owner", ~_is_admin() & ~_is_owner("trainer", "trainer_id")),
                 ("referenced", C("referenced"))]
     accepted, rejected, gone = _deletes(requests, target, checks, early=("forbidden",))
-    session = t.session.join(gone, C("id") == C("del_id"), "left_anti")
-    booking = t.booking.join(gone, C("session_id") == C("del_id"), "left_anti")
-    return Change(accepted, rejected, {"session": session, "booking": booking})
+    return _removal(accepted, rejected, t, gone, {"session": "id", "booking": "session_id"})
 
 
 def delete_progress(requests: DataFrame, t: Tables) -> Change:
@@ -511,7 +559,7 @@ def delete_progress(requests: DataFrame, t: Tables) -> Change:
     def checks(j):
         return [("forbidden", ~_is_admin() & ~_is_owner("customer", "member_id"))]
     accepted, rejected, gone = _deletes(requests, t.progress.select("id", "member_id"), checks)
-    return Change(accepted, rejected, {"progress": t.progress.join(gone, C("id") == C("del_id"), "left_anti")})
+    return _removal(accepted, rejected, t, gone, {"progress": "id"})
 
 
 def delete_reviews(requests: DataFrame, t: Tables) -> Change:
@@ -519,7 +567,7 @@ def delete_reviews(requests: DataFrame, t: Tables) -> Change:
     def checks(j):
         return [("forbidden", ~_is_admin() & ~_is_owner("customer", "member_id"))]
     accepted, rejected, gone = _deletes(requests, t.reviews.select("id", "member_id"), checks)
-    return Change(accepted, rejected, {"reviews": t.reviews.join(gone, C("id") == C("del_id"), "left_anti")})
+    return _removal(accepted, rejected, t, gone, {"reviews": "id"})
 
 
 def delete_users(requests: DataFrame, t: Tables, mode: str = "restrict") -> Change:
@@ -546,11 +594,10 @@ def delete_users(requests: DataFrame, t: Tables, mode: str = "restrict") -> Chan
     def checks(j):
         return [("forbidden", ~_is_admin()), ("referenced", C("referenced"))]
     accepted, rejected, gone = _deletes(requests, target, checks, early=("forbidden",))
-    states = {"users": t.users.join(gone, C("id") == C("del_id"), "left_anti")}
+    by = {"users": "id"}
     if mode == "cascade":
-        for rel in ("booking", "progress", "reviews"):
-            states[rel] = getattr(t, rel).join(gone, C("member_id") == C("del_id"), "left_anti")
-    return Change(accepted, rejected, states)
+        by |= dict.fromkeys(("booking", "progress", "reviews"), "member_id")
+    return _removal(accepted, rejected, t, gone, by)
 
 
 # ------------------------------------------------------------------ merges M16, M17
@@ -569,7 +616,8 @@ def _merge(requests: DataFrame, state: DataFrame, relation: str, fields: Sequenc
     reason = first_failing([("forbidden", ~allowed), ("not_found", ~C("exists"))])
     accepted, rejected = _split(j, reason)
     if not unique_email:
-        return Change(accepted.select(RID, "id"), rejected, {relation: _merged(state, accepted, fields)})
+        return Change(accepted.select(RID, "id"), rejected, {relation: _merged(state, accepted, fields)},
+                      lambda: {relation: _replaced(state, accepted.select("id"), lambda held: _merged(held, accepted, fields))})
     memo: dict = {}
 
     def settled() -> tuple[DataFrame, DataFrame]:
@@ -581,7 +629,8 @@ def _merge(requests: DataFrame, state: DataFrame, relation: str, fields: Sequenc
             memo["rejected"] = rejected.unionByName(lost.withColumn("reason", F.lit("duplicate_email")))
         return memo["accepted"], memo["rejected"]
     return Change(lambda: settled()[0].select(RID, "id"), lambda: settled()[1],
-                  lambda: {relation: _merged(state, settled()[0], fields)})
+                  lambda: {relation: _merged(state, settled()[0], fields)},
+                  lambda: {relation: _replaced(state, settled()[0].select("id"), lambda held: _merged(held, settled()[0], fields))})
 
 
 def merge_user_profiles(requests: DataFrame, t: Tables) -> Change:
@@ -631,7 +680,7 @@ def register_customers(requests: DataFrame, t: Tables) -> Change:
     ch = _register(requests, t.users, USERS, [], True,
                    dict(nama=C("nama"), email=C("email"), propinsi=js_or("propinsi", F.lit("")),
                         kota=js_or("kota", F.lit("")), created_at=C(TS)), t.floor("users"))
-    return Change(lambda: ch.accepted, ch.rejected, lambda: {"users": ch.states["state"]})
+    return Change(lambda: ch.accepted, ch.rejected, lambda: {"users": ch.states["state"]}, lambda: {"users": ch.deltas["state"]})
 
 
 def register_trainers(requests: DataFrame, t: Tables, unique_email: bool = True) -> Change:
@@ -640,11 +689,11 @@ def register_trainers(requests: DataFrame, t: Tables, unique_email: bool = True)
     ch = _register(requests, t.trainer, TRAINER, [], unique_email,
                    dict(nama=C("nama"), email=C("email"), spesialisasi=js_or("spesialisasi", F.lit("")),
                         propinsi=js_or("propinsi", F.lit("")), kota=js_or("kota", F.lit(""))), t.floor("trainer"))
-    return Change(lambda: ch.accepted, ch.rejected, lambda: {"trainer": ch.states["state"]})
+    return Change(lambda: ch.accepted, ch.rejected, lambda: {"trainer": ch.states["state"]}, lambda: {"trainer": ch.deltas["state"]})
 
 
 def register_admins(requests: DataFrame, t: Tables, unique_email: bool = True) -> Change:
     """M4: admin actor only -> nama, email, password -> insert."""
     ch = _register(requests, t.admin, ADMIN, [("forbidden", ~_is_admin())], unique_email,
                    dict(nama=C("nama"), email=C("email")), t.floor("admin"))
-    return Change(lambda: ch.accepted, ch.rejected, lambda: {"admin": ch.states["state"]})
+    return Change(lambda: ch.accepted, ch.rejected, lambda: {"admin": ch.states["state"]}, lambda: {"admin": ch.deltas["state"]})

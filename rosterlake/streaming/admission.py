@@ -9,6 +9,9 @@ the store as of the previous version and published as the next one:
 * patch, status-change, merge and delete operators replace the relations
   they change.
 
+A store of versions (``sources.sinks``) writes a changed relation whole; a store
+of id buckets (``sources.buckets``, ``buckets=True``) writes the touched buckets.
+
 The streaming checkpoint (on shared storage) and the manifest, which names
 each writer's last epoch, give exactly-once publication: a replayed epoch is
 found there before anything is evaluated, and writes nothing. Inside one micro-batch the batch rules apply (order by
@@ -26,6 +29,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import changes as M
 from ..sources.schema import Tables
+from ..sources.buckets import change_buckets, published_unit, read_buckets
 from ..sources.sinks import publish, read_manifest, read_published
 
 _BASE = "request_id long, request_ts timestamp_ntz, actor_role string, actor_id long"
@@ -73,9 +77,16 @@ OPS: dict[str, StreamOp] = {
 REQUEST_SCHEMA = OPS["admit_bookings"].schema
 
 
-def change_batch(spark: SparkSession, op: str, store: str, rejected_dir: str, source: str):
+def change_batch(spark: SparkSession, op: str, store: str, rejected_dir: str, source: str, buckets: bool = False):
     spec = OPS[op]
 
+    def apply_to_buckets(batch: DataFrame, epoch_id: int) -> None:
+        if epoch_id <= published_unit(spark, store, source):
+            return
+        change = spec.apply(batch, read_buckets(spark, store))
+        change.rejected.write.mode("overwrite").parquet(f"{rejected_dir}/epoch={epoch_id}")
+        change_buckets(spark, store, change.deltas, writer=source, unit=epoch_id)
+
     def apply(batch: DataFrame, epoch_id: int) -> None:
         now = read_manifest(spark, store)
         if now is not None and epoch_id <= now.writers.get(source, -1):
@@ -88,19 +99,20 @@ def change_batch(spark: SparkSession, op: str, store: str, rejected_dir: str, so
             publish(spark, store, added={spec.insert_into: change.accepted}, writer=source, unit=epoch_id)
         else:
             publish(spark, store, changed=change.states, writer=source, unit=epoch_id)
-    return apply
+    return apply_to_buckets if buckets else apply
 
 
 def start_change_stream(spark: SparkSession, op: str, request_dir: str, store: str, rejected_dir: str,
                         checkpoint: str, max_files_per_trigger: int | None = None,
-                        available_now: bool = True) -> StreamingQuery:
+                        available_now: bool = True, buckets: bool = False) -> StreamingQuery:
     """Apply the change operator ``op`` to request files arriving under
     ``request_dir``; rejected requests go to ``rejected_dir/epoch=<n>``. The
-    streaming checkpoint location names the writer in the manifest."""
+    streaming checkpoint location names the writer in the manifest. ``buckets``:
+    ``store`` is one of id buckets."""
     reader = spark.readStream.schema(OPS[op].schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    apply = change_batch(spark, op, store, rejected_dir, source=f"{op}@{checkpoint}")
+    apply = change_batch(spark, op, store, rejected_dir, source=f"{op}@{checkpoint}", buckets=buckets)
     writer = (reader.parquet(request_dir).writeStream.foreachBatch(apply)
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
