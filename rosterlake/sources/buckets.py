@@ -6,6 +6,11 @@ bounded size, and a batch that touches k ids writes at most k buckets however
 large the relation is. (``sinks.publish`` writes a changed relation whole, but
 keeps every version as it was.)
 
+Every bucket is a folder with a file, which costs the same however few rows it
+holds. So ``width`` is the least: a relation whose ids would fill more than
+``BUCKETS`` of that width gets wider ones, up to ``WIDTH`` ids (or to ``width``,
+if that is more). The width of each relation is kept in the manifest.
+
 A change is written in three steps. The ids it replaces and the rows that stand
 for them go to ``_changes``, so the operator's plan runs once and before
 anything is overwritten. The touched buckets are written there too, whole: what
@@ -39,6 +44,8 @@ from .sinks import CLUSTER, MANIFEST, Manifest, committed_version, read_manifest
 
 # Ids a bucket: some tens of MB of parquet, and 100,000 buckets at 10^11 rows.
 WIDTH = 1 << 20
+# Buckets that a relation may have before narrower ones than WIDTH are widened.
+BUCKETS = 256
 
 
 def _stored_schema(name: str) -> T.StructType:
@@ -82,14 +89,24 @@ def _buckets_of(df: DataFrame) -> list[int]:
     return sorted(r[0] for r in df.select("bucket").distinct().collect())
 
 
-def _commit(spark: SparkSession, root: str, m: Manifest, width: int) -> None:
+def _commit(spark: SparkSession, root: str, m: Manifest, widths: Mapping[str, int]) -> None:
     rows = [("relation", n, list(m.folders.get(n, [])), m.high_water.get(n, 0)) for n in SCHEMAS]
-    rows += [("writer", w, [], u) for w, u in m.writers.items()] + [("layout", "width", [], width)]
+    rows += [("writer", w, [], u) for w, u in m.writers.items()] + [("layout", n, [], w) for n, w in widths.items()]
     spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{root}/_manifest/v={m.version}")
 
 
-def _width(spark: SparkSession, root: str, version: int) -> int:
-    return spark.read.schema(MANIFEST).parquet(f"{root}/_manifest/v={version}").filter("kind = 'layout'").first()["number"]
+def _widths(spark: SparkSession, root: str, version: int) -> dict[str, int]:
+    layout = spark.read.schema(MANIFEST).parquet(f"{root}/_manifest/v={version}").filter("kind = 'layout'").collect()
+    found = {r["name"]: r["number"] for r in layout}
+    # Roots written before relations had widths of their own have one, named "width".
+    return {name: found.get(name) or found["width"] for name in SCHEMAS}
+
+
+def _fitting(width: int, ends: tuple[int, int] | None) -> int:
+    """``width``, or more where ids from the least to the largest would fill
+    more than BUCKETS of it."""
+    span = ends[1] - ends[0] + 1 if ends else 0
+    return max(width, min(WIDTH, -(-span // BUCKETS)))
 
 
 def _mark(spark: SparkSession, root: str, version: int):
@@ -118,23 +135,26 @@ def _current(spark: SparkSession, root: str) -> Manifest:
     return m
 
 
-def _tops(frames: Mapping[str, DataFrame]) -> dict[str, int]:
-    """The largest id of every frame, in one job."""
-    each = [df.agg(F.max("id").alias("top")).select(F.lit(name).alias("name"), "top") for name, df in frames.items()]
-    return {r["name"]: r["top"] or 0 for r in reduce(DataFrame.unionByName, each).collect()} if each else {}
+def _ends(frames: Mapping[str, DataFrame]) -> dict[str, tuple[int, int] | None]:
+    """The least and the largest id of every frame, in one job."""
+    each = [df.agg(F.min("id").cast("long").alias("low"), F.max("id").cast("long").alias("top")).select(F.lit(name).alias("name"), "low", "top")
+            for name, df in frames.items()]
+    found = reduce(DataFrame.unionByName, each).collect() if each else []
+    return {r["name"]: None if r["top"] is None else (r["low"], r["top"]) for r in found}
 
 
 def create_buckets(spark: SparkSession, root: str, tables: Tables, width: int = WIDTH) -> None:
-    """Write every relation in buckets of ``width`` ids: version 0."""
+    """Write every relation in buckets of ``width`` ids or more: version 0."""
     if width < 1:
         raise ValueError("width is at least 1")
     if committed_version(spark, root) is not None:
         raise FileExistsError(f"bucketed relations exist under {root}")
+    ends = _ends(dict(tables.items()))
+    widths = {name: _fitting(width, ends[name]) for name in SCHEMAS}
     for name, df in tables.items():
-        _write(_gathered(_stored(df, name, width)), f"{root}/{name}", name)
-    tops = _tops({name: _load(spark, f"{root}/{name}", name) for name in SCHEMAS})
-    high = {name: max(tables.floor(name), top) for name, top in tops.items()}
-    _commit(spark, root, Manifest(0, {}, high), width)
+        _write(_gathered(_stored(df, name, widths[name])), f"{root}/{name}", name)
+    high = {name: max(tables.floor(name), ends[name][1] if ends[name] else 0) for name in SCHEMAS}
+    _commit(spark, root, Manifest(0, {}, high), widths)
 
 
 def read_buckets(spark: SparkSession, root: str) -> Tables:
@@ -165,10 +185,10 @@ def change_buckets(spark: SparkSession, root: str, deltas: Mapping[str, Delta],
     _complete(spark, root, m)
     if writer is not None and unit <= m.writers.get(writer, -1):
         return m.version
-    width, attempt = _width(spark, root, m.version), f"{root}/_changes/v={m.version + 1}-{uuid.uuid4().hex}"
+    widths, attempt = _widths(spark, root, m.version), f"{root}/_changes/v={m.version + 1}-{uuid.uuid4().hex}"
     folders, written = {}, {}
     for name, delta in deltas.items():
-        base = f"{attempt}/{name}"
+        base, width = f"{attempt}/{name}", widths[name]
         _stored(delta.rows, name, width).write.parquet(f"{base}/rows")
         rows = _load(spark, f"{base}/rows", name)
         delta.ids.select("id").unionByName(rows.select("id")).distinct().select("id", _bucket(width)).write.parquet(f"{base}/ids")
@@ -182,9 +202,9 @@ def change_buckets(spark: SparkSession, root: str, deltas: Mapping[str, Delta],
         fresh = held.join(ids.select("id"), "id", "left_anti").unionByName(rows).unionByName(marks)
         _write(_gathered(fresh), f"{base}/buckets", name)
         folders[name], written[name] = [f"{base}/buckets"], rows
-    high = dict(m.high_water) | {name: max(m.high_water.get(name, 0), top) for name, top in _tops(written).items()}
+    high = dict(m.high_water) | {name: max(m.high_water.get(name, 0), ends[1]) for name, ends in _ends(written).items() if ends}
     writers = dict(m.writers) | ({writer: unit} if writer is not None else {})
     new = Manifest(m.version + 1, folders, high, writers)
-    _commit(spark, root, new, width)
+    _commit(spark, root, new, widths)
     _complete(spark, root, new)
     return new.version
