@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.session import cut_lineage
+from ..plans.session import write_once
 from .ids import dense_positions
 
 C = F.col
@@ -55,7 +55,7 @@ def _jump(nodes: DataFrame) -> DataFrame:
         stepped = j.select(
             "pos", F.when(through, C("p_parent")).alias("parent"), F.when(through, C("only") & C("p_only")).otherwise(C("only")).alias("only"),
             F.when(C("p_granted") | C("only"), C("p_granted")).alias("granted"))
-        nodes = cut_lineage(nodes.where("granted is not null or parent is null").unionByName(stepped))
+        nodes = write_once(nodes.where("granted is not null or parent is null").unionByName(stepped))
     return nodes
 
 
@@ -63,7 +63,8 @@ def _round(open_: DataFrame, held: DataFrame) -> DataFrame:
     """The claims of ``open_(pos, row, key)`` that this round settles: (pos,
     row, key, granted). ``held(row, key)``: where each row is now."""
     now = held.select("row", C("key").alias("at"))
-    claims = _on(open_, now, "row", "at")
+    # Written: the holders ask it twice more for each row's claims.
+    claims = write_once(_on(open_, now, "row", "at"))
     leaving = claims.where(~C("key").eqNullSafe(C("at")))
     first = leaving.groupBy("row").agg(F.min("pos").alias("first"))
     claims = _on(claims, first, "row", "first")
@@ -72,7 +73,7 @@ def _round(open_: DataFrame, held: DataFrame) -> DataFrame:
     holders = (held.join(open_.select("key").distinct(), "key", "left_semi").select(C("key"), C("row").alias("holder"))
                .join(first.select(C("row").alias("holder"), C("first").alias("leaves")), "holder", "left")
                .join(second.select(C("row").alias("holder"), C("second").alias("again")), "holder", "left"))
-    claims = cut_lineage(_on(claims, holders, "key", "holder"))
+    claims = write_once(_on(claims, holders, "key", "holder"))
     stays = C("at").eqNullSafe(C("key")) & (C("first").isNull() | (C("pos") < C("first")))
     refused = C("holder").isNotNull() & (C("holder") != C("row")) & (C("leaves").isNull() | (C("pos") < C("leaves")))
     told = claims.select("pos", "row", "key", "first", "holder", "leaves", "again",
@@ -83,7 +84,7 @@ def _round(open_: DataFrame, held: DataFrame) -> DataFrame:
     nodes = heads.select("pos", C("leaves").alias("parent"), (C("again").isNull() | (C("again") > C("pos"))).alias("only"),
                          F.when(C("holder").isNull(), True).alias("granted"))
     known = told.where("granted is not null").select("pos", F.lit(None).cast("long").alias("parent"), F.lit(True).alias("only"), "granted")
-    settled = _jump(cut_lineage(nodes.unionByName(known))).where("granted is not null").select("pos", "granted")
+    settled = _jump(write_once(nodes.unionByName(known))).where("granted is not null").select("pos", "granted")
     return told.drop("granted").join(settled, "pos").select("pos", "row", "key", "granted")
 
 
@@ -95,20 +96,21 @@ def settle_claims(claims: DataFrame, holders: DataFrame, order: list[Column], re
     told = dense_positions(claims, order, name="pos")
     held = holders.where(C("key").isNotNull() & C("row").isNotNull())
     wanted = told.select("key").distinct()
-    shared = held.join(wanted, "key", "left_semi").groupBy("key").agg(F.countDistinct("row").alias("n")).where("n > 1").select("key")
+    ends = held.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("top"))
+    shared = write_once(ends.where("low <> top").select("key"))
     held = (held.join(told.select("row").distinct(), "row", "left_semi").unionByName(held.join(wanted, "key", "left_semi"))
             .groupBy("row").agg(F.min("key").alias("key")))
     told = told.select("pos", C(request).alias("request"), "row", "key")
     lost = told.join(shared, "key", "left_semi").select("pos", F.lit(False).alias("granted"))
-    open_ = told.join(shared, "key", "left_anti").select("pos", "row", "key")
+    open_ = write_once(told.join(shared, "key", "left_anti").select("pos", "row", "key"))
     # A shared key is nobody's: its rows can leave it, none can come.
-    held = cut_lineage(held.join(shared.withColumn("shared", F.lit(True)), "key", "left")
+    held = write_once(held.join(shared.withColumn("shared", F.lit(True)), "key", "left")
                        .select("row", F.when(C("shared"), F.lit(None)).otherwise(C("key")).alias("key")))
     out = lost
     while not open_.isEmpty():
-        settled = cut_lineage(_round(open_, held))
+        settled = write_once(_round(open_, held))
         moved = settled.where("granted").groupBy("row").agg(F.max(F.struct("pos", "key")).alias("to")).select("row", C("to.key").alias("to"))
-        held = cut_lineage(held.join(moved, "row", "outer").select("row", F.coalesce("to", "key").alias("key")))
-        open_ = cut_lineage(open_.join(settled.select("pos"), "pos", "left_anti"))
+        held = write_once(held.join(moved, "row", "outer").select("row", F.coalesce("to", "key").alias("key")))
+        open_ = write_once(open_.join(settled.select("pos"), "pos", "left_anti"))
         out = out.unionByName(settled.select("pos", "granted"))
     return told.join(out, "pos").select(C("request").alias(request), "granted")

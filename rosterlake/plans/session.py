@@ -11,9 +11,12 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 # Settings every operator assumes; ``build_session`` applies them.
 SETTINGS = {
@@ -70,6 +73,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def write_once(df: DataFrame) -> DataFrame:
+    """``df`` as a table below the shared checkpoint folder, for frames that
+    a later plan names many times: each would compute it anew, while from the
+    table each reads the columns it needs."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/rosterlake-kept/{uuid.uuid4().hex}"
+    typed = [f.name for f in df.schema.fields if not isinstance(f.dataType, NullType)]  # parquet has no void
+    held = df.select(*typed)
+    held.write.parquet(path)
+    back = spark.read.schema(held.schema).parquet(path)
+    return back.select(*[F.col(c) if c in typed else F.lit(None).alias(c) for c in df.columns])
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (written to the shared checkpoint folder), so a
     lost executor re-reads the frame instead of recomputing a long plan and
