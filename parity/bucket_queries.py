@@ -19,6 +19,8 @@ from .registry import REGISTRY, fx, register, tables
 
 # Narrow, so that the given tables fill many buckets.
 WIDTH = 512
+# Every relation goes to buckets and requests come from them as well.
+KEPT = ("session", "booking", "progress")
 
 
 def _stored(spark, t, op, requests, relation, **how):
@@ -32,13 +34,13 @@ def _register(key: str, op, frame, relation: str, state: str | None = None, held
     state = state or f"{key}_state"
 
     def run(spark, d):
-        t = tables(spark, d)
+        t = tables(spark, d, *KEPT)
         return _stored(spark, held(t), op, frame(t), relation, **how)
     register(state.replace("_state", "_stored"), REGISTRY[state][1])(run)
 
 
 def _bookings(spark, d):
-    f = fx(spark, d)
+    f = fx(spark, d, *KEPT)
     return _stored(spark, f.tables.with_(booking=f.existing_booking), M.admit_bookings, f.booking_request, "booking")
 
 

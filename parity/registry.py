@@ -22,12 +22,12 @@ def register(name: str, oracle: str | None):
     return deco
 
 
-def fx(spark: SparkSession, sf_dir: str):
-    return driver_fixture(spark, sf_dir)
+def fx(spark: SparkSession, sf_dir: str, *kept: str):
+    return driver_fixture(spark, sf_dir, kept)
 
 
-def tables(spark: SparkSession, sf_dir: str):
-    return driver_fixture(spark, sf_dir).tables
+def tables(spark: SparkSession, sf_dir: str, *kept: str):
+    return fx(spark, sf_dir, *kept).tables
 
 
 def AS_OF_COL():  # noqa: N802

@@ -21,7 +21,8 @@ struct, combined map-side, so a hot key costs one partial row per task) and
 every request that passed the checks before compares itself with it. The
 aggregate is exchanged anew for that join (``_apart``), so AQE's skew join
 can split a hot key. Nothing runs while a plan is built, but for the id
-assignment of inserts and the claims on emails (M16), when they are read. Identity-changing checks compare ``(role, id)``, never a bare
+assignment of inserts, the claims on emails (M16) and, where a delta names
+them many times, the accepted requests, when they are read. Identity-changing checks compare ``(role, id)``, never a bare
 id (customer 5 and trainer 5 are different principals).
 """
 
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 
 from ..functions.collation import norm_key
 from ..functions.columns import first_failing, in_domain, js_or, rating_value, truthy
+from ..plans.session import write_once
 from ..sources.schema import (ADMIN, BOOKING, BOOKING_STATUSES, PROGRESS, REVIEWS, SESSION, SESSION_STATUSES,
                               TRAINER, USERS, Tables, conform)
 from .claims import settle_claims
@@ -50,6 +52,8 @@ PROGRESS_PATCH_FIELDS = ("activity", "duration", "note")
 REVIEW_PATCH_FIELDS = ("rating_score", "comment")
 STAFF = ("trainer", "admin")
 INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
+# Places for rows that meet no winner: more than a shuffle has tasks.
+ASIDE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -177,21 +181,20 @@ def _first_wins(j: DataFrame, eligible: Column, asks: Column, keys: Sequence[str
 
     Only eligible rows are aggregated, by their order key and what is
     carried (combined map-side, so a hot key costs one partial row per task).
-    Only rows that ``asks`` holds for meet the winners; the others can't be
-    changed by one and pass by, so blank or missing keys never gather."""
+    Only rows that ``asks`` holds for meet the winners. The others can't be
+    changed by one: in the join they lie apart, dealt by request, so blank or
+    missing keys never gather and the checks before run for winners and rows,
+    not for the others once more."""
     asks = F.coalesce(asks, F.lit(False))
     win = (j.filter(eligible).groupBy(*keys)
            .agg(F.min(F.struct(C(TS).alias("ts"), C(RID).alias("id"), *carry)).alias("__w"))
            .select(*[C(k).alias(f"__w_{k}") for k in keys], "__w", _apart("winner", *keys).alias("__apart")))
-    cond = _apart("winner", *keys) == C("__apart")
+    aside = F.pmod(F.xxhash64(RID), F.lit(ASIDE)) + 1
+    cond = F.when(asks, _apart("winner", *keys)).otherwise(aside) == C("__apart")
     for k in keys:
         cond = cond & (C(k) == C(f"__w_{k}"))
-    met = j.filter(asks).join(win, cond, "left")
-    names = ["ts", "id", *carry]
-    met = met.select(*j.columns, *[C(f"__w.{n}").alias(f"w_{n}") for n in names])
-    kinds = {"ts": j.schema[TS].dataType, "id": j.schema[RID].dataType, **{c: j.schema[c].dataType for c in carry}}
-    rest = j.filter(~asks).select(*j.columns, *[F.lit(None).cast(kinds[n]).alias(f"w_{n}") for n in names])
-    return met.unionByName(rest)
+    met = j.join(win, cond, "left")
+    return met.select(*j.columns, *[C(f"__w.{n}").alias(f"w_{n}") for n in ["ts", "id", *carry]])
 
 
 def _split(j: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
@@ -283,10 +286,11 @@ def apply_patches(state: DataFrame, accepted: DataFrame, fields: Sequence[str],
 
 def _patch_change(accepted: DataFrame, rejected: DataFrame, relation: str, state: DataFrame, fields: Sequence[str],
                   touch: str | None = None) -> Change:
-    def changed(rows):
-        return apply_patches(rows, accepted, fields, touch)
-    return Change(accepted.select(RID, "id", "present"), rejected, {relation: changed(state)},
-                  lambda: {relation: _replaced(state, accepted.select("id"), changed)})
+    def delta() -> Delta:
+        told = write_once(accepted.select(RID, TS, "id", "present", *fields))
+        return _replaced(state, told.select("id"), lambda held: apply_patches(held, told, fields, touch))
+    return Change(accepted.select(RID, "id", "present"), rejected, {relation: apply_patches(state, accepted, fields, touch)},
+                  lambda: {relation: delta()})
 
 
 def _deletes(requests: DataFrame, target: DataFrame, checks, not_found: str = "not_found",
@@ -312,8 +316,10 @@ def _deletes(requests: DataFrame, target: DataFrame, checks, not_found: str = "n
 
 def _removal(accepted: DataFrame, rejected: DataFrame, t: Tables, gone: DataFrame, by: dict[str, str]) -> Change:
     """``gone`` leaves every relation of ``by``, found there in its column."""
-    return Change(accepted, rejected, {rel: _without(getattr(t, rel), gone, col) for rel, col in by.items()},
-                  lambda: {rel: _removed(getattr(t, rel), gone, col) for rel, col in by.items()})
+    def deltas() -> dict[str, Delta]:
+        told = write_once(gone)
+        return {rel: _removed(getattr(t, rel), told, col) for rel, col in by.items()}
+    return Change(accepted, rejected, {rel: _without(getattr(t, rel), gone, col) for rel, col in by.items()}, deltas)
 
 
 # ------------------------------------------------------------------ M8
@@ -391,11 +397,15 @@ def change_booking_status(requests: DataFrame, t: Tables) -> Change:
     last = accepted.groupBy(C("booking_id").alias("u_bid")).agg(
         F.max_by(C("status"), F.struct(C(TS), C(RID))).alias("new_status"))
 
-    def changed(state):
+    def changed(state, last):
         return (state.join(last, C("id") == C("u_bid"), "left")
                 .withColumn("status", F.coalesce(C("new_status"), C("status"))).select(*t.booking.columns))
-    return Change(accepted.select(RID, "booking_id", "status"), rejected, {"booking": changed(t.booking)},
-                  lambda: {"booking": _replaced(t.booking, accepted.select(C("booking_id").alias("id")), changed)})
+
+    def delta() -> Delta:
+        told = write_once(last)
+        return _replaced(t.booking, told.select(C("u_bid").alias("id")), lambda held: changed(held, told))
+    return Change(accepted.select(RID, "booking_id", "status"), rejected, {"booking": changed(t.booking, last)},
+                  lambda: {"booking": delta()})
 
 
 # ------------------------------------------------------------------ M13
@@ -628,9 +638,13 @@ def _merge(requests: DataFrame, state: DataFrame, relation: str, fields: Sequenc
             memo["accepted"] = accepted.join(lost, RID, "left_anti")
             memo["rejected"] = rejected.unionByName(lost.withColumn("reason", F.lit("duplicate_email")))
         return memo["accepted"], memo["rejected"]
+
+    def delta() -> Delta:
+        told = write_once(settled()[0].select(RID, TS, "id", *fields))
+        return _replaced(state, told.select("id"), lambda held: _merged(held, told, fields))
     return Change(lambda: settled()[0].select(RID, "id"), lambda: settled()[1],
                   lambda: {relation: _merged(state, settled()[0], fields)},
-                  lambda: {relation: _replaced(state, settled()[0].select("id"), lambda held: _merged(held, settled()[0], fields))})
+                  lambda: {relation: delta()})
 
 
 def merge_user_profiles(requests: DataFrame, t: Tables) -> Change:
