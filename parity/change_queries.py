@@ -66,7 +66,7 @@ select * exclude (request_id) from ({accepted_sel}) q"""))(lambda s, d: fn(s, d)
 
 
 def _m08(spark, d):
-    f = fx(spark, d)
+    f = fx(spark, d, "session", "booking")
     return M.admit_bookings(f.booking_request, f.tables.with_(booking=f.existing_booking))
 
 
@@ -107,7 +107,7 @@ _grown("m08_admit_bookings", _m08, _M08, "booking", _A08, "existing_booking")
 
 
 def _m09(spark, d):
-    t = tables(spark, d)
+    t = tables(spark, d, "session", "booking")
     return M.change_booking_status(RQ.status_change_requests(t), t)
 
 
@@ -137,7 +137,7 @@ from booking b left join last l on l.booking_id = b.id"""))
 
 
 def _m13(spark, d):
-    t = tables(spark, d)
+    t = tables(spark, d, "booking")
     return M.admit_reviews(RQ.review_requests(t), t)
 
 
@@ -168,7 +168,7 @@ _grown("m13_admit_reviews", _m13, _M13, "reviews", _A13)
 
 
 def _m10(spark, d):
-    t = tables(spark, d)
+    t = tables(spark, d, "booking", "progress")
     return M.admit_progress(RQ.progress_requests(t), t)
 
 
@@ -197,7 +197,7 @@ _grown("m10_admit_progress", _m10, _M10, "progress", _A10)
 
 
 def _m05(spark, d):
-    t = tables(spark, d)
+    t = tables(spark, d, "session")
     return M.admit_sessions(RQ.session_requests(t), t)
 
 
@@ -250,7 +250,7 @@ def _patch_state(table: str, cols: list[str], fields: list[str], touch: str | No
 
 
 def _m06(spark, d):
-    t = tables(spark, d)
+    t = tables(spark, d, "session")
     return M.patch_sessions(RQ.session_patches(t), t)
 
 
@@ -283,7 +283,7 @@ _triple("m06_patch_sessions", _m06, _M06 + [_c06], _REJ, _PRESENT_SEL, ("session
 
 
 def _m11(spark, d):
-    t = tables(spark, d)
+    t = tables(spark, d, "progress")
     return M.patch_progress(RQ.progress_patches(t), t)
 
 
@@ -308,7 +308,7 @@ _triple("m11_patch_progress", _m11, _M11 + [_c11], _REJ, _PRESENT_SEL, ("progres
 
 
 def _m14(spark, d):
-    t = tables(spark, d)
+    t = tables(spark, d, "booking")
     return M.patch_reviews(RQ.review_patches(t), t)
 
 
@@ -358,7 +358,7 @@ _ACC = "select request_id, request_ts, id from fin where reason is null"
 
 
 def _m12(spark, d):
-    t = tables(spark, d)
+    t = tables(spark, d, "progress")
     return M.delete_progress(RQ.progress_deletes(t), t)
 
 
@@ -369,7 +369,7 @@ _triple("m12_delete_progress", _m12, _M12, _REJ, _ACC,
 
 
 def _m15(spark, d):
-    t = tables(spark, d)
+    t = tables(spark, d, "booking")
     return M.delete_reviews(RQ.review_deletes(t), t)
 
 
@@ -380,7 +380,7 @@ _triple("m15_delete_reviews", _m15, _M15, _REJ, _ACC,
 
 
 def _m07(spark, d):
-    t = tables(spark, d)
+    t = tables(spark, d, "session", "booking", "progress")
     return M.delete_sessions(RQ.session_deletes(t), t)
 
 
@@ -399,7 +399,7 @@ register("m07_delete_sessions_session_state", _sql(_M07, "select * from session
 
 def _m18(mode: str):
     def run(spark, d):
-        t = tables(spark, d)
+        t = tables(spark, d, "booking", "progress")
         return M.delete_users(RQ.user_deletes(t), t, mode=mode)
     return run
 
@@ -557,7 +557,7 @@ from rosterlake.operators import audit as Q  # noqa: E402
 def _q10_after(spark, d):
     """Q10 after admission (M8 copies the member's name into the booking) and
     profile merges (M16 renames members): stored names that went stale."""
-    f = fx(spark, d)
+    f = fx(spark, d, "session", "booking")
     t = f.tables
     admitted = M.admit_bookings(f.booking_request, t.with_(booking=f.existing_booking)).states["booking"]
     merged = M.merge_user_profiles(RQ.user_merges(t), t).states["users"]

@@ -52,7 +52,7 @@ def _register(key: str, run, requests: str, ctes: list[str], accepted: str, stat
 
 def _run(op, frame, **how):
     def run(spark, d):
-        t = tables(spark, d)
+        t = tables(spark, d, "session", "booking", "progress")
         return op(frame(t), RQ.repeated(t), **how)
     return run
 
