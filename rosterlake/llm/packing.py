@@ -18,7 +18,7 @@ own partitions and no shuffle is needed.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,8 @@ from rosterlake.llm.common import row_chunks, text_bytes
 from rosterlake.llm.tokens import encoder
 
 HOLD_TOKENS = 4 << 20
+#: Tokens of a batch that is given out, at about which its sequences end.
+EMIT_TOKENS = 1 << 18
 SEQUENCE_BITS = 33
 
 PIECES = ("doc_id {id}, start long, length long, ids binary, doc_tokens long, "
@@ -148,11 +150,12 @@ def pack_documents(docs: DataFrame, tokenizer: Callable[[], str], end_id: int =
         full = min(tokens, loss)
         held: dict[int, tuple] = {}
         left: dict[int, int] = {}
-        state = {"example": 0, "sequence": TaskContext.get().partitionId() << SEQUENCE_BITS}
+        state = {"example": 0, "sequence": TaskContext.get().partitionId() << SEQUENCE_BITS, "ready": 0}
+        ready: list[list[tuple]] = []
 
-        def emit(found: list[list[tuple]], id_kind: pa.DataType) -> pa.RecordBatch:
+        def emit(id_kind: pa.DataType) -> pa.RecordBatch:
             cols = defaultdict(list)
-            for one in found:
+            for one in ready:
                 offset = 0
                 for (example, start), t in one:
                     doc, ids, before, whole_doc = held[example]
@@ -164,18 +167,28 @@ def pack_documents(docs: DataFrame, tokenizer: Callable[[], str], end_id: int =
                     if not left[example]:
                         del left[example], held[example]
                 state["sequence"] += 1
+            ready.clear()
             kinds = [id_kind, pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 3]
             names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
             return pa.RecordBatch.from_arrays([pa.array(cols[n], k) for n, k in zip(names, kinds, strict=True)], names)
 
-        id_kind, ready, n_ready = pa.int64(), [], 0
+        def give(found: Iterable[list[tuple]], id_kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            """Batches of the waiting and these sequences; few may wait on."""
+            for one in found:
+                ready.append(one)
+                state["ready"] += sum(t for _, t in one)
+                if state["ready"] >= EMIT_TOKENS:
+                    yield emit(id_kind)
+                    state["ready"] = 0
+
+        id_kind = pa.int64()
         for b in batches:
             ids_in, texts = b.column(0), b.column(1)
             id_kind = ids_in.type
             data, at = text_bytes(texts)
             for i, j in row_chunks(at):
                 flat, sizes = pieces.encode(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                raw, stops = flat.astype("<u4").tobytes(), np.cumsum(sizes)
+                raw, stops, whole = flat.astype("<u4").tobytes(), np.cumsum(sizes), []
                 for r, size, stop in zip(range(i, j), sizes.tolist(), stops.tolist(), strict=True):
                     ids = raw[4 * (stop - size) : 4 * stop] + end
                     n, doc = size + 1, ids_in[r].as_py()
@@ -184,19 +197,15 @@ def pack_documents(docs: DataFrame, tokenizer: Callable[[], str], end_id: int =
                         state["example"] += 1
                         held[d], left[d] = (doc, ids[4 * s : 4 * (s + t)], s, n), t
                         if t == tokens:
-                            ready.append([((d, 0), t)])
-                            n_ready += t
+                            whole.append([((d, 0), t)])
                         else:
                             waiting.add((d, 0), t, t)
+                yield from give(whole, id_kind)
                 if waiting.total >= HOLD_TOKENS:
-                    ready += waiting.bins(tokens, last=False)
-                    n_ready = HOLD_TOKENS
-                if n_ready >= HOLD_TOKENS // 4:
-                    yield emit(ready, id_kind)
-                    ready, n_ready = [], 0
-        ready += waiting.bins(tokens, last=True)
+                    yield from give(waiting.bins(tokens, last=False), id_kind)
+        yield from give(waiting.bins(tokens, last=True), id_kind)
         if ready:
-            yield emit(ready, id_kind)
+            yield emit(id_kind)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 

@@ -21,10 +21,12 @@ from array import array
 
 import numpy as np
 
-from rosterlake.llm.common import powers
+from rosterlake.llm.common import powers, row_chunks
 
 SLOT_BITS = 21
 KNOWN_LIMIT = 1_200_000
+#: Bytes of text to encode at a time: working arrays take up to 100 times that.
+ENCODE_BYTES = 1 << 18
 BASE = 0xD1342543DE82EF95
 _INVERSE = pow(BASE, -1, 1 << 64)
 _VALUES = np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -96,6 +98,10 @@ class PieceEncoder:
             slot[todo] = (slot[todo] + 1) & ((1 << SLOT_BITS) - 1)
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [self._rows(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in row_chunks(at, ENCODE_BYTES)]
+        return np.concatenate([np.zeros(0, np.uint32), *(ids for ids, _ in found)]), np.concatenate([np.zeros(0, np.int64), *(size for _, size in found)])
+
+    def _rows(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if OTHER_SPACE.search(data):
             parts = [self._whole(data[a:b]) if OTHER_SPACE.search(data[a:b]) else self._pieces(data[a:b], np.array([0, b - a]))[0]
                      for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
