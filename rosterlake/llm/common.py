@@ -21,6 +21,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from rosterlake.plans.session import ensure_checkpoint_dir
 
 CHUNK_BYTES = 2 << 20
+#: Bytes of a batch that a task gives back, about: the JVM holds each whole.
+BATCH_BYTES = 1 << 20
 
 
 class Scratch:
@@ -67,11 +69,18 @@ def append_struct(df: DataFrame, out: str, kind: T.StructType, make: Callable[[]
         for b in batches:
             fields = [x if isinstance(x, pa.Array) and x.type == t.type else pa.array(x, type=t.type)
                       for x, t in zip(f(b), arrow, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays(fields, fields=list(arrow))], names)
+            yield from slices(pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays(fields, fields=list(arrow))], names))
 
     return base.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch's rows in order, in batches of about ``BATCH_BYTES``."""
+    rows = max(1, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes))
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts as one UTF-8 byte array, and row offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):

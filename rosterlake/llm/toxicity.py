@@ -32,6 +32,8 @@ SAMPLE_ROWS = 20_000
 THRESHOLD = 0.7
 RIDGE = 1e-4
 STEPS = 60
+#: Bytes of text to find the buckets of at a time: working arrays take up to 50 times that.
+GRAM_BYTES = 1 << 18
 #: Entries of a block of the sample, and partitions that hold it.
 BLOCK = 1 << 20
 PARTS = 12
@@ -52,7 +54,7 @@ def _active(column: pa.Array) -> Iterator[np.ndarray]:
     """The buckets that each text has, once each, where they come last."""
     data, at = text_bytes(column)
     last = np.zeros(1 << HASH_BITS, np.int64)
-    for i, j in row_chunks(at):
+    for i, j in row_chunks(at, GRAM_BYTES):
         for grams in grams_per_row(data[at[i] : at[j]], at[i : j + 1] - at[i], SIZES, HASH_BITS):
             place = np.arange(len(grams))
             last[grams] = place
@@ -73,9 +75,9 @@ def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_pydict({"toxic": pa.array(y, pa.int32()), "bucket": pa.array(k, pa.int32()), "n": pa.array(seen[y, k])})
 
     found = rows.mapInArrow(count, "toxic int, bucket int, n long").groupBy("bucket").agg(
-        *[F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)]).toPandas()
+        *[F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)]).toArrow()
     n = np.zeros((2, size + 1))
-    n[:, found["bucket"]] = found[["n0", "n1"]].to_numpy().T
+    n[:, found["bucket"].to_numpy()] = found["n0"].to_numpy(), found["n1"].to_numpy()
     return n[:, :-1], n[:, -1]
 
 
@@ -99,16 +101,32 @@ def _scale(n: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return ratio * strength**2 / (strength**2 + STRENGTH**2)
 
 
+def _gaps(rows: list[np.ndarray]) -> np.ndarray:
+    """The buckets of a block's rows as bytes, one or two each for texts of some length: sorted within a
+    row and put one row after another, each as its distance from the one before,
+    in bytes of 255 and the rest. A row takes 1,028 bytes more at most."""
+    place = np.concatenate([np.sort(f).astype(np.int64) + (k << HASH_BITS) for k, f in enumerate(rows)])
+    gap = np.diff(place, prepend=0)
+    last = np.cumsum(gap // 255 + 1) - 1
+    out = np.full(last[-1] + 1 if len(last) else 0, 255, np.uint8)
+    out[last] = gap % 255
+    return out
+
+
+def _from_gaps(gaps: np.ndarray) -> np.ndarray:
+    return np.cumsum(gaps, dtype=np.int64)[gaps != 255] & ((1 << HASH_BITS) - 1)
+
+
 def _blocks(sample: DataFrame) -> DataFrame:
     """The features of the sample's rows, in blocks of about ``BLOCK``
-    entries: labels, numbers of buckets and buckets, each as int32 bytes."""
+    entries: labels and numbers of buckets as int32 bytes, buckets as ``_gaps``."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         toxic: list[int] = []
         entries = 0
 
         def block() -> pa.RecordBatch:
-            parts = np.array(toxic, np.int32), np.array([len(f) for f in held], np.int32), np.concatenate(held).astype(np.int32)
+            parts = np.array(toxic, np.int32), np.array([len(f) for f in held], np.int32), _gaps(held)
             return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["toxic", "sizes", "buckets"])
 
         for b in batches:
@@ -136,7 +154,8 @@ def _sums(blocks: DataFrame, weight: np.ndarray, bias: float) -> tuple[np.ndarra
         gradient, told = np.zeros(size), np.zeros(4)
         for b in batches:
             for row in zip(*(c for c in b.columns), strict=True):
-                y, n, buckets = (np.frombuffer(x.as_buffer(), np.int32) for x in row)
+                y, n, gaps = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, (np.int32, np.int32, np.uint8), strict=True))
+                buckets = _from_gaps(gaps)
                 upto = np.concatenate([[0], np.cumsum(weight[buckets])])[np.concatenate([[0], np.cumsum(n)])]
                 z = np.diff(upto) + bias
                 err = 1 / (1 + np.exp(-np.clip(z, -700, 700))) - y
@@ -144,12 +163,12 @@ def _sums(blocks: DataFrame, weight: np.ndarray, bias: float) -> tuple[np.ndarra
                 told += (np.logaddexp(0, z) - y * z).sum(), err.sum(), len(y), y.sum()
         yield pa.RecordBatch.from_arrays([pa.array([gradient.tobytes()], pa.binary()), pa.array([told.tobytes()], pa.binary())], ["gradient", "told"])
 
-    found = blocks.coalesce(PARTS).mapInArrow(part, "gradient binary, told binary").collect()
+    found = blocks.coalesce(PARTS).mapInArrow(part, "gradient binary, told binary").toArrow()
     shared.destroy()
     gradient, told = np.zeros(size), np.zeros(4)
-    for r in found:
-        gradient += np.frombuffer(r[0])
-        told += np.frombuffer(r[1])
+    for r in zip(*found.columns, strict=True):
+        gradient += np.frombuffer(r[0].as_buffer())
+        told += np.frombuffer(r[1].as_buffer())
     return gradient, told
 
 
