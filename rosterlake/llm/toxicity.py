@@ -102,9 +102,10 @@ def _scale(n: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 
 def _gaps(rows: list[np.ndarray]) -> np.ndarray:
-    """The buckets of a block's rows as bytes, one or two each for texts of some length: sorted within a
-    row and put one row after another, each as its distance from the one before,
-    in bytes of 255 and the rest. A row takes 1,028 bytes more at most."""
+    """The buckets of a block's rows as bytes, one or two each in texts of some
+    length: sorted within a row and put one row after another, each as its
+    distance from the one before, in bytes of 255 and the rest. A row takes at
+    most 2,056 bytes more than it has buckets."""
     place = np.concatenate([np.sort(f).astype(np.int64) + (k << HASH_BITS) for k, f in enumerate(rows)])
     gap = np.diff(place, prepend=0)
     last = np.cumsum(gap // 255 + 1) - 1
